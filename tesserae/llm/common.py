@@ -63,9 +63,11 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
+        """Also lets Spark's cleaner find the shuffle files that these tables were made from."""
         for df in frames:
             if path := self.paths.pop(id(df), None):
                 remove(self.spark, path)
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def join_sized(big: DataFrame, small: DataFrame, on, how: str = "left", items: str | None = None) -> DataFrame:

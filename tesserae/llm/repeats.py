@@ -103,7 +103,10 @@ def filter_table(repeated: DataFrame) -> bytes:
 
 
 def blocks(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """core, block, doc_id, key, start, starts, ahead (from start to trigger): the blocks of the parse whose core may repeat."""
+    """core, block, doc_id, key, place: the blocks of the parse whose core may repeat.
+
+    place packs the first start, the number of starts and the distance from the first to the trigger.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(filter_table(repeated))
 
     def found(it):
@@ -123,92 +126,118 @@ def blocks(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 block = signed(xxhash.xxh3_64_intdigest(raw[a : a + c - 1 + LENGTH]) for a, c in zip(start.tolist(), starts.tolist(), strict=True))
                 begins = np.concatenate([[0], np.cumsum([len(r) for r in raws])])[document]
                 row = pa.array(document + first)
-                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), block, ids.take(row), keys.take(row), pa.array((start - begins).astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(ahead.astype(np.int32))], names=["core", "block", "doc_id", "key", "start", "starts", "ahead"])
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), block, ids.take(row), keys.take(row), pa.array((start - begins << 14) + (starts << 7) + ahead)], names=["core", "block", "doc_id", "key", "place"])
 
-    schema = docs.select(F.lit(0).cast("long").alias("core"), F.lit(0).cast("long").alias("block"), "doc_id", "key", F.lit(0).alias("start"), F.lit(0).alias("starts"), F.lit(0).alias("ahead")).schema
+    schema = docs.select(F.lit(0).cast("long").alias("core"), F.lit(0).cast("long").alias("block"), "doc_id", "key", F.lit(0).cast("long").alias("place")).schema
     return docs.select("doc_id", "key", "text").mapInArrow(found, schema)
 
 
+def extent(place: int, g: int) -> tuple[int, int, int]:
+    """Of piece g of the block at that place: its first start, its number of starts and its trigger."""
+    start, starts, ahead = place >> 14, place >> 7 & 127, place & 127
+    far, near = min(ahead, PIECE * g + PIECE - 1), max(ahead - starts + 1, PIECE * g)
+    return start + ahead - far, far - near + 1, start + ahead
+
+
 def pieces(located: DataFrame) -> DataFrame:
-    """core, inner, outer, doc_id, key, start, alone, hashes: the listed blocks in pieces of up to PIECE starts.
+    """core, block, g, inner, outer, alone: the listed blocks in pieces of up to PIECE starts.
 
     Pieces are cut by the distance to the trigger, alike in all blocks of a core. inner is the class
     of the bytes that all strings of a piece share, outer that of the piece's whole extent (null for
-    a piece that its block cuts short), hashes those of its strings.
+    a piece that its block cuts short).
     """
     digest = xxhash.xxh3_64_intdigest
 
     def found(it):
         for batch in it:
-            ids, keys = batch.column("doc_id"), batch.column("key")
-            for k, (text, some) in enumerate(zip(batch.column("text").to_pylist(), batch.column("some").to_pylist(), strict=True)):
+            for text, some in zip(batch.column("text").to_pylist(), batch.column("some").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for lo in range(0, len(some), 500):
-                    core, inner, outer, start, alone, hashes = [], [], [], [], [], []
+                    core, block, piece, inner, outer, alone = [], [], [], [], [], []
                     for b in some[lo : lo + 500]:
-                        trigger, most = b["start"] + b["ahead"], b["ahead"]
-                        least = most - b["starts"] + 1
-                        for g in range(least // PIECE, most // PIECE + 1):
-                            far, near = min(most, PIECE * g + PIECE - 1), max(least, PIECE * g)
+                        ahead = b["place"] & 127
+                        for g in range((ahead - (b["place"] >> 7 & 127) + 1) // PIECE, ahead // PIECE + 1):
+                            _, starts, trigger = extent(b["place"], g)
                             at = trigger - PIECE * g
                             core.append(b["core"])
+                            block.append(b["block"])
+                            piece.append(g)
                             inner.append(digest(raw[at : at + LENGTH - PIECE + 1], g))
-                            outer.append(digest(raw[at - PIECE + 1 : at + LENGTH], g) if far - near + 1 == PIECE else 0)
-                            start.append(trigger - far)
+                            outer.append(digest(raw[at - PIECE + 1 : at + LENGTH], g) if starts == PIECE else None)
                             alone.append(b["alone"])
-                            hashes.append(np.array([digest(raw[p : p + LENGTH]) for p in range(trigger - far, trigger - near + 1)], np.uint64).view(np.int64))
-                    row = pa.array(np.full(len(core), k))
-                    whole = np.array([len(h) < PIECE for h in hashes])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(core, pa.int64()), signed(inner), pa.array(np.array(outer, np.uint64).view(np.int64), mask=whole), ids.take(row), keys.take(row), pa.array(start, pa.int32()), pa.array(alone), pa.array(hashes, pa.list_(pa.int64()))],
-                        names=["core", "inner", "outer", "doc_id", "key", "start", "alone", "hashes"],
-                    )
+                    short = np.array([x is None for x in outer])
+                    outer = np.array([x or 0 for x in outer], np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(block, pa.int64()), pa.array(piece, pa.int8()), signed(inner), pa.array(outer, mask=short), pa.array(alone)], names=["core", "block", "g", "inner", "outer", "alone"])
+
+    return located.select("text", "some").mapInArrow(found, "core long, block long, g byte, inner long, outer long, alone boolean")
+
+
+def strings(located: DataFrame) -> DataFrame:
+    """core, hash, doc_id, key, start, alone: every string of the listed pieces."""
+
+    def found(it):
+        for batch in it:
+            ids, keys = batch.column("doc_id"), batch.column("key")
+            for k, (text, some) in enumerate(zip(batch.column("text").to_pylist(), batch.column("some").to_pylist(), strict=True)):
+                raw = text.encode("utf-8", "surrogatepass")
+                for lo in range(0, len(some), 4000):
+                    rows = [(b["core"], p, b["alone"]) for b in some[lo : lo + 4000] for first, n, _ in (extent(b["place"], b["g"]),) for p in range(first, first + n)]
+                    core, start, alone = zip(*rows, strict=True)
+                    row = pa.array(np.full(len(rows), k))
+                    yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), signed(xxhash.xxh3_64_intdigest(raw[p : p + LENGTH]) for p in start), ids.take(row), keys.take(row), pa.array(start, pa.int64()), pa.array(alone)], names=["core", "hash", "doc_id", "key", "start", "alone"])
 
     number = F.lit(0).cast("long")
-    schema = located.select(number.alias("core"), number.alias("inner"), F.when(F.lit(False), number).alias("outer"), "doc_id", "key", F.lit(0).alias("start"), F.lit(True).alias("alone"), F.array(number).alias("hashes")).schema
+    schema = located.select(number.alias("core"), number.alias("hash"), "doc_id", "key", number.alias("start"), F.lit(True).alias("alone")).schema
     return located.select("doc_id", "key", "text", "some").mapInArrow(found, schema)
 
 
-def decided(cut: DataFrame) -> DataFrame:
-    """doc_id, key, run: the starts of repeated strings in the pieces of blocks that occur once."""
-    times = F.count(F.lit(1)).alias("n")
-    run = lambda starts: (F.col("start").cast("long") * 128 + starts).alias("run")
-    twice = cut.filter("outer is not null").groupBy("core", "outer").agg(times).filter("n > 1").select("core", "outer", F.lit(True).alias("settled"))
-    shared = cut.groupBy("core", "inner").agg(times, F.max("alone").alias("alone")).filter("n > 1 and alone").select("core", "inner")
-    living = cut.join(shared.hint("merge"), ["core", "inner"], "left_semi").join(twice.hint("merge"), ["core", "outer"], "left")
-    settled = living.filter("alone and settled").select("doc_id", "key", run(PIECE))
-    edges = living.filter("alone and settled is null").select("core", "inner").distinct()
-    single = living.drop("settled").join(edges.hint("merge"), ["core", "inner"], "left_semi")
-    single = single.select("core", "doc_id", "key", "start", "alone", F.posexplode("hashes").alias("at", "hash"))
-    again = single.groupBy("core", "hash").agg(times, F.max("alone").alias("alone")).filter("n > 1 and alone").select("core", "hash")
-    found = single.filter("alone").join(again.hint("merge"), ["core", "hash"], "left_semi")
-    return settled.unionByName(found.select("doc_id", "key", ((F.col("start") + F.col("at")).cast("long") * 128 + 1).alias("run")))
+def in_texts(docs: DataFrame, listed: DataFrame, scratch: Scratch, *columns: str) -> DataFrame:
+    """docs with `some`, the listed rows of each document as an array of structs; only documents that have any."""
+    places = listed.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*columns)).alias("some"))
+    places = scratch.put(places.withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key"))
+    return join_sized(docs, places, docs["doc_id"].eqNullSafe(places["__id"]) & (docs["key"] == places["__key"]), "inner", items="some")
+
+
+def runs_per_document(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("doc_id", "key").agg(F.collect_list("run").alias("runs"))
 
 
 def repeated_starts(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, key, runs: packed runs of the starts of repeated strings (128 * start + starts), per document.
+    """doc_id, key, runs: packed runs of the starts of repeated strings (128 * start + starts); several rows per document.
 
     docs has doc_id, text and key, a hash of both.
     """
+    times, pair = F.count(F.lit(1)).alias("n"), ["core", "block"]
     cores = docs.select("text").mapInArrow(_cores, "core long")
-    repeated = scratch.put(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"))
+    repeated = scratch.put(cores.groupBy("core").agg(times).filter("n > 1").select("core"))
     parsed = scratch.put(blocks(docs, repeated))
-    scratch.drop(repeated)
-    dictionary = parsed.groupBy("core", "block").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "key", "start", "starts", "ahead")))
-    dictionary = scratch.put(dictionary)
-    settled = dictionary.filter("n > 1").select("core", "block")
-    whole = parsed.join(settled.hint("merge"), ["core", "block"], "left_semi").select("doc_id", "key", (F.col("start").cast("long") * 128 + F.col("starts")).alias("run"))
-    several = dictionary.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("core")
-    open_ = dictionary.join(several.hint("merge"), "core", "left_semi")
-    places = open_.groupBy("doc_id", "key").agg(F.collect_list(F.struct("core", "start", "starts", "ahead", (F.col("n") == 1).alias("alone"))).alias("some"))
-    places = scratch.put(places.withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key"))
-    located = join_sized(docs, places, docs["doc_id"].eqNullSafe(places["__id"]) & (docs["key"] == places["__key"]), "inner", items="some")
-    cut = scratch.put(pieces(located))
-    parts = decided(cut)
-    runs = whole.unionByName(parts).groupBy("doc_id", "key").agg(F.collect_list("run").alias("runs"))
-    out = scratch.put(runs.withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key"))
-    scratch.drop(parsed, dictionary, places, cut)
-    return out
+    dictionary = scratch.put(parsed.groupBy(*pair).agg(times, *(F.first(c).alias(c) for c in ("doc_id", "key", "place"))))
+    settled = dictionary.filter("n > 1").select(*pair)
+    run = lambda start, starts: (start * 128 + starts).alias("run")
+    whole = parsed.join(settled.hint("merge"), pair, "left_semi")
+    whole = scratch.put(runs_per_document(whole.select("doc_id", "key", run(F.shiftright("place", 14), F.shiftright("place", 7).bitwiseAND(F.lit(127))))))
+    scratch.drop(repeated, parsed)
+    # cores with several blocks, one of them alone
+    several = dictionary.groupBy("core").agg(times, F.min("n").alias("least")).filter("n > 1 and least = 1").select("core")
+    open_ = dictionary.join(several.hint("merge"), "core", "left_semi").withColumn("alone", F.col("n") == 1)
+    cut = scratch.put(pieces(in_texts(docs, open_, scratch, *pair, "place", "alone")))
+    shared = cut.groupBy("core", "inner").agg(times, F.max("alone").alias("alone")).filter("n > 1 and alone").select("core", "inner")
+    living = scratch.put(cut.join(shared.hint("merge"), ["core", "inner"], "left_semi"))
+    scratch.drop(cut)
+    twice = living.filter("outer is not null").groupBy("core", "outer").agg(times).filter("n > 1").select("core", "outer", F.lit(True).alias("twice"))
+    judged = scratch.put(living.join(twice.hint("merge"), ["core", "outer"], "left"))
+    scratch.drop(living)
+    located = dictionary.select(*pair, "doc_id", "key", "place")
+    first = F.shiftright("place", 14) + F.col("place").bitwiseAND(F.lit(127)) - PIECE * F.col("g") - (PIECE - 1)
+    piece = judged.filter("alone and twice").select(*pair, "g").join(located, pair).select("doc_id", "key", run(first, F.lit(PIECE)))
+    edges = judged.filter("alone and twice is null").select("core", "inner").distinct()
+    edges = judged.join(edges.hint("merge"), ["core", "inner"], "left_semi").select(*pair, "g", "alone").join(located, pair)
+    single = scratch.put(strings(in_texts(docs, edges, scratch, "core", "place", "g", "alone")))
+    again = single.groupBy("core", "hash").agg(times, F.max("alone").alias("alone")).filter("n > 1 and alone").select("core", "hash")
+    part = single.filter("alone").join(again.hint("merge"), ["core", "hash"], "left_semi").select("doc_id", "key", run(F.col("start"), F.lit(1)))
+    parts = scratch.put(runs_per_document(piece.unionByName(part)))
+    scratch.drop(dictionary, judged, single)
+    return whole.unionByName(parts)
 
 
 def covered(runs: list[int]) -> np.ndarray:
@@ -220,27 +249,39 @@ def covered(runs: list[int]) -> np.ndarray:
     return np.stack([lo[new], hi[np.append(np.flatnonzero(new)[1:] - 1, len(hi) - 1)]], axis=1)
 
 
+def merged(runs: DataFrame) -> DataFrame:
+    """doc_id, key and the maximal spans of every document that loses any byte."""
+
+    def batches(it):
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        for batch in it:
+            spans = [[{"start": a, "stop": b} for a, b in covered(r).tolist()] for r in batch.column("runs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(spans, kind)], names=["doc_id", "key", "spans"])
+
+    together = runs.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return together.mapInArrow(batches, together.select("doc_id", "key", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)").alias("spans")).schema)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, spans (start, stop in bytes of what is removed) and kept, the bytes that are left."""
     scratch = Scratch(docs.sparkSession, "repeats")
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     runs = repeated_starts(docs, scratch)
-    joined = join_sized(docs, runs, docs["doc_id"].eqNullSafe(runs["__id"]) & (docs["key"] == runs["__key"]), "left", items="runs")
+    spans = scratch.put(merged(runs).withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key"))
+    joined = join_sized(docs, spans, docs["doc_id"].eqNullSafe(spans["__id"]) & (docs["key"] == spans["__key"]), "left", items="spans")
 
     def cut(it):
         for batch in it:
-            spans, kept = [], []
-            for text, run in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            kept = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                found = covered(run).tolist() if run else []
-                spans.append([{"start": a, "stop": b} for a, b in found])
-                inner = [0, *(x for s in found for x in s), len(raw)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(inner[::2], inner[1::2], strict=True)) if found else raw)
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "spans", "kept"])
+                inner = [0, *(x for s in spans or () for x in (s["start"], s["stop"])), len(raw)]
+                kept.append(b"".join(raw[a:b] for a, b in zip(inner[::2], inner[1::2], strict=True)) if spans else raw)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("spans"), pa.array(kept, pa.binary())], names=["doc_id", "spans", "kept"])
 
+    joined = joined.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")))
     schema = docs.select("doc_id", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)").alias("spans"), F.lit(b"").alias("kept")).schema
-    return joined.select("doc_id", "text", "runs").mapInArrow(cut, schema)
+    return joined.select("doc_id", "text", "spans").mapInArrow(cut, schema)
 
 
 def op7_repeats(spark, sf_dir: str) -> DataFrame:

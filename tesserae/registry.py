@@ -1,9 +1,11 @@
 """All registered queries of the image engine, with the SQL that must give the same rows."""
 
+from tesserae.plans import kernels, relational
+
 
 def queries() -> dict:
-    return {}
+    return {n: relational.spark_query(n) for n in relational.PLANS} | kernels.QUERIES
 
 
 def oracles() -> dict:
-    return {}
+    return {n: relational.duck_sql(n) for n in relational.PLANS} | kernels.SQL

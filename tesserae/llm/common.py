@@ -94,3 +94,9 @@ def row_hash(id_col: Column, text_col: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def slices(batch, rows: int = 64):
+    """An Arrow batch in parts of a few rows, so that only those are Python objects at a time."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, join_sized, table
+from .common import Scratch, join_sized, slices, table
 
 LENGTH, WINDOW, FILTER_BITS, SLAB, PIECE = 200, 120, 26, 1 << 20, 8
 CORE = LENGTH - WINDOW + 1
@@ -37,11 +37,11 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
-def slabs(texts: list[str | None]):
+def slabs(texts: pa.Array):
     """(first document, their bytes) of about SLAB bytes each; a longer text is alone."""
     part, size, first = [], 0, 0
     for k, t in enumerate(texts):
-        raw = (t or "").encode("utf-8", "surrogatepass")
+        raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
         if part and size + len(raw) > SLAB:
             yield first, part
             part, size, first = [], 0, k
@@ -87,7 +87,7 @@ def signed(values) -> pa.Array:
 
 def _cores(it):
     for batch in it:
-        for _, raws in slabs(batch.column("text").to_pylist()):
+        for _, raws in slabs(batch.column("text")):
             raw, _, _, _, trigger = parse(raws)
             if len(trigger):
                 yield pa.RecordBatch.from_arrays([signed(xxhash.xxh3_64_intdigest(raw[t : t + CORE]) for t in trigger.tolist())], names=["core"])
@@ -114,7 +114,7 @@ def blocks(docs: DataFrame, repeated: DataFrame) -> DataFrame:
         low = np.uint64((1 << FILTER_BITS) - 1)
         for batch in it:
             ids, keys = batch.column("doc_id"), batch.column("key")
-            for first, raws in slabs(batch.column("text").to_pylist()):
+            for first, raws in slabs(batch.column("text")):
                 raw, document, start, starts, trigger = parse(raws)
                 if not len(trigger):
                     continue
@@ -149,7 +149,7 @@ def pieces(located: DataFrame) -> DataFrame:
     digest = xxhash.xxh3_64_intdigest
 
     def found(it):
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole)):
             for text, some in zip(batch.column("text").to_pylist(), batch.column("some").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for lo in range(0, len(some), 500):
@@ -176,7 +176,7 @@ def strings(located: DataFrame) -> DataFrame:
     """core, hash, doc_id, key, start, alone: every string of the listed pieces."""
 
     def found(it):
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole)):
             ids, keys = batch.column("doc_id"), batch.column("key")
             for k, (text, some) in enumerate(zip(batch.column("text").to_pylist(), batch.column("some").to_pylist(), strict=True)):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -254,7 +254,7 @@ def merged(runs: DataFrame) -> DataFrame:
 
     def batches(it):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole)):
             spans = [[{"start": a, "stop": b} for a, b in covered(r).tolist()] for r in batch.column("runs").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(spans, kind)], names=["doc_id", "key", "spans"])
 
@@ -271,7 +271,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     joined = join_sized(docs, spans, docs["doc_id"].eqNullSafe(spans["__id"]) & (docs["key"] == spans["__key"]), "left", items="spans")
 
     def cut(it):
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole)):
             kept = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")

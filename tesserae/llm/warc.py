@@ -138,6 +138,8 @@ class WarcReader(DataSourceReader):
         return [Stretch(name, a, b) for name, marks, size in found for a, b in zip(marks, [*marks[1:], size], strict=True)]
 
     def read(self, partition):
+        if partition is None:  # an archive without records
+            return
         files, root = opened(self.path)
         rows = []
         with files.open_input_file(f"{root}/{partition.name}") as source:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tesserae import tables
 from tesserae.functions import dct
-from tesserae.operators import entropy
+from tesserae.operators import entropy, progressive
 from tesserae.sources import segments as seg
 
 ZIGZAG = entropy.ZIGZAG
@@ -81,37 +81,69 @@ def segment(code: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 255, code, len(body) + 2) + body
 
 
-def encode_levels(levels: list[np.ndarray], width: int, height: int, factors, quanta, restart: int = 0) -> bytes:
-    """A baseline stream of quantized blocks (by, bx, 64 zigzag levels per component)."""
-    n = len(levels)
-    single = n == 1
-    grid = [(1, 1)] if single else factors
-    mx, my = (1, 1) if single else (max(f[0] for f in factors), max(f[1] for f in factors))
-    units_x, units_y = -(-width // (8 * mx)), -(-height // (8 * my))
-    places = order(grid, units_x, units_y)
-    per_unit = sum(x * y for x, y in grid)
-    flat = np.stack([levels[k][by, bx] for k, by, bx in places])
-    components = [k for k, _, _ in places]
-    books = [[{s: (c, m) for s, c, m in tables.codes(t)} for t in pair] for pair in ((tables.DC_LUMA, tables.AC_LUMA), (tables.DC_CHROMA, tables.AC_CHROMA))]
-    dc, ac = [books[min(k, 1)][0] for k in range(n)], [books[min(k, 1)][1] for k in range(n)]
-    step = restart * per_unit or len(places)
-    coded = [entropy.encode_interval(flat[i : i + step], components[i : i + step], dc, ac) for i in range(0, len(places), step)]
-    ecs = b"".join(c + (bytes([255, 0xD0 + i % 8]) if i < len(coded) - 1 else b"") for i, c in enumerate(coded))
+def places_of(own: list[int], factors, width: int, height: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(component, by, bx) of a scan's blocks, and how many make a unit; a lone component's scan covers its own blocks only."""
+    mx, my = max(f[0] for f in factors), max(f[1] for f in factors)
+    if len(own) == 1:
+        fx, fy = factors[own[0]]
+        across, down = -(-(-(-width * fx // mx)) // 8), -(-(-(-height * fy // my)) // 8)
+        return [(own[0], y, x) for y in range(down) for x in range(across)], 1
+    units = -(-width // (8 * mx)), -(-height // (8 * my))
+    return [(own[k], y, x) for k, y, x in order([factors[k] for k in own], *units)], sum(factors[k][0] * factors[k][1] for k in own)
+
+
+def head_segments(code: int, width: int, height: int, factors, quanta) -> bytes:
+    n = len(factors)
     out = b"\xff\xd8" + segment(0xE0, b"JFIF\0\x01\x02\0\0\x01\0\x01\0\0")
     for slot in range(min(n, 2)):
         out += segment(0xDB, bytes([slot]) + bytes(quanta[slot][z] for z in ZIGZAG))
-    out += segment(0xC0, struct.pack(">BHHB", 8, height, width, n) + b"".join(bytes([k + 1, fx << 4 | fy, min(k, 1)]) for k, (fx, fy) in enumerate(factors)))
-    for kind, pair in ((0, (tables.DC_LUMA, tables.DC_CHROMA)), (1, (tables.AC_LUMA, tables.AC_CHROMA))):
-        for slot in range(min(n, 2)):
-            out += segment(0xC4, bytes([kind << 4 | slot, *pair[slot][0], *pair[slot][1]]))
+    return out + segment(code, struct.pack(">BHHB", 8, height, width, n) + b"".join(bytes([k + 1, fx << 4 | fy, min(k, 1)]) for k, (fx, fy) in enumerate(factors)))
+
+
+def huffman_segments(books: dict) -> bytes:
+    return b"".join(segment(0xC4, bytes([kind << 4 | slot, *book[0], *book[1]])) for (kind, slot), book in books.items())
+
+
+def with_restarts(coded: list[bytes]) -> bytes:
+    return b"".join(c + (bytes([255, 0xD0 + i % 8]) if i < len(coded) - 1 else b"") for i, c in enumerate(coded))
+
+
+def encode_levels(levels: list[np.ndarray], width: int, height: int, factors, quanta, restart: int = 0, process: str = "baseline") -> bytes:
+    """A stream of quantized blocks (by, bx, 64 zigzag levels per component): baseline, optimal (baseline with its own tables) or progressive."""
+    n = len(levels)
+    every = tuple(range(n))
+    if process == "progressive":
+        script = [(own, *band) for parts, *band in tables.SCRIPT if (own := tuple(k for k in parts if k < n))]
+        if n not in (1, 3):
+            script = [(every, 0, 0, 0, 0), *(((k,), 1, 63, 0, 0) for k in every)]
+    else:
+        script = [(every, 0, 63, 0, 0)]
+    standard = {(0, 0): tables.DC_LUMA, (0, 1): tables.DC_CHROMA, (1, 0): tables.AC_LUMA, (1, 1): tables.AC_CHROMA}
+    standard = {key: book for key, book in standard.items() if key[1] < min(n, 2)}
+    out = head_segments(0xC2 if process == "progressive" else 0xC0, width, height, factors, quanta)
     if restart:
         out += segment(0xDD, struct.pack(">H", restart))
-    out += segment(0xDA, bytes([n]) + b"".join(bytes([k + 1, min(k, 1) * 17]) for k in range(n)) + b"\0\x3f\0")
-    return out + ecs + b"\xff\xd9"
+    slot = {k: min(k, 1) for k in every}
+    for own, low, high, ah, al in script:
+        places, per = places_of(list(own), factors, width, height)
+        flat, components = np.stack([levels[k][y, x] for k, y, x in places]), [k for k, _, _ in places]
+        step = restart * per or len(places)
+        cuts = range(0, len(places), step)
+        if process == "baseline":
+            books = standard
+            dc, ac = ({k: {s: (c, m) for s, c, m in tables.codes(books[kind, slot[k]])} for k in own} for kind in (0, 1))
+            coded = [entropy.encode_interval(flat[i : i + step], components[i : i + step], dc, ac) for i in cuts]
+        else:
+            found = [progressive.tokens(flat[i : i + step].tolist(), components[i : i + step], low, high, ah, al, slot) for i in cuts]
+            books = progressive.optimal_tables([t for part in found for t in part])
+            coded = [progressive.write(part, books) for part in found]
+        out += huffman_segments(books)
+        out += segment(0xDA, bytes([len(own)]) + b"".join(bytes([k + 1, slot[k] * 17]) for k in own) + bytes([low, high, ah << 4 | al])) + with_restarts(coded)
+    return out + b"\xff\xd9"
 
 
-def encode_raster(raster: np.ndarray, quality: int = 85, subsampling: str = "420", restart: int = 0) -> bytes:
-    """(h, w, 1 or 3) samples, RGB if three, to a baseline stream."""
+def encode_raster(raster: np.ndarray, quality: int = 85, subsampling: str = "420", restart: int = 0, process: str = "baseline") -> bytes:
+    """(h, w, 1 or 3) samples, RGB if three, to a stream."""
     n = raster.shape[2]
     fx, fy = next(s[1:] for s in tables.SUBSAMPLINGS if s[0] == subsampling)
     factors = [(fx, fy), (1, 1), (1, 1)] if n == 3 else [(1, 1)]
@@ -122,7 +154,18 @@ def encode_raster(raster: np.ndarray, quality: int = 85, subsampling: str = "420
         c = dct.forward(blocks.reshape(-1, 8, 8))
         q = dct.quantize(c.reshape(-1, 64), np.array(quanta[min(k, 1)]))
         levels.append(q[:, ZIGZAG].reshape(*blocks.shape[:2], 64))
-    return encode_levels(levels, raster.shape[1], raster.shape[0], factors, quanta, restart)
+    return encode_levels(levels, raster.shape[1], raster.shape[0], factors, quanta, restart, process)
+
+
+def check_band(s: dict, staged: bool) -> None:
+    """Bands and bits that a scan of the process may have."""
+    if not staged:
+        fits = (s["ss"], s["se"], s["ah"], s["al"]) == (0, 63, 0, 0)
+    else:
+        band = s["se"] == 0 if s["ss"] == 0 else s["ss"] <= s["se"] <= 63 and len(s["components"]) == 1
+        fits = band and s["al"] <= 13 and s["ah"] in (0, s["al"] + 1)
+    if not fits:
+        raise ValueError("parsing: invalidScanBand")
 
 
 def spectral(data: bytes) -> dict:
@@ -139,7 +182,7 @@ def spectral(data: bytes) -> dict:
             if head is not None:
                 raise ValueError("decoding: duplicateFrame")
             head = seg.frame(code, body)
-            if code not in (0xC0, 0xC1):
+            if code not in (0xC0, 0xC1, 0xC2):
                 raise ValueError("decoding: unsupportedProcess")
             factors = [(c[1], c[2]) for c in head["components"]]
             mx, my = max(f[0] for f in factors), max(f[1] for f in factors)
@@ -153,20 +196,23 @@ def spectral(data: bytes) -> dict:
             if any(c[0] not in ids for c in s["components"]):
                 raise ValueError("decoding: undefinedScanComponent")
             own = [ids.index(c[0]) for c in s["components"]]
-            if any((0, c[1]) not in books or (1, c[2]) not in books for c in s["components"]):
+            staged = head["process"] == "progressive"
+            check_band(s, staged)
+            kinds = [kind for kind in (0, 1) if not staged or kind == (s["ss"] > 0) and not (kind == 0 and s["ah"])]
+            if any((kind, c[kind + 1]) not in books for c in s["components"] for kind in kinds):
                 raise ValueError("decoding: undefinedHuffmanTable")
-            dc, ac = ({k: books[kind, c[kind + 1]] for k, c in zip(own, s["components"], strict=True)} for kind in (0, 1))
-            if len(own) == 1:  # a lone component's scan covers its own blocks only
-                fx, fy = factors[own[0]]
-                across, down = -(-(-(-head["width"] * fx // mx)) // 8), -(-(-(-head["height"] * fy // my)) // 8)
-                places, per = [(own[0], y, x) for y in range(down) for x in range(across)], 1
-            else:
-                places = [(own[k], y, x) for k, y, x in order([factors[k] for k in own], *units)]
-                per = sum(factors[k][0] * factors[k][1] for k in own)
+            dc, ac = ({k: books.get((kind, c[kind + 1])) for k, c in zip(own, s["components"], strict=True)} for kind in (0, 1))
+            places, per = places_of(own, factors, head["width"], head["height"])
             step = restart * per or len(places)
             for i, part in zip(range(0, len(places), step), entropy.intervals(ecs), strict=False):
                 some = places[i : i + step]
-                for (k, y, x), levels in zip(some, entropy.decode_interval(part, [p[0] for p in some], dc, ac), strict=True):
+                components = [p[0] for p in some]
+                if staged:
+                    found = [planes[k][y, x, ZIGZAG].tolist() for k, y, x in some]
+                    progressive.decode_scan(part, found, components, s, dc, ac)
+                else:
+                    found = entropy.decode_interval(part, components, dc, ac)
+                for (k, y, x), levels in zip(some, found, strict=True):
                     planes[k][y, x, ZIGZAG] = levels
     if head is None:
         raise ValueError("decoding: missingFrame")
@@ -194,14 +240,14 @@ def decode_raster(data: bytes, scale: int = 8) -> np.ndarray:
     return rgb(raster) if len(out) == 3 else raster
 
 
-def encode(rasters: DataFrame, quality: int = 85, subsampling: str = "420", restart: int = 0) -> DataFrame:
+def encode(rasters: DataFrame, quality: int = 85, subsampling: str = "420", restart: int = 0, process: str = "baseline") -> DataFrame:
     """image_id, content."""
 
     def batches(it):
         for batch in it:
             for k in range(batch.num_rows):
                 w, h, raw = (batch.column(c)[k].as_py() for c in ("width", "height", "values"))
-                content = encode_raster(np.frombuffer(raw, np.uint8).reshape(h, w, -1), quality, subsampling, restart)
+                content = encode_raster(np.frombuffer(raw, np.uint8).reshape(h, w, -1), quality, subsampling, restart, process)
                 yield pa.RecordBatch.from_arrays([batch.column("image_id").slice(k, 1), pa.array([content])], names=["image_id", "content"])
 
     return rasters.select("image_id", "width", "height", "values").mapInArrow(batches, "image_id long, content binary")

@@ -5,7 +5,7 @@ import pytest
 
 from tesserae import tables
 from tesserae.functions import dct
-from tesserae.operators import codec, entropy
+from tesserae.operators import codec, entropy, progressive
 from tesserae.sources import segments
 
 Y, X = np.mgrid[:101, :133]
@@ -54,7 +54,7 @@ def test_levels_survive():
 @pytest.mark.parametrize("cut, message", [
     (lambda b: b[1:], "missingStartOfImage"), (lambda b: b[:3], "truncatedMarker"), (lambda b: b[:5], "truncatedLength"), (lambda b: b[:10], "truncatedBody"),
     (lambda b: b[:-2], "truncatedEntropyCodedSegment"), (lambda b: b[:4] + b"\0\1" + b[6:], "invalidLength"),
-    (lambda b: b.replace(b"\xff\xc0", b"\xff\xc2", 1), "unsupportedProcess"), (lambda b: b.replace(b"\xff\xd0", b"\xff\xd1", 1), "invalidRestart"),
+    (lambda b: b.replace(b"\xff\xc0", b"\xff\xc9", 1), "unsupportedProcess"), (lambda b: b.replace(b"\xff\xc0", b"\xff\xc2", 1), "invalidScanBand"), (lambda b: b.replace(b"\xff\xd0", b"\xff\xd1", 1), "invalidRestart"),
 ])
 def test_malformed(cut, message):
     with pytest.raises(ValueError, match=message):
@@ -86,3 +86,53 @@ def test_independent_decoder(spark, tmp_path):
     ours = codec.decode_raster(codec.encode_raster(RASTER[..., :1], 90))[..., 0]
     theirs = np.frombuffer(rows["b"]["data"], np.uint8).reshape(101, 133, -1)[..., 0].astype(int)
     assert np.abs(ours - theirs).max() <= 2
+
+
+@pytest.mark.parametrize("subsampling", ["444", "422", "420", "440", "411"])
+@pytest.mark.parametrize("process", ["progressive", "optimal"])
+@pytest.mark.parametrize("restart", [0, 5])
+def test_processes_agree(subsampling, process, restart):
+    noisy = np.clip(RASTER + np.random.default_rng(1).integers(-40, 40, RASTER.shape), 0, 255)
+    for raster, quality in ((RASTER, 85), (noisy, 97), (noisy[..., :1], 60), (RASTER[:3, :5], 90)):
+        plain = codec.encode_raster(raster, quality, subsampling)
+        other = codec.encode_raster(raster, quality, subsampling, restart, process)
+        assert (codec.decode_raster(other) == codec.decode_raster(plain)).all()
+        if process == "optimal" and not restart:
+            entropy_bytes = lambda b: sum(len(s[3]) for s in segments.segments(b))
+            assert entropy_bytes(other) <= entropy_bytes(plain)
+
+
+def test_independent_decoder_reads_progressive(spark, tmp_path):
+    ours = {}
+    for name, raster in (("a", RASTER), ("b", RASTER[..., :1])):
+        for process in ("baseline", "progressive", "optimal"):
+            (tmp_path / f"{name}{process[0]}.jpg").write_bytes(codec.encode_raster(raster, 90, "420", process=process))
+    for r in (x["image"] for x in spark.read.format("image").load(str(tmp_path)).collect()):
+        ours[r["origin"][-6:-4]] = bytes(r["data"])
+    assert len(ours) == 6 and all(ours[n + p] == ours[n + "b"] for n in "ab" for p in "po")
+
+
+def brute_cost(frequency):
+    """The bits of an unlimited Huffman code over the symbols and the free one."""
+    some, cost = sorted([*frequency.values(), 1]), 0
+    while len(some) > 1:
+        a, b, *some = some
+        cost += a + b
+        some = sorted([*some, a + b])
+    return cost
+
+
+def test_optimal_tables():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 60, 256):
+        frequency = {s: int(x) for s, x in enumerate(rng.integers(1, 500, n))}
+        book = progressive.optimal(frequency)
+        lengths = {s: m for s, _, m in tables.codes(book)}
+        assert set(lengths) == set(frequency) and sum(2.0**-m for m in lengths.values()) < 1
+        free = max(lengths.values())
+        assert brute_cost(frequency) == sum(frequency[s] * m for s, m in lengths.items()) + free
+    skewed = {0: 1, 1: 1}
+    for s in range(2, 40):
+        skewed[s] = skewed[s - 1] + skewed[s - 2]
+    book = progressive.optimal(skewed)
+    assert sum(book[0]) == len(book[1]) == 40 and sum(2.0**-m for _, _, m in tables.codes(book)) < 1

@@ -7,7 +7,7 @@ from tesserae import rasters, tables
 from tesserae.functions import color, dct
 from tesserae.operators import codec
 from tesserae.rasters import LUMA_Q, YCC_SQL, blocks, cells, duck, forward_sql, inverse_sql, mapped
-from tesserae.sources import segments
+from tesserae.sources import files, metadata, segments
 
 BASIS, LLM = tables.basis(), tables.llm()
 DEQUANTIZED = f"(SELECT image_id, brow, bcol, l.v, l.u, level * q AS d FROM levels l JOIN {LUMA_Q} q ON l.v = q.v AND l.u = q.u)"
@@ -77,6 +77,22 @@ def decode_scaled(spark, sf):
     return codec.unpack(codec.decode(encoded(spark, sf), 4)).select("image_id", "y", "x", F.col("c0").alias("s"))
 
 
+def _packed(spark, sf):
+    return codec.pack(rasters.r_events(spark, sf), rasters.W, rasters.H)
+
+
+def _written(writer):
+    return lambda spark, sf: writer(_packed(spark, sf)).select("image_id", F.hex("content").alias("content"))
+
+
+def _reread(writer):
+    return lambda spark, sf: codec.unpack(files.load(writer(_packed(spark, sf))))
+
+
+def _oriented(spark, sf):
+    return metadata.with_exif(encoded(spark, sf))
+
+
 def header_scan(spark, sf):
     return segments.with_header(encoded_color(spark, sf, "420"))
 
@@ -92,7 +108,14 @@ DECODED = f"SELECT image_id, brow * 8 + y AS y, bcol * 8 + x AS x, s FROM ({inve
 RGB_SQL = tuple(f"least(greatest(({e}) >> 16, 0), 255)" for e in ("c0::BIGINT * 65536 + 32768 + 91881 * (c1 - 128)".replace("c1", "c2"), "c0::BIGINT * 65536 + 32768 - 22554 * (c1 - 128) - 46802 * (c2 - 128)", "c0::BIGINT * 65536 + 32768 + 116130 * (c1 - 128)"))
 HALF = "SELECT * FROM " + DEQUANTIZED + " WHERE v < 4 AND u < 4"
 
+PNM_HEAD = f"P6\n{rasters.W} {rasters.H}\n255\n".encode().hex().upper()
+BMP_HEAD = files.bmp(np.zeros((rasters.H, rasters.W, 3), np.int64))[:54].hex().upper()
+HEX = lambda order, *c: f"string_agg({' || '.join(f'lpad(upper(to_hex({x})), 2, chr(48))' for x in c)}, '' ORDER BY {order})"
+STATED = "SELECT DISTINCT image_id, image_id % 9 AS o FROM r_events"
+
 QUERIES = {
+    "write_pnm": _written(files.with_pnm), "write_bmp": _written(files.with_bmp), "read_pnm": _reread(files.with_pnm), "read_bmp": _reread(files.with_bmp),
+    "image_orientation": lambda spark, sf: metadata.with_orientation(_oriented(spark, sf)), "exif_patch": lambda spark, sf: metadata.with_orientation(_oriented(spark, sf), 6), "metadata_kinds": lambda spark, sf: metadata.with_kinds(_oriented(spark, sf)),
     "rgb_to_ycc": _colors(color.ycc), "ycc_to_rgb": _colors(color.rgb), "to_gray": _colors(lambda r, g, b: color.ycc(r, g, b)[:1]), "pixel_formats": _formats,
     "fdct8": _block(dct.forward, False), "fdct8_def": _block(dct.forward_definition, False), "idct8": _block(dct.inverse, True), "idct8_def": _block(dct.inverse_definition, True),
     "idct_scaled": _block(lambda c: dct.inverse_definition(c, 8, 4), True, 4),
@@ -103,6 +126,12 @@ QUERIES = {
 }
 
 SQL = {
+    "write_pnm": duck(f"SELECT image_id, '{PNM_HEAD}' || {HEX('y, x', 'c0', 'c1', 'c2')} AS content FROM r_events GROUP BY image_id", "r_events"),
+    "write_bmp": duck(f"SELECT image_id, '{BMP_HEAD}' || {HEX('y DESC, x', 'c2', 'c1', 'c0')} AS content FROM r_events GROUP BY image_id", "r_events"),
+    **{f"read_{f}": duck("SELECT image_id, y, x, c0::BIGINT AS c0, c1::BIGINT AS c1, c2::BIGINT AS c2 FROM r_events", "r_events") for f in ("pnm", "bmp")},
+    "image_orientation": duck(f"SELECT image_id, CASE WHEN o = 0 THEN 1 ELSE o END::INT AS orientation FROM ({STATED}) s", "r_events"),
+    "exif_patch": duck(f"SELECT image_id, CASE WHEN o = 0 THEN 1 ELSE 6 END::INT AS orientation FROM ({STATED}) s", "r_events"),
+    "metadata_kinds": duck(f"SELECT image_id, 1 AS seq, 'jfif' AS kind FROM ({STATED}) s UNION ALL SELECT image_id, 2, 'exif' FROM ({STATED}) s WHERE o > 0", "r_events"),
     "rgb_to_ycc": duck(f"SELECT image_id, y, x, {YCC_SQL[0]} AS o0, {YCC_SQL[1]} AS o1, {YCC_SQL[2]} AS o2 FROM r_events", "r_events"),
     "ycc_to_rgb": duck(f"SELECT image_id, y, x, {RGB_SQL[0]} AS o0, {RGB_SQL[1]} AS o1, {RGB_SQL[2]} AS o2 FROM r_events", "r_events"),
     "to_gray": duck(f"SELECT image_id, y, x, {YCC_SQL[0]} AS o0 FROM r_events", "r_events"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tesserae import tables
 from tesserae.functions import dct
-from tesserae.operators import entropy, progressive
+from tesserae.operators import entropy, lossless, progressive
 from tesserae.sources import segments as seg
 
 ZIGZAG = entropy.ZIGZAG
@@ -221,7 +221,11 @@ def spectral(data: bytes) -> dict:
 
 
 def decode_raster(data: bytes, scale: int = 8) -> np.ndarray:
-    """(h, w, n) samples: RGB for three components, gray for one; scale/8 of the size."""
+    """(h, w, n) samples: RGB for three components, gray for one; scale/8 of the size; lossless streams as they are."""
+    if lossless.is_lossless(data):
+        if scale != 8:
+            raise ValueError("decoding: unsupportedScaling")
+        return lossless.decode(data)
     s = spectral(data)
     head, factors = s["frame"], s["factors"]
     mx, my = max(f[0] for f in factors), max(f[1] for f in factors)
@@ -247,7 +251,8 @@ def encode(rasters: DataFrame, quality: int = 85, subsampling: str = "420", rest
         for batch in it:
             for k in range(batch.num_rows):
                 w, h, raw = (batch.column(c)[k].as_py() for c in ("width", "height", "values"))
-                content = encode_raster(np.frombuffer(raw, np.uint8).reshape(h, w, -1), quality, subsampling, restart, process)
+                raster = np.frombuffer(raw, np.uint8).reshape(h, w, -1)
+                content = lossless.encode(raster) if process == "lossless" else encode_raster(raster, quality, subsampling, restart, process)
                 yield pa.RecordBatch.from_arrays([batch.column("image_id").slice(k, 1), pa.array([content])], names=["image_id", "content"])
 
     return rasters.select("image_id", "width", "height", "values").mapInArrow(batches, "image_id long, content binary")
@@ -260,6 +265,8 @@ def decode(images: DataFrame, scale: int = 8) -> DataFrame:
         for batch in it:
             for k in range(batch.num_rows):
                 raster = decode_raster(batch.column("content")[k].as_py(), scale)
+                if raster.max() > 255:
+                    raise ValueError("decoding: unsupportedPrecision")
                 h, w, n = raster.shape
                 yield pa.RecordBatch.from_arrays([batch.column("image_id").slice(k, 1), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([n], pa.int32()), pa.array([raster.astype(np.uint8).tobytes()])], names=["image_id", "width", "height", "components", "values"])
 

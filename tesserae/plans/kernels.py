@@ -114,6 +114,7 @@ HEX = lambda order, *c: f"string_agg({' || '.join(f'lpad(upper(to_hex({x})), 2,
 STATED = "SELECT DISTINCT image_id, image_id % 9 AS o FROM r_events"
 
 QUERIES = {
+    "decode_lossless": lambda spark, sf: codec.unpack(codec.decode(codec.encode(_packed(spark, sf), process="lossless"))),
     "write_pnm": _written(files.with_pnm), "write_bmp": _written(files.with_bmp), "read_pnm": _reread(files.with_pnm), "read_bmp": _reread(files.with_bmp),
     "image_orientation": lambda spark, sf: metadata.with_orientation(_oriented(spark, sf)), "exif_patch": lambda spark, sf: metadata.with_orientation(_oriented(spark, sf), 6), "metadata_kinds": lambda spark, sf: metadata.with_kinds(_oriented(spark, sf)),
     "rgb_to_ycc": _colors(color.ycc), "ycc_to_rgb": _colors(color.rgb), "to_gray": _colors(lambda r, g, b: color.ycc(r, g, b)[:1]), "pixel_formats": _formats,
@@ -129,6 +130,7 @@ SQL = {
     "write_pnm": duck(f"SELECT image_id, '{PNM_HEAD}' || {HEX('y, x', 'c0', 'c1', 'c2')} AS content FROM r_events GROUP BY image_id", "r_events"),
     "write_bmp": duck(f"SELECT image_id, '{BMP_HEAD}' || {HEX('y DESC, x', 'c2', 'c1', 'c0')} AS content FROM r_events GROUP BY image_id", "r_events"),
     **{f"read_{f}": duck("SELECT image_id, y, x, c0::BIGINT AS c0, c1::BIGINT AS c1, c2::BIGINT AS c2 FROM r_events", "r_events") for f in ("pnm", "bmp")},
+    "decode_lossless": duck("SELECT image_id, y, x, c0::BIGINT AS c0, c1::BIGINT AS c1, c2::BIGINT AS c2 FROM r_events", "r_events"),
     "image_orientation": duck(f"SELECT image_id, CASE WHEN o = 0 THEN 1 ELSE o END::INT AS orientation FROM ({STATED}) s", "r_events"),
     "exif_patch": duck(f"SELECT image_id, CASE WHEN o = 0 THEN 1 ELSE 6 END::INT AS orientation FROM ({STATED}) s", "r_events"),
     "metadata_kinds": duck(f"SELECT image_id, 1 AS seq, 'jfif' AS kind FROM ({STATED}) s UNION ALL SELECT image_id, 2, 'exif' FROM ({STATED}) s WHERE o > 0", "r_events"),

@@ -5,6 +5,7 @@ wherever it is divisible by DIVISOR, so that the same run of lines is cut alike
 Chunks of two or more lines that occur more than once in the corpus stay at their first place (by
 doc_id, nulls first, then position) and are removed elsewhere. Candidates are found by 64-bit hash
 counts; whether they are really equal is decided on their bytes, which are the grouping and join key.
+Copies of a frequent chunk are dealt into parts of about PART rows before they meet its first place.
 
 Null texts stay null and have no lines; an empty text is one empty line and is kept; chunks of
 blank lines only are kept; rows equal in id and text count as one document and share a result; an
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, hex_number, join_sized, table
 
 WINDOW, DIVISOR, MODULUS, FACTOR, MIN_LINES = 2, 3, 2147483647, 263, 2
+PART = 128
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
@@ -43,11 +45,12 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     chunks = with_chunks(keyed).select("doc_id", "__key", F.posexplode_outer("__chunks").alias("__k", "__c"))
     chunks = chunks.filter(f"__c.n >= {MIN_LINES}").select("doc_id", "__key", "__k", F.col("__c.body").alias("__body")).filter(F.col("__body").rlike(r"[^\x20\x09-\x0D]"))
     chunks = chunks.withColumn("__hash", F.xxhash64("__body"))
-    often = scratch.put(chunks.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash"))
-    again = scratch.put(join_sized(chunks, often, "__hash", "left_semi"))
+    often = scratch.put(chunks.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash", F.ceil(F.col("n") / PART).alias("__parts")))
+    again = scratch.put(join_sized(chunks, often, "__hash", "inner").withColumn("__part", F.pmod(F.xxhash64("doc_id", "__key", "__k"), "__parts")))
     place = F.struct("doc_id", "__key", "__k")
-    first = again.groupBy("__hash", "__body").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    same = again.join(first, ["__hash", "__body"])
+    first = again.groupBy("__hash", "__body").agg(F.min(place).alias("__first"), F.max("__parts").alias("__parts"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = first.select("__hash", "__body", "__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("__part"))
+    same = again.join(first, ["__hash", "__body", "__part"])
     gone = same.filter(~(F.col("doc_id").eqNullSafe(F.col("__first.doc_id")) & (F.col("__key") == F.col("__first.__key")) & (F.col("__k") == F.col("__first.__k"))))
     out = scratch.put(gone.groupBy("doc_id", "__key").agg(F.collect_set("__k").alias("__gone")).withColumnRenamed("doc_id", "__id"))
     scratch.drop(often, again)

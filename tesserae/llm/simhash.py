@@ -280,8 +280,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     linked = components(prints, scratch)
     rooted = scratch.put(join_sized(prints, linked, "fp", "left").select("doc_id", "__text", F.coalesce("root", "fp").alias("root")))
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("__text").alias("c"))
-    groups = rooted.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "first")
-    several = rooted.join(groups, "root")
+    # a table, so that a join too large to broadcast reads both sides from shuffles, whose large groups adaptive execution splits
+    groups = scratch.put(rooted.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "first"))
+    several = join_sized(rooted, groups, "root", "inner")
     lost = several.filter(~(F.col("doc_id").eqNullSafe(F.col("first.b")) & (F.col("__text").eqNullSafe(F.col("first.c")))))
     lost = scratch.put(lost.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__lost")).distinct())
     # rows equal in doc_id and text: one stays

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tesserae import tables
 from tesserae.functions import dct
-from tesserae.operators import entropy, lossless, progressive
+from tesserae.operators import arithmetic, entropy, lossless, progressive
 from tesserae.sources import segments as seg
 
 ZIGZAG = entropy.ZIGZAG
@@ -109,7 +109,7 @@ def with_restarts(coded: list[bytes]) -> bytes:
 
 
 def encode_levels(levels: list[np.ndarray], width: int, height: int, factors, quanta, restart: int = 0, process: str = "baseline") -> bytes:
-    """A stream of quantized blocks (by, bx, 64 zigzag levels per component): baseline, optimal (baseline with its own tables) or progressive."""
+    """A stream of quantized blocks (by, bx, 64 zigzag levels per component): baseline, optimal (baseline with its own tables), arithmetic or progressive."""
     n = len(levels)
     every = tuple(range(n))
     if process == "progressive":
@@ -120,7 +120,7 @@ def encode_levels(levels: list[np.ndarray], width: int, height: int, factors, qu
         script = [(every, 0, 63, 0, 0)]
     standard = {(0, 0): tables.DC_LUMA, (0, 1): tables.DC_CHROMA, (1, 0): tables.AC_LUMA, (1, 1): tables.AC_CHROMA}
     standard = {key: book for key, book in standard.items() if key[1] < min(n, 2)}
-    out = head_segments(0xC2 if process == "progressive" else 0xC0, width, height, factors, quanta)
+    out = head_segments({"progressive": 0xC2, "arithmetic": 0xC9}.get(process, 0xC0), width, height, factors, quanta)
     if restart:
         out += segment(0xDD, struct.pack(">H", restart))
     slot = {k: min(k, 1) for k in every}
@@ -133,6 +133,9 @@ def encode_levels(levels: list[np.ndarray], width: int, height: int, factors, qu
             books = standard
             dc, ac = ({k: {s: (c, m) for s, c, m in tables.codes(books[kind, slot[k]])} for k in own} for kind in (0, 1))
             coded = [entropy.encode_interval(flat[i : i + step], components[i : i + step], dc, ac) for i in cuts]
+        elif process == "arithmetic":
+            books = {}
+            coded = [arithmetic.encode_interval(flat[i : i + step].tolist(), components[i : i + step], {k: (slot[k], slot[k]) for k in own}) for i in cuts]
         else:
             found = [progressive.tokens(flat[i : i + step].tolist(), components[i : i + step], low, high, ah, al, slot) for i in cuts]
             books = progressive.optimal_tables([t for part in found for t in part])
@@ -169,20 +172,22 @@ def check_band(s: dict, staged: bool) -> None:
 
 
 def spectral(data: bytes) -> dict:
-    """Frame, factors, quantization tables (row-major) and levels (by, bx, 64 row-major) of a Huffman DCT stream."""
-    quanta, books, restart, head, planes = {}, {}, 0, None, []
+    """Frame, factors, quantization tables (row-major) and levels (by, bx, 64 row-major) of a DCT stream."""
+    quanta, books, conditions, restart, head, planes = {}, {}, {}, 0, None, []
     for _, code, body, ecs in seg.segments(data):
         if code == 0xDB:
             quanta |= seg.quantization(body)
         elif code == 0xC4:
             books |= {key: entropy.lookup(t) for key, t in seg.huffman(body).items()}
+        elif code == 0xCC:
+            conditions |= arithmetic.conditioning(body)
         elif code == 0xDD:
             restart = int.from_bytes(body, "big")
         elif seg.marker_process(code):
             if head is not None:
                 raise ValueError("decoding: duplicateFrame")
             head = seg.frame(code, body)
-            if code not in (0xC0, 0xC1, 0xC2):
+            if code not in (0xC0, 0xC1, 0xC2, 0xC9):
                 raise ValueError("decoding: unsupportedProcess")
             factors = [(c[1], c[2]) for c in head["components"]]
             mx, my = max(f[0] for f in factors), max(f[1] for f in factors)
@@ -198,7 +203,8 @@ def spectral(data: bytes) -> dict:
             own = [ids.index(c[0]) for c in s["components"]]
             staged = head["process"] == "progressive"
             check_band(s, staged)
-            kinds = [kind for kind in (0, 1) if not staged or kind == (s["ss"] > 0) and not (kind == 0 and s["ah"])]
+            modeled = head["coding"] == "arithmetic"
+            kinds = [] if modeled else [kind for kind in (0, 1) if not staged or kind == (s["ss"] > 0) and not (kind == 0 and s["ah"])]
             if any((kind, c[kind + 1]) not in books for c in s["components"] for kind in kinds):
                 raise ValueError("decoding: undefinedHuffmanTable")
             dc, ac = ({k: books.get((kind, c[kind + 1])) for k, c in zip(own, s["components"], strict=True)} for kind in (0, 1))
@@ -210,6 +216,8 @@ def spectral(data: bytes) -> dict:
                 if staged:
                     found = [planes[k][y, x, ZIGZAG].tolist() for k, y, x in some]
                     progressive.decode_scan(part, found, components, s, dc, ac)
+                elif modeled:
+                    found = arithmetic.decode_interval(part, components, {k: c[1:] for k, c in zip(own, s["components"], strict=True)}, conditions)
                 else:
                     found = entropy.decode_interval(part, components, dc, ac)
                 for (k, y, x), levels in zip(some, found, strict=True):

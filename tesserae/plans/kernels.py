@@ -73,6 +73,10 @@ def decode_progressive(spark, sf):
     return codec.unpack(codec.decode(encoded(spark, sf, process="progressive"))).select("image_id", "y", "x", F.col("c0").alias("s"))
 
 
+def decode_arithmetic(spark, sf):
+    return codec.unpack(codec.decode(encoded(spark, sf, process="arithmetic"))).select("image_id", "y", "x", F.col("c0").alias("s"))
+
+
 def decode_scaled(spark, sf):
     return codec.unpack(codec.decode(encoded(spark, sf), 4)).select("image_id", "y", "x", F.col("c0").alias("s"))
 
@@ -121,7 +125,7 @@ QUERIES = {
     "fdct8": _block(dct.forward, False), "fdct8_def": _block(dct.forward_definition, False), "idct8": _block(dct.inverse, True), "idct8_def": _block(dct.inverse_definition, True),
     "idct_scaled": _block(lambda c: dct.inverse_definition(c, 8, 4), True, 4),
     "encode_baseline": encode_baseline, "decode_baseline": decode_baseline, "decode_restarts": decode_restarts, "decode_scaled": decode_scaled, "header_scan": header_scan,
-    "encode_progressive": lambda spark, sf: encode_baseline(spark, sf, process="progressive"), "encode_optimal": lambda spark, sf: encode_baseline(spark, sf, process="optimal"), "decode_progressive": decode_progressive, "psnr_metrics": psnr,
+    "encode_progressive": lambda spark, sf: encode_baseline(spark, sf, process="progressive"), "encode_optimal": lambda spark, sf: encode_baseline(spark, sf, process="optimal"), "encode_arithmetic": lambda spark, sf: encode_baseline(spark, sf, process="arithmetic"), "decode_progressive": decode_progressive, "decode_arithmetic": decode_arithmetic, "psnr_metrics": psnr,
     "segments": lambda spark, sf: segments.with_segments(encoded_color(spark, sf, "420")),
     "decode_420": lambda spark, sf: codec.unpack(codec.decode(encoded_color(spark, sf, "420"))),
 }
@@ -141,8 +145,8 @@ SQL = {
     "fdct8": duck("SELECT * FROM coeffs", "coeffs"), "fdct8_def": duck(forward_sql(BASIS, 8, 20), "r_events"),
     "idct8": duck(inverse_sql(LLM, 11, 18, DEQUANTIZED, True), "levels"), "idct8_def": duck(inverse_sql(BASIS, 8, 20, DEQUANTIZED, False), "levels"),
     "idct_scaled": duck(inverse_sql(tables.basis(4), 8, 20, f"({HALF})", False), "levels"),
-    "encode_baseline": duck("SELECT image_id, brow, bcol, v, u, level FROM levels", "levels"), "decode_baseline": duck(DECODED, "levels"), "decode_restarts": duck(DECODED, "levels"), "decode_progressive": duck(DECODED, "levels"),
-    **{f"encode_{p}": duck("SELECT image_id, brow, bcol, v, u, level FROM levels", "levels") for p in ("progressive", "optimal")},
+    "encode_baseline": duck("SELECT image_id, brow, bcol, v, u, level FROM levels", "levels"), "decode_baseline": duck(DECODED, "levels"), "decode_restarts": duck(DECODED, "levels"), "decode_progressive": duck(DECODED, "levels"), "decode_arithmetic": duck(DECODED, "levels"),
+    **{f"encode_{p}": duck("SELECT image_id, brow, bcol, v, u, level FROM levels", "levels") for p in ("progressive", "optimal", "arithmetic")},
     "decode_scaled": duck(f"SELECT image_id, brow * 4 + y AS y, bcol * 4 + x AS x, s FROM ({inverse_sql(tables.basis(4), 8, 20, f'({HALF})', False)}) i", "levels"),
     "header_scan": duck(f"SELECT DISTINCT image_id, 'baseline' AS process, 'huffman' AS coding, 8 AS precision, {rasters.W} AS width, {rasters.H} AS height, 3 AS n_components FROM r_events", "r_events"),
     "psnr_metrics": duck(f"SELECT r.image_id, max(abs(c0 - s)) AS worst, CAST(sum(abs(c0 - s)) AS BIGINT) AS total, CAST(sum((c0 - s) * (c0 - s)) AS BIGINT) AS squares FROM r_events r JOIN ({DECODED}) d ON r.image_id = d.image_id AND r.y = d.y AND r.x = d.x GROUP BY r.image_id", "levels"),

@@ -54,7 +54,7 @@ def test_levels_survive():
 @pytest.mark.parametrize("cut, message", [
     (lambda b: b[1:], "missingStartOfImage"), (lambda b: b[:3], "truncatedMarker"), (lambda b: b[:5], "truncatedLength"), (lambda b: b[:10], "truncatedBody"),
     (lambda b: b[:-2], "truncatedEntropyCodedSegment"), (lambda b: b[:4] + b"\0\1" + b[6:], "invalidLength"),
-    (lambda b: b.replace(b"\xff\xc0", b"\xff\xc9", 1), "unsupportedProcess"), (lambda b: b.replace(b"\xff\xc0", b"\xff\xc2", 1), "invalidScanBand"), (lambda b: b.replace(b"\xff\xd0", b"\xff\xd1", 1), "invalidRestart"),
+    (lambda b: b.replace(b"\xff\xc0", b"\xff\xca", 1), "unsupportedProcess"), (lambda b: b.replace(b"\xff\xc0", b"\xff\xc2", 1), "invalidScanBand"), (lambda b: b.replace(b"\xff\xd0", b"\xff\xd1", 1), "invalidRestart"),
 ])
 def test_malformed(cut, message):
     with pytest.raises(ValueError, match=message):

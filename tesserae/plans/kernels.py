@@ -7,7 +7,8 @@ from tesserae import rasters, tables
 from tesserae.functions import color, dct
 from tesserae.operators import codec
 from tesserae.rasters import LUMA_Q, YCC_SQL, blocks, cells, duck, forward_sql, inverse_sql, mapped
-from tesserae.sources import files, metadata, segments
+from tesserae.plans.dialect import values
+from tesserae.sources import files, headers, metadata, segments
 
 BASIS, LLM = tables.basis(), tables.llm()
 DEQUANTIZED = f"(SELECT image_id, brow, bcol, l.v, l.u, level * q AS d FROM levels l JOIN {LUMA_Q} q ON l.v = q.v AND l.u = q.u)"
@@ -101,6 +102,10 @@ def header_scan(spark, sf):
     return segments.with_header(encoded_color(spark, sf, "420"))
 
 
+def _relation(name, color=True):
+    return lambda spark, sf: headers.relation(encoded_color(spark, sf, "420") if color else encoded(spark, sf, restart=1), name)
+
+
 def psnr(spark, sf):
     a = rasters.r_events(spark, sf).select("image_id", "y", "x", "c0")
     joined = a.join(decode_baseline(spark, sf), ["image_id", "y", "x"])
@@ -117,7 +122,20 @@ BMP_HEAD = files.bmp(np.zeros((rasters.H, rasters.W, 3), np.int64))[:54].hex().u
 HEX = lambda order, *c: f"string_agg({' || '.join(f'lpad(upper(to_hex({x})), 2, chr(48))' for x in c)}, '' ORDER BY {order})"
 STATED = "SELECT DISTINCT image_id, image_id % 9 AS o FROM r_events"
 
+EACH = "SELECT DISTINCT image_id FROM r_events"
+BOOKS = [(kind, slot, i, n, s) for kind, slot, t in (("dc", 0, tables.DC_LUMA), ("dc", 1, tables.DC_CHROMA), ("ac", 0, tables.AC_LUMA), ("ac", 1, tables.AC_CHROMA)) for i, (s, _, n) in enumerate(tables.codes(t))]
+FACTORS = [(slot, z, tables.scaled(t, rasters.QUALITY)[p]) for slot, t in enumerate((tables.LUMA, tables.CHROMA)) for z, p in enumerate(tables.zigzag())]
+#: name: (whether of the color streams, the rows that every image has)
+STATED_ROWS = {
+    "sof": (True, [("baseline", 8, rasters.W, rasters.H, i, i + 1, f, f, min(i, 1)) for i, f in enumerate((2, 1, 1))]),
+    "sos": (True, [(0, i, i + 1, min(i, 1), min(i, 1), 0, 63, 0, 0) for i in range(3)]),
+    "dqt": (True, FACTORS), "dht": (True, BOOKS), "dri": (False, [(1,)]), "jfif": (True, [(1, 2, 0, 1, 1)]), "restarts": (False, [(0, k, k % 8) for k in range(11)]),
+}
+RELATION_KEYS = {n: {"jfif": "jfif", "restarts": "restart_phase"}.get(n, f"parse_{n}") for n in STATED_ROWS}
+
 QUERIES = {
+    **{RELATION_KEYS[n]: _relation(n, color) for n, (color, _) in STATED_ROWS.items()},
+    "strip_metadata": lambda spark, sf: metadata.with_kinds(metadata.strip(_oriented(spark, sf))),
     "decode_lossless": lambda spark, sf: codec.unpack(codec.decode(codec.encode(_packed(spark, sf), process="lossless"))),
     "write_pnm": _written(files.with_pnm), "write_bmp": _written(files.with_bmp), "read_pnm": _reread(files.with_pnm), "read_bmp": _reread(files.with_bmp),
     "image_orientation": lambda spark, sf: metadata.with_orientation(_oriented(spark, sf)), "exif_patch": lambda spark, sf: metadata.with_orientation(_oriented(spark, sf), 6), "metadata_kinds": lambda spark, sf: metadata.with_kinds(_oriented(spark, sf)),
@@ -131,6 +149,8 @@ QUERIES = {
 }
 
 SQL = {
+    **{RELATION_KEYS[n]: duck(f"SELECT * FROM ({EACH}) e CROSS JOIN {values(rows, ', '.join(c.split()[0] for c in headers.RELATIONS[n][1].split(', ')))} v", "r_events") for n, (_, rows) in STATED_ROWS.items()},
+    "strip_metadata": duck(f"SELECT image_id, 1 AS seq, 'jfif' AS kind FROM ({EACH}) e", "r_events"),
     "write_pnm": duck(f"SELECT image_id, '{PNM_HEAD}' || {HEX('y, x', 'c0', 'c1', 'c2')} AS content FROM r_events GROUP BY image_id", "r_events"),
     "write_bmp": duck(f"SELECT image_id, '{BMP_HEAD}' || {HEX('y DESC, x', 'c2', 'c1', 'c0')} AS content FROM r_events GROUP BY image_id", "r_events"),
     **{f"read_{f}": duck("SELECT image_id, y, x, c0::BIGINT AS c0, c1::BIGINT AS c1, c2::BIGINT AS c2 FROM r_events", "r_events") for f in ("pnm", "bmp")},

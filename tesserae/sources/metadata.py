@@ -103,3 +103,20 @@ def with_kinds(images: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int64(), pa.int32(), pa.string()))], names=list(names))
 
     return images.select("image_id", "content").mapInArrow(batches, "image_id long, seq int, kind string")
+
+
+def stripped(data: bytes) -> bytes:
+    """The stream without metadata segments but a JFIF header."""
+    found = list(seg.segments(data))
+    ends = [o for o, *_ in found[1:]] + [len(data)]
+    return b"".join(data[o:end] for (o, code, body, _), end in zip(found, ends, strict=True) if kind(code, body) in (None, "jfif"))
+
+
+def strip(images: DataFrame) -> DataFrame:
+    """image_id, content without metadata segments but a JFIF header."""
+
+    def batches(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array([stripped(c) for c in batch.column("content").to_pylist()], pa.binary())], names=["image_id", "content"])
+
+    return images.select("image_id", "content").mapInArrow(batches, "image_id long, content binary")

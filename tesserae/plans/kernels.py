@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from tesserae import rasters, tables
 from tesserae.functions import color, dct
-from tesserae.operators import codec
+from tesserae.operators import codec, yuv
+from tesserae.plans.dialect import Duck, values
+from tesserae.plans.relational import subsample
 from tesserae.rasters import LUMA_Q, YCC_SQL, blocks, cells, duck, forward_sql, inverse_sql, mapped
-from tesserae.plans.dialect import values
 from tesserae.sources import files, headers, metadata, segments
 
 BASIS, LLM = tables.basis(), tables.llm()
@@ -133,7 +134,10 @@ STATED_ROWS = {
 }
 RELATION_KEYS = {n: {"jfif": "jfif", "restarts": "restart_phase"}.get(n, f"parse_{n}") for n in STATED_ROWS}
 
+CHROMA_SQL = " UNION ALL ".join(f"SELECT image_id, {k} AS plane, oy AS y, ox AS x, s AS v FROM ({subsample(2, 2)(Duck).format(ycc_part='ycc_part').replace('c1', f'c{k}')}) s WHERE oy < 6 AND ox < 7" for k in (1, 2))
+
 QUERIES = {
+    "yuv_unpack": lambda spark, sf: yuv.with_planes(codec.pack(rasters.r_part(spark, sf), 13, 11)),
     **{RELATION_KEYS[n]: _relation(n, color) for n, (color, _) in STATED_ROWS.items()},
     "strip_metadata": lambda spark, sf: metadata.with_kinds(metadata.strip(_oriented(spark, sf))),
     "decode_lossless": lambda spark, sf: codec.unpack(codec.decode(codec.encode(_packed(spark, sf), process="lossless"))),
@@ -149,6 +153,7 @@ QUERIES = {
 }
 
 SQL = {
+    "yuv_unpack": duck(f"SELECT image_id, 0 AS plane, a.i AS y, b.i AS x, c0::BIGINT AS v FROM {Duck.seq(0, 12)} a CROSS JOIN {Duck.seq(0, 14)} b JOIN ycc_part p ON p.y = least(a.i, 10) AND p.x = least(b.i, 12) UNION ALL {CHROMA_SQL}", "ycc_part"),
     **{RELATION_KEYS[n]: duck(f"SELECT * FROM ({EACH}) e CROSS JOIN {values(rows, ', '.join(c.split()[0] for c in headers.RELATIONS[n][1].split(', ')))} v", "r_events") for n, (_, rows) in STATED_ROWS.items()},
     "strip_metadata": duck(f"SELECT image_id, 1 AS seq, 'jfif' AS kind FROM ({EACH}) e", "r_events"),
     "write_pnm": duck(f"SELECT image_id, '{PNM_HEAD}' || {HEX('y, x', 'c0', 'c1', 'c2')} AS content FROM r_events GROUP BY image_id", "r_events"),

@@ -1,6 +1,7 @@
 """Lossless streams: predicted samples and Huffman-coded differences, with tables made for each image.
 
-One scan holds all components at full density; a point transform drops low bits before coding.
+One scan holds all components at full density; a point transform drops low bits before coding. A restart interval is
+a number of whole rows, predicted without those above it.
 """
 
 import struct
@@ -27,21 +28,31 @@ def differences(samples: np.ndarray, predictor: int, middle: int) -> np.ndarray:
     return 32768 - ((32768 - (x - guess)) & 65535)
 
 
-def encode(raster: np.ndarray, precision: int = 8, predictor: int = 1, shift: int = 0) -> bytes:
-    h, w, n = raster.shape
-    gaps = differences(raster.astype(np.int64) >> shift, predictor, 1 << (precision - shift - 1))
+def _tokens(gaps: np.ndarray) -> list[tuple]:
     found = []
-    for k, d in zip(np.tile(np.arange(n), h * w).tolist(), gaps.ravel().tolist(), strict=True):
+    for k, d in zip(np.tile(np.arange(gaps.shape[2]), gaps.shape[0] * gaps.shape[1]).tolist(), gaps.ravel().tolist(), strict=True):
         size = abs(d).bit_length()
         length = 0 if size == 16 else size  # the one difference of class 16 has no further bits
         found.append(((0, min(k, 1)), size, d if d >= 0 else d + (1 << size) - 1, length))
-    books = progressive.optimal_tables(found)
+    return found
+
+
+def encode(raster: np.ndarray, precision: int = 8, predictor: int = 1, shift: int = 0, restart_rows: int = 0) -> bytes:
+    h, w, n = raster.shape
+    if restart_rows * w > 65535:
+        raise ValueError("encoding: invalidRestartInterval")
+    step = restart_rows or h
+    found = [_tokens(differences(raster[y : y + step].astype(np.int64) >> shift, predictor, 1 << (precision - shift - 1))) for y in range(0, h, step)]
+    books = progressive.optimal_tables([t for part in found for t in part])
     part = lambda code, body: struct.pack(">BBH", 255, code, len(body) + 2) + body
     out = b"\xff\xd8" + part(0xC3, struct.pack(">BHHB", precision, h, w, n) + b"".join(bytes([k + 1, 17, 0]) for k in range(n)))
     for (kind, slot), book in books.items():
         out += part(0xC4, bytes([kind << 4 | slot, *book[0], *book[1]]))
+    if restart_rows:
+        out += part(0xDD, struct.pack(">H", restart_rows * w))
     out += part(0xDA, bytes([n]) + b"".join(bytes([k + 1, min(k, 1) << 4]) for k in range(n)) + bytes([predictor, 0, shift]))
-    return out + progressive.write(found, books) + b"\xff\xd9"
+    coded = [progressive.write(some, books) for some in found]
+    return out + b"".join(c + bytes([255, 0xD0 + i % 8]) for i, c in enumerate(coded[:-1])) + coded[-1] + b"\xff\xd9"
 
 
 def is_lossless(data: bytes) -> bool:
@@ -49,15 +60,15 @@ def is_lossless(data: bytes) -> bool:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """(h, w, n) samples of a stream whose components share one scan and density, without restarts."""
-    head, books = None, {}
+    """(h, w, n) samples of a stream whose components share one scan and density."""
+    head, books, restart = None, {}, 0
     for _, code, body, ecs in seg.segments(data):
         if code == 0xC3:
             head = seg.frame(code, body)
         elif code == 0xC4:
             books |= {key: lookup(t) for key, t in seg.huffman(body).items()}
-        elif code == 0xDD and any(body):
-            raise ValueError("decoding: unsupportedProcess")
+        elif code == 0xDD:
+            restart = int.from_bytes(body, "big")
         elif code == 0xDA:
             if head is None:
                 raise ValueError("decoding: scanBeforeFrame")
@@ -68,7 +79,13 @@ def decode(data: bytes) -> np.ndarray:
                 raise ValueError("decoding: unsupportedProcess")
             if any((0, c[1]) not in books for c in s["components"]):
                 raise ValueError("decoding: undefinedHuffmanTable")
-            return _scan(intervals(ecs)[0], head, [books[0, c[1]] for c in s["components"]], s["ss"], s["al"])
+            if restart % head["width"]:
+                raise ValueError("decoding: unsupportedProcess")
+            step, own = restart // head["width"] or head["height"], [books[0, c[1]] for c in s["components"]]
+            parts = intervals(ecs)
+            if len(parts) != -(-head["height"] // step):
+                raise ValueError("decoding: invalidRestart")
+            return np.concatenate([_scan(p, head | {"height": min(step, head["height"] - k * step)}, own, s["ss"], s["al"]) for k, p in enumerate(parts)])
     raise ValueError("decoding: missingScan")
 
 

@@ -10,6 +10,12 @@ Copies of a frequent chunk are dealt into parts of about PART rows before they m
 Null texts stay null and have no lines; an empty text is one empty line and is kept; chunks of
 blank lines only are kept; rows equal in id and text count as one document and share a result; an
 empty table gives no rows; other columns are kept as they are. Names starting with __ are reserved.
+
+Chunks are cut by their surroundings too, so op2 loses the edges of repeated passages and all one-line
+chunks. `dedup_runs`, the pipeline's stage, has no such loss: its units are every two neighbouring lines
+and every line of LONG_WORDS words or more, and a line goes if it stands in a unit that occurs earlier.
+An equal line then stands at an earlier place, so a copy of every line stays. Of three or more blank
+lines in a row the inner ones stay.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, hex_number, join_sized, table
 
 WINDOW, DIVISOR, MODULUS, FACTOR, MIN_LINES = 2, 3, 2147483647, 263, 2
+LONG_WORDS = 50
 PART = 128
 
 
@@ -44,9 +51,14 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # outer, as an inner explode makes Spark push a copy of all these nested expressions down as a filter
     chunks = with_chunks(keyed).select("doc_id", "__key", F.posexplode_outer("__chunks").alias("__k", "__c"))
     chunks = chunks.filter(f"__c.n >= {MIN_LINES}").select("doc_id", "__key", "__k", F.col("__c.body").alias("__body")).filter(F.col("__body").rlike(r"[^\x20\x09-\x0D]"))
-    chunks = chunks.withColumn("__hash", F.xxhash64("__body"))
-    often = scratch.put(chunks.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash", F.ceil(F.col("n") / PART).alias("__parts")))
-    again = scratch.put(join_sized(chunks, often, "__hash", "inner").withColumn("__part", F.pmod(F.xxhash64("doc_id", "__key", "__k"), "__parts")))
+    return later_places(chunks, scratch)
+
+
+def later_places(units: DataFrame, scratch: Scratch) -> DataFrame:
+    """__id, __key and __gone, the places __k of units whose __body stands at an earlier place too."""
+    units = units.withColumn("__hash", F.xxhash64("__body"))
+    often = scratch.put(units.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash", F.ceil(F.col("n") / PART).alias("__parts")))
+    again = scratch.put(join_sized(units, often, "__hash", "inner").withColumn("__part", F.pmod(F.xxhash64("doc_id", "__key", "__k"), "__parts")))
     place = F.struct("doc_id", "__key", "__k")
     first = again.groupBy("__hash", "__body").agg(F.min(place).alias("__first"), F.max("__parts").alias("__parts"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = first.select("__hash", "__body", "__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("__part"))
@@ -74,6 +86,33 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return hit.select(*docs.columns, "n_lines", "n_removed")
 
 
+def repeated_units(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """As repeated_chunks, for pairs of neighbouring lines (place 2 i + 1) and long lines (place 2 i), i from 0."""
+    # possessive and anchored, so that matching takes linear time
+    long = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{LONG_WORDS - 1}}}[^\x20\x09-\x0D]"
+    lines = docs.select("doc_id", F.xxhash64("text").alias("__key"), F.split("text", "\n", -1).alias("__lines"))
+    at = lambda i: F.element_at("__lines", i.cast("int"))
+    numbers = F.sequence(F.lit(1), F.size("__lines"))
+    pairs = F.transform(F.filter(numbers, lambda i: i < F.size("__lines")), lambda i: F.struct((2 * i - 1).alias("k"), F.concat(at(i), F.lit("\n"), at(i + 1)).alias("body")))
+    longs = F.transform(F.filter(numbers, lambda i: at(i).rlike(long)), lambda i: F.struct((2 * i - 2).alias("k"), at(i).alias("body")))
+    units = lines.filter("__lines is not null").select("doc_id", "__key", F.explode_outer(F.concat(pairs, longs)).alias("__u"))
+    units = units.select("doc_id", "__key", F.col("__u.k").alias("__k"), F.col("__u.body").alias("__body")).filter(F.col("__body").rlike(r"[^\x20\x09-\x0D]"))
+    return later_places(units, scratch)
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """docs with every line taken out of text that a unit repeated from an earlier place holds."""
+    scratch = Scratch(docs.sparkSession, "runs")
+    gone = repeated_units(docs.select("doc_id", "text"), scratch).withColumnRenamed("__key", "__key2")
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    joined = join_sized(keyed, gone, keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__key"] == gone["__key2"]), "left", items="__gone")
+    joined = joined.withColumn("__lines", F.split(F.when(F.col("__gone").isNotNull(), F.col("text")), "\n", -1))
+    places = F.flatten(F.transform("__gone", lambda k: F.when(k % 2 == 1, F.array((k + 1) / 2, (k + 3) / 2)).otherwise(F.array(k / 2 + 1)).cast("array<int>")))
+    kept = F.array_except(F.sequence(F.lit(1), F.size("__lines")), places)
+    left = F.array_join(F.transform(kept, lambda i: F.element_at("__lines", i)), "\n")
+    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+
+
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the MD5 of the text that is left, per document."""
     out = dedup_lines(table(sf_dir, "documents", spark, "doc_id", "text"))

@@ -134,6 +134,12 @@ def eob(d):
     (SELECT image_id, k FROM {{levels}} l WHERE z >= 6 GROUP BY image_id, k HAVING max(abs(level)) = 0) a) b GROUP BY image_id, island"""
 
 
+def blocks_at(d):
+    """block_at for every image and block row: columns -1, 4 and 5 lie outside and give zeros."""
+    return f"""SELECT r.image_id, r.brow, b.i AS bcol, z.i AS z, coalesce(level, 0) AS level FROM (SELECT DISTINCT image_id, brow FROM {{levels}} e) r CROSS JOIN {d.seq(-1, 6)} b CROSS JOIN {d.seq(0, 64)} z
+    LEFT JOIN {{levels}} l ON l.image_id = r.image_id AND l.brow = r.brow AND l.bcol = b.i AND l.z = z.i"""
+
+
 def size(d):
     pad = lambda x, n: f"{d.div(f'{x} + {n} - 1', n)} * {n}"
     subs = values(tables.SUBSAMPLINGS, "name, fx, fy")
@@ -245,7 +251,7 @@ PLANS = {
     "canonical_codes": (canonical, ()), "dht_valid": (lambda d: f"SELECT book, CAST(sum(n) AS BIGINT) AS symbols, sum(n * space) <= 65536 AS valid FROM {COUNTS} c JOIN {values([(i, 1 << (16 - i)) for i in range(1, 17)], 'l, space')} p ON length = l GROUP BY book", ()),
     "restart_intervals": (lambda d: f"SELECT image_id, {d.div('k', 5)} AS interval_, count(*) AS blocks, ({d.div('k', 5)}) % 8 AS phase FROM {{levels}} l WHERE z = 0 GROUP BY image_id, {d.div('k', 5)}", ("levels",)),
     "eob_runs": (eob, ("levels",)), "block_at": (lambda d: f"SELECT b.i AS bcol, z.i AS z, coalesce(level, 0) AS level FROM {d.seq(-1, 6)} b CROSS JOIN {d.seq(0, 64)} z LEFT JOIN (SELECT * FROM {{levels}} l WHERE image_id = 0 AND brow = 0) l ON l.bcol = b.i AND l.z = z.i", ("levels",)),
-    "coef_filter": (lambda d: "SELECT image_id, brow, bcol, v, u, CASE WHEN u + v > 4 THEN 0 ELSE level END AS level FROM {levels} l", ("levels",)),
+    "blocks_at": (blocks_at, ("levels",)), "coef_filter": (lambda d: "SELECT image_id, brow, bcol, v, u, CASE WHEN u + v > 4 THEN 0 ELSE level END AS level FROM {levels} l", ("levels",)),
     **{f"transform_{op}": (transform(op), ("levels",)) for op in tables.TRANSFORMS},
     **{f"subsample_{n}": (subsample(fx, fy), ("ycc_part",)) for n, fx, fy in tables.SUBSAMPLINGS if n in ("422", "420", "440", "411", "441", "410", "24")},
     **{f"upsample_{n}": (upsample(fx, fy), ("ycc_part",)) for n, fx, fy in tables.SUBSAMPLINGS if n in ("422", "420", "440")},

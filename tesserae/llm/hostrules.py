@@ -2,11 +2,16 @@
 
 Every document gets word and repetition statistics over its whole text and fails the base rules if
 it is too short or repeats itself. Failures are summed by host (here the source). A host's failure
-rate is shrunk towards the rate of all hosts by a beta prior fitted to the hosts by moments, so that
-small hosts are judged by their neighbours; hosts whose shrunken rate exceeds REJECT lose all documents.
+rate is shrunk by an empirical beta prior, fitted by moments to the rates of all hosts, each counting
+once, so that one huge host does not set the yardstick it is judged by. A host loses all documents
+where its posterior rate, less CAUTION posterior standard deviations, is above both FLOOR and TIMES
+the rate of a typical host. Hosts that differ no more than chance explains all have the typical rate,
+and none is rejected.
 
 Null and empty texts have no words and so fail; a null source is a host of its own; repeated rows
-count each; an empty table gives no rows; columns other than doc_id, text and source are not read.
+count each; rates that tie with the limit are kept; very long texts are single rows of the same
+columns, with work n log n in their words; an empty table gives no rows; columns other than doc_id,
+text and source are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import BLANK, WORD, Scratch, join_sized, table
 
-MIN_WORDS, MAX_REPEAT_PERCENT, REJECT, STRONGEST = 50, 50, 0.8, 1000.0
+MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: A host is rejected above both; a prior weighs as much as LEAST_STRENGTH documents at least.
+FLOOR, TIMES, CAUTION, LEAST_STRENGTH = 0.3, 2.0, 2.0, 1.0
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -41,20 +48,27 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return out.withColumn("n_repeat_words", F.when(F.coalesce(F.size("__p"), F.lit(0)) > 0, covered).otherwise(zero)).drop("__p")
 
 
+def prior(hosts: DataFrame) -> tuple[float, float | None]:
+    """The rate of a typical host and the weight of the prior in documents; None where hosts differ by chance alone."""
+    rate = F.expr("f / n")
+    row = hosts.agg(F.count(F.lit(1)).alias("k"), F.avg(rate).alias("mean"), F.avg(rate * rate).alias("square"), F.avg(F.expr("1 / n")).alias("chance")).first()
+    if not row["k"]:
+        return 0.0, None
+    mean, between = row["mean"], row["square"] - row["mean"] ** 2
+    noise = mean * (1 - mean)
+    excess = between - noise * row["chance"]
+    return mean, max(LEAST_STRENGTH, noise / excess - 1) if excess > 1e-12 else None
+
+
 def host_verdicts(judged: DataFrame, host: str) -> DataFrame:
     """host, its documents n, failures f, the shrunken rate and whether it is rejected."""
     hosts = judged.groupBy(F.col(host).alias("__host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f"))
-    row = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("f").alias("f"), F.sum(F.expr("f * f / n")).alias("ff")).first()
-    k, n, f = row["k"] or 0, row["n"] or 0, row["f"] or 0
-    mean, strength = (f / n if n else 0.0), STRONGEST
-    if 0 < mean < 1:
-        noise = mean * (1 - mean)
-        between = row["ff"] / n - mean * mean
-        excess = between - noise * k / n
-        if excess > 0:
-            strength = min(STRONGEST, max(1.0, (noise - between) / excess))
-    rate = (F.col("f") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.withColumn("rate", rate).withColumn("rejected", F.col("rate") > REJECT)
+    mean, strength = prior(hosts)
+    if strength is None:
+        return hosts.withColumn("rate", F.lit(mean)).withColumn("rejected", F.lit(False))
+    rate, weight = (F.col("f") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength)), F.col("n") + F.lit(strength + 1)
+    low = F.col("rate") - CAUTION * F.sqrt(F.col("rate") * (1 - F.col("rate")) / weight)
+    return hosts.withColumn("rate", rate).withColumn("rejected", low > F.lit(max(FLOOR, TIMES * mean)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -84,10 +98,11 @@ s AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(rege
     CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN n USING (rid)),
 b AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM s),
 h AS (SELECT source, count(*) AS n, CAST(sum(base_failed::INT) AS BIGINT) AS f FROM b GROUP BY source),
-m AS (SELECT count(*) AS k, sum(n) AS n, sum(f)::DOUBLE / sum(n) AS mean, sum(f::DOUBLE * f / n) / sum(n) - (sum(f)::DOUBLE / sum(n)) ** 2 AS between_ FROM h),
-q AS (SELECT mean, CASE WHEN mean > 0 AND mean < 1 AND between_ - mean * (1 - mean) * k / n > 0
-    THEN least({STRONGEST}, greatest(1.0, (mean * (1 - mean) - between_) / (between_ - mean * (1 - mean) * k / n))) ELSE {STRONGEST} END AS strength FROM m),
-v AS (SELECT source, (f + mean * strength) / (n + strength) > {REJECT} AS rejected FROM h, q)
+m AS (SELECT avg(f::DOUBLE / n) AS mean, avg((f::DOUBLE / n) * (f::DOUBLE / n)) - avg(f::DOUBLE / n) ** 2 AS between_, avg(1.0::DOUBLE / n) AS chance FROM h),
+e AS (SELECT mean, mean * (1 - mean) AS noise, between_ - mean * (1 - mean) * chance AS excess FROM m),
+q AS (SELECT mean, CASE WHEN excess > 1e-12 THEN greatest({LEAST_STRENGTH}, noise / excess - 1) END AS strength FROM e),
+u AS (SELECT source, n, strength, greatest({FLOOR}, {TIMES} * mean) AS most, (f + mean * strength) / (n + strength) AS rate FROM h, q),
+v AS (SELECT source, coalesce(rate - {CAUTION} * sqrt(rate * (1 - rate) / (n + strength + 1)) > most, false) AS rejected FROM u)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT rejected) AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """

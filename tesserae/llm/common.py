@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word is a run of anything but the six ASCII blanks; a blank is one of those.
@@ -70,15 +71,16 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def join_sized(big: DataFrame, small: DataFrame, on, how: str = "left", items: str | None = None) -> DataFrame:
+def join_sized(big: DataFrame, small: DataFrame, on, how: str = "left", items: str | None = None, most: int = BROADCAST_ITEMS) -> DataFrame:
     """Join with the small side broadcast if counting proves it small, else shuffled.
 
     The shuffled join is a plain equi-join, whose skewed partitions adaptive execution splits.
-    `small` should be a scratch table, as it is counted first; `items` names its array column.
+    `small` should be a scratch table, as it is counted first; `items` names its array column, of whose
+    elements there may be `most` in all.
     """
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.sum(F.size(items)).alias("items")] if items else [])
     row = small.agg(*aggs).first()
-    fits = row["n"] <= BROADCAST_ROWS and (not items or (row["items"] or 0) <= BROADCAST_ITEMS)
+    fits = row["n"] <= BROADCAST_ROWS and (not items or (row["items"] or 0) <= most)
     return big.join(F.broadcast(small) if fits else small.hint("merge"), on, how)
 
 
@@ -100,3 +102,16 @@ def slices(batch, rows: int = 64):
     """An Arrow batch in parts of a few rows, so that only those are Python objects at a time."""
     for lo in range(0, batch.num_rows, rows):
         yield batch.slice(lo, rows)
+
+
+def by_size(batch, column: str = "text", most: int = 1 << 22, rows: int = 2048):
+    """An Arrow batch in parts of at most `rows` rows and about `most` bytes of the column; a larger value is alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > lo and (held + size > most or k - lo >= rows):
+            yield batch.slice(lo, k - lo)
+            lo, held = k, 0
+        held += size
+    if lo < batch.num_rows:
+        yield batch.slice(lo)

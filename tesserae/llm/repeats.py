@@ -1,25 +1,30 @@
 """Removal of repeated strings by distributed prefix-free parsing.
 
 A string of LENGTH bytes is to go wherever it starts more than once in the corpus. Rolling-hash
-triggers parse every text: the trigger of a start is the place of the smallest hash of eight bytes
-among the next WINDOW places, so it depends on the string alone, and every string has one. The
-starts that share a trigger form one block of the parse; the bytes right of a trigger that all its
-strings share are the core, under which the parse is ordered. What the suffix arrays of a corpus
-would give, neighbours that agree on LENGTH bytes, is found class by class instead of by a sorted
-order, which no single machine could hold: first the dictionary of distinct (core, block) pairs,
-where a block that occurs twice settles all its strings at once; then, only under cores with several
-distinct blocks, the strings of those blocks, in pieces of PIECE neighbouring starts: a piece whose
-common bytes are alone is dead, one whose whole extent repeats is settled, and only what is neither,
-the edges of repeats, is decided string by string. All classes are hash aggregations, so that a
-passage that a third of the documents share is one row per task.
-
-A string's class is its core's and its own 64-bit hash, so two different strings would have to agree
-in both. A bit table of FILTER_BITS, built from the cores that occur twice, spares the others the
-second pass; where it is full it lets more through and the result is the same.
+triggers parse every text into phrases: the trigger of a start is the place of the smallest hash of
+eight bytes among the next WINDOW places, so it depends on the string alone, and every string has one.
+A start is then a phrase suffix, the bytes up to its trigger, followed by the parse from that trigger
+on. The starts that share a trigger form one block; the CORE bytes right of a trigger that all its
+strings share are the core, by which the work is dealt out: strings that are equal have equal cores.
+
+The dictionary holds the distinct (core, block) pairs. A block that occurs twice settles all its strings
+at once. Only cores with several distinct blocks, one of them alone, need an order: for these, task
+by task, two suffix arrays are made over the blocks' bytes, one of the parse (what follows a trigger)
+and one of the dictionary (phrase suffixes, which are read backwards from the trigger), both with
+their longest common prefixes. Combined, they are the corpus order down to LENGTH bytes: a start `a`
+bytes ahead of its trigger is in a run of neighbours that agree on LENGTH bytes where its dictionary
+class at depth `a` and its parse class at depth LENGTH - a are both shared. Cores with more than
+CORE_BLOCKS distinct blocks are too large for one task: their strings are hashed one by one (128 bits)
+and counted in a distributed aggregation, which gives the same runs.
+
+Whole blocks are equal by two 64-bit hashes, strings of such large cores by 128 bits; all else is
+compared byte by byte. A bit table of FILTER_BITS, built from the cores that occur twice, spares the
+others the second pass; where it is full it lets more through and the result is the same.
 
 Null texts count as empty and lose nothing; matches never cross documents; rows equal in doc_id and
-text are two documents, which therefore repeat each other; an empty table gives no rows; columns
-other than doc_id and text are not read.
+text are two documents, which therefore repeat each other; very long texts are parsed in stretches of
+STRETCH bytes, each with the LENGTH - 1 bytes that follow, which changes blocks but no string; there are
+no ties to break; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,30 +34,41 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, join_sized, slices, table
+from .common import Scratch, by_size, join_sized, slices, table
 
-LENGTH, WINDOW, FILTER_BITS, SLAB, PIECE = 200, 120, 26, 1 << 20, 8
+LENGTH, WINDOW, FILTER_BITS, STRETCH = 200, 120, 26, 1 << 20
 CORE = LENGTH - WINDOW + 1
+#: Distinct blocks of one core that a task orders at most, and rows that it orders at a time.
+CORE_BLOCKS, ROWS = 8192, 32_768
+#: A join side above this many array elements is shuffled.
+ITEMS = 500_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
-def slabs(texts: pa.Array):
-    """(first document, their bytes) of about SLAB bytes each; a longer text is alone."""
-    part, size, first = [], 0, 0
+def utf8(value: pa.Scalar):
+    """The bytes of a text, not copied; a null is empty."""
+    return memoryview(value.as_buffer()) if value.is_valid else memoryview(b"")
+
+
+def stretches(texts: pa.Array):
+    """Lists of (row, place, bytes) of about STRETCH bytes; a longer text is cut, each part with the LENGTH - 1 bytes that follow."""
+    part, size = [], 0
     for k, t in enumerate(texts):
-        raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
-        if part and size + len(raw) > SLAB:
-            yield first, part
-            part, size, first = [], 0, k
-        part.append(raw)
-        size += len(raw)
+        raw = utf8(t)
+        for at in range(0, len(raw) - LENGTH + 1, STRETCH):
+            piece = raw[at : at + STRETCH + LENGTH - 1]
+            if part and size + len(piece) > STRETCH:
+                yield part
+                part, size = [], 0
+            part.append((k, at, piece))
+            size += len(piece)
     if part:
-        yield first, part
+        yield part
 
 
-def parse(raws: list[bytes]):
-    """The bytes of the slab, and per block: document, place of its first start, starts, place of its trigger (in the slab)."""
+def parse(raws: list):
+    """The joined bytes, and per block: number of its text, place of its first start, starts, place of its trigger (in the joined bytes)."""
     raw = b"".join(raws)
     none = np.empty(0, np.int64)
     if len(raw) < LENGTH:
@@ -87,8 +103,8 @@ def signed(values) -> pa.Array:
 
 def _cores(it):
     for batch in it:
-        for _, raws in slabs(batch.column("text")):
-            raw, _, _, _, trigger = parse(raws)
+        for part in stretches(batch.column("text")):
+            raw, _, _, _, trigger = parse([x for *_, x in part])
             if len(trigger):
                 yield pa.RecordBatch.from_arrays([signed(xxhash.xxh3_64_intdigest(raw[t : t + CORE]) for t in trigger.tolist())], names=["core"])
 
@@ -114,88 +130,155 @@ def blocks(docs: DataFrame, repeated: DataFrame) -> DataFrame:
         low = np.uint64((1 << FILTER_BITS) - 1)
         for batch in it:
             ids, keys = batch.column("doc_id"), batch.column("key")
-            for first, raws in slabs(batch.column("text")):
-                raw, document, start, starts, trigger = parse(raws)
+            for part in stretches(batch.column("text")):
+                raw, number, start, starts, trigger = parse([x for *_, x in part])
                 if not len(trigger):
                     continue
                 core = np.fromiter((xxhash.xxh3_64_intdigest(raw[t : t + CORE]) for t in trigger.tolist()), np.uint64, len(trigger))
                 use = np.flatnonzero(table_[((core & low) >> np.uint64(6)).astype(np.int64)] >> (core & np.uint64(63)) & np.uint64(1))
                 if not len(use):
                     continue
-                core, document, start, starts, ahead = core[use], document[use], start[use], starts[use], (trigger - start)[use]
+                core, number, start, starts, ahead = core[use], number[use], start[use], starts[use], (trigger - start)[use]
                 block = signed(xxhash.xxh3_64_intdigest(raw[a : a + c - 1 + LENGTH]) for a, c in zip(start.tolist(), starts.tolist(), strict=True))
-                begins = np.concatenate([[0], np.cumsum([len(r) for r in raws])])[document]
-                row = pa.array(document + first)
+                begins = np.concatenate([[0], np.cumsum([len(x) for *_, x in part])])[number] - np.array([at for _, at, _ in part])[number]
+                row = pa.array(np.array([k for k, *_ in part])[number])
                 yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), block, ids.take(row), keys.take(row), pa.array((start - begins << 14) + (starts << 7) + ahead)], names=["core", "block", "doc_id", "key", "place"])
 
     schema = docs.select(F.lit(0).cast("long").alias("core"), F.lit(0).cast("long").alias("block"), "doc_id", "key", F.lit(0).cast("long").alias("place")).schema
     return docs.select("doc_id", "key", "text").mapInArrow(found, schema)
 
 
-def extent(place: int, g: int) -> tuple[int, int, int]:
-    """Of piece g of the block at that place: its first start, its number of starts and its trigger."""
-    start, starts, ahead = place >> 14, place >> 7 & 127, place & 127
-    far, near = min(ahead, PIECE * g + PIECE - 1), max(ahead - starts + 1, PIECE * g)
-    return start + ahead - far, far - near + 1, start + ahead
+def listed(located: DataFrame, columns: dict, make) -> DataFrame:
+    """Rows made of every listed block (`some`) of every text: core, doc_id, key and the columns, of which make(bytes, block) gives lists."""
 
+    def found(it):
+        for batch in (part for whole in it for part in by_size(whole)):
+            ids, keys = batch.column("doc_id"), batch.column("key")
+            for k, some in enumerate(batch.column("some").to_pylist()):
+                raw = utf8(batch.column("text")[k])
+                for lo in range(0, len(some), 2000):
+                    rows = [(b["core"], *r) for b in some[lo : lo + 2000] for r in make(raw, b)]
+                    row = pa.array(np.full(len(rows), k))
+                    values = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *(t for t, _ in columns.values())), strict=True)]
+                    yield pa.RecordBatch.from_arrays([values[0], ids.take(row), keys.take(row), *values[1:]], names=["core", "doc_id", "key", *columns])
 
-def pieces(located: DataFrame) -> DataFrame:
-    """core, block, g, inner, outer, alone: the listed blocks in pieces of up to PIECE starts.
+    schema = located.select(F.lit(0).cast("long").alias("core"), "doc_id", "key", *(F.lit(None).cast(t).alias(n) for n, (_, t) in columns.items())).schema
+    return located.select("doc_id", "key", "text", "some").mapInArrow(found, schema)
 
-    Pieces are cut by the distance to the trigger, alike in all blocks of a core. inner is the class
-    of the bytes that all strings of a piece share, outer that of the piece's whole extent (null for
-    a piece that its block cuts short).
-    """
-    digest = xxhash.xxh3_64_intdigest
 
-    def found(it):
-        for batch in (part for whole in it for part in slices(whole)):
-            for text, some in zip(batch.column("text").to_pylist(), batch.column("some").to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                for lo in range(0, len(some), 500):
-                    core, block, piece, inner, outer, alone = [], [], [], [], [], []
-                    for b in some[lo : lo + 500]:
-                        ahead = b["place"] & 127
-                        for g in range((ahead - (b["place"] >> 7 & 127) + 1) // PIECE, ahead // PIECE + 1):
-                            _, starts, trigger = extent(b["place"], g)
-                            at = trigger - PIECE * g
-                            core.append(b["core"])
-                            block.append(b["block"])
-                            piece.append(g)
-                            inner.append(digest(raw[at : at + LENGTH - PIECE + 1], g))
-                            outer.append(digest(raw[at - PIECE + 1 : at + LENGTH], g) if starts == PIECE else None)
-                            alone.append(b["alone"])
-                    short = np.array([x is None for x in outer])
-                    outer = np.array([x or 0 for x in outer], np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(block, pa.int64()), pa.array(piece, pa.int8()), signed(inner), pa.array(outer, mask=short), pa.array(alone)], names=["core", "block", "g", "inner", "outer", "alone"])
-
-    return located.select("text", "some").mapInArrow(found, "core long, block long, g byte, inner long, outer long, alone boolean")
+def with_bytes(located: DataFrame) -> DataFrame:
+    """core, doc_id, key, place, alone, bytes: the listed blocks with the bytes of all their strings."""
+
+    def make(raw, b):
+        start, starts = b["place"] >> 14, b["place"] >> 7 & 127
+        yield b["place"], b["alone"], bytes(raw[start : start + starts - 1 + LENGTH])
+
+    return listed(located, {"place": (pa.int64(), "long"), "alone": (pa.bool_(), "boolean"), "bytes": (pa.binary(), "binary")}, make)
 
 
 def strings(located: DataFrame) -> DataFrame:
-    """core, hash, doc_id, key, start, alone: every string of the listed pieces."""
+    """core, doc_id, key, start, alone, hash: every string of the listed blocks."""
 
-    def found(it):
-        for batch in (part for whole in it for part in slices(whole)):
-            ids, keys = batch.column("doc_id"), batch.column("key")
-            for k, (text, some) in enumerate(zip(batch.column("text").to_pylist(), batch.column("some").to_pylist(), strict=True)):
-                raw = text.encode("utf-8", "surrogatepass")
-                for lo in range(0, len(some), 4000):
-                    rows = [(b["core"], p, b["alone"]) for b in some[lo : lo + 4000] for first, n, _ in (extent(b["place"], b["g"]),) for p in range(first, first + n)]
-                    core, start, alone = zip(*rows, strict=True)
-                    row = pa.array(np.full(len(rows), k))
-                    yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), signed(xxhash.xxh3_64_intdigest(raw[p : p + LENGTH]) for p in start), ids.take(row), keys.take(row), pa.array(start, pa.int64()), pa.array(alone)], names=["core", "hash", "doc_id", "key", "start", "alone"])
+    def make(raw, b):
+        start = b["place"] >> 14
+        for p in range(start, start + (b["place"] >> 7 & 127)):
+            yield p, b["alone"], xxhash.xxh3_128_digest(raw[p : p + LENGTH])
 
-    number = F.lit(0).cast("long")
-    schema = located.select(number.alias("core"), number.alias("hash"), "doc_id", "key", number.alias("start"), F.lit(True).alias("alone")).schema
-    return located.select("doc_id", "key", "text", "some").mapInArrow(found, schema)
+    return listed(located, {"start": (pa.int64(), "long"), "alone": (pa.bool_(), "boolean"), "hash": (pa.binary(), "binary")}, make)
+
+
+def suffix_array(core: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes within their cores, and the bytes that each shares with the one before it; -1 where a core begins."""
+    words = np.ascontiguousarray(suffixes).view(">u8").astype(np.uint64)
+    order = np.lexsort((*words.T[::-1], core))
+    in_order, cores = suffixes[order], core[order]
+    differs = np.concatenate([in_order[1:] != in_order[:-1], np.ones((len(order) - 1, 1), bool)], axis=1)
+    shared = np.where(cores[1:] == cores[:-1], differs.argmax(axis=1), -1)
+    return order, np.concatenate([[-1], shared])
+
+
+def classes(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
+    """A number for every row, equal where rows agree in core and in the first `depth` bytes."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(shared < depth)
+    return out
+
+
+def repeated_in(core: np.ndarray, near: np.ndarray, far: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """(blocks, WINDOW): whether the start WINDOW - 1 - column bytes ahead of the block's trigger has an equal string in another block.
+
+    context: the bytes of each block, its trigger at column WINDOW - 1, zeros outside of it; its
+    strings start near to far bytes ahead of the trigger.
+    """
+    pad = np.zeros((len(core), 1), np.uint8)
+    parse_order = suffix_array(core, np.concatenate([context[:, WINDOW - 1 + CORE :], pad], axis=1))
+    phrase_order = suffix_array(core, np.concatenate([context[:, : WINDOW - 1][:, ::-1], pad], axis=1))
+    out = np.zeros((len(core), WINDOW), bool)
+    for ahead in range(WINDOW):
+        rows = np.flatnonzero((near <= ahead) & (ahead <= far))
+        if len(rows) < 2:
+            continue
+        both = classes(*phrase_order, ahead)[rows] << 32 | classes(*parse_order, LENGTH - CORE - ahead)[rows]
+        order = np.argsort(both)
+        same = both[order][1:] == both[order][:-1]
+        out[rows[order], WINDOW - 1 - ahead] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    return out
+
+
+def aligned(blocks_: pa.Array, far: np.ndarray) -> np.ndarray:
+    """The bytes of blocks as rows, every trigger at column WINDOW - 1."""
+    blocks_ = blocks_.cast(pa.large_binary())
+    ends = np.frombuffer(blocks_.buffers()[1], np.int64)[blocks_.offset : blocks_.offset + len(blocks_) + 1]
+    out = np.zeros((len(blocks_), WINDOW - 1 + LENGTH), np.uint8)
+    sizes = np.diff(ends)
+    column = np.arange(ends[-1] - ends[0]) - np.repeat(ends[:-1] - ends[0], sizes) + np.repeat(WINDOW - 1 - far, sizes)
+    out[np.repeat(np.arange(len(sizes)), sizes), column] = np.frombuffer(blocks_.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return out
+
+
+def _ordered(it):
+    """doc_id, key, run of the repeated strings of blocks that are alone; rows come sorted by core, and a core has at most CORE_BLOCKS."""
+
+    def order(rows: pa.Table):
+        rows = rows.combine_chunks()
+        place = rows.column("place").to_numpy()
+        far = place & 127
+        near = far - (place >> 7 & 127) + 1
+        found = repeated_in(rows.column("core").to_numpy(), near, far, aligned(rows.column("bytes").chunk(0), far))
+        found &= rows.column("alone").to_numpy()[:, None]
+        edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (row, first), (_, last) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        start = (place >> 14)[row] + far[row] - (WINDOW - 1) + first
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id").chunk(0).take(at), rows.column("key").chunk(0).take(at), pa.array(start * 128 + last - first)], names=["doc_id", "key", "run"])
+
+    held, size = [], 0
+    for batch in it:
+        while batch.num_rows:
+            core = batch.column("core").to_numpy()
+            cut = batch.num_rows
+            if size + cut >= ROWS:  # up to the end of the core at which there are enough
+                ends = np.flatnonzero(np.diff(core)) + 1
+                if held and core[0] != held[-1].column("core")[-1].as_py():
+                    ends = np.concatenate([[0], ends])
+                ends = ends[size + ends >= ROWS]
+                cut = int(ends[0]) if len(ends) else -1
+            if cut < 0 or size + cut < ROWS:
+                held.append(batch)
+                size += batch.num_rows
+                break
+            held.append(batch.slice(0, cut))
+            yield from order(pa.Table.from_batches(held))
+            held, size, batch = [], 0, batch.slice(cut)
+    if size:
+        yield from order(pa.Table.from_batches(held))
 
 
 def in_texts(docs: DataFrame, listed: DataFrame, scratch: Scratch, *columns: str) -> DataFrame:
     """docs with `some`, the listed rows of each document as an array of structs; only documents that have any."""
     places = listed.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*columns)).alias("some"))
     places = scratch.put(places.withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key"))
-    return join_sized(docs, places, docs["doc_id"].eqNullSafe(places["__id"]) & (docs["key"] == places["__key"]), "inner", items="some")
+    return join_sized(docs, places, docs["doc_id"].eqNullSafe(places["__id"]) & (docs["key"] == places["__key"]), "inner", items="some", most=ITEMS)
 
 
 def runs_per_document(runs: DataFrame) -> DataFrame:
@@ -218,26 +301,25 @@ def repeated_starts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     whole = scratch.put(runs_per_document(whole.select("doc_id", "key", run(F.shiftright("place", 14), F.shiftright("place", 7).bitwiseAND(F.lit(127))))))
     scratch.drop(repeated, parsed)
     # cores with several blocks, one of them alone
-    several = dictionary.groupBy("core").agg(times, F.min("n").alias("least")).filter("n > 1 and least = 1").select("core")
-    open_ = dictionary.join(several.hint("merge"), "core", "left_semi").withColumn("alone", F.col("n") == 1)
-    cut = scratch.put(pieces(in_texts(docs, open_, scratch, *pair, "place", "alone")))
-    shared = cut.groupBy("core", "inner").agg(times, F.max("alone").alias("alone")).filter("n > 1 and alone").select("core", "inner")
-    living = scratch.put(cut.join(shared.hint("merge"), ["core", "inner"], "left_semi"))
-    scratch.drop(cut)
-    twice = living.filter("outer is not null").groupBy("core", "outer").agg(times).filter("n > 1").select("core", "outer", F.lit(True).alias("twice"))
-    judged = scratch.put(living.join(twice.hint("merge"), ["core", "outer"], "left"))
-    scratch.drop(living)
-    located = dictionary.select(*pair, "doc_id", "key", "place")
-    first = F.shiftright("place", 14) + F.col("place").bitwiseAND(F.lit(127)) - PIECE * F.col("g") - (PIECE - 1)
-    piece = judged.filter("alone and twice").select(*pair, "g").join(located, pair).select("doc_id", "key", run(first, F.lit(PIECE)))
-    edges = judged.filter("alone and twice is null").select("core", "inner").distinct()
-    edges = judged.join(edges.hint("merge"), ["core", "inner"], "left_semi").select(*pair, "g", "alone").join(located, pair)
-    single = scratch.put(strings(in_texts(docs, edges, scratch, "core", "place", "g", "alone")))
-    again = single.groupBy("core", "hash").agg(times, F.max("alone").alias("alone")).filter("n > 1 and alone").select("core", "hash")
-    part = single.filter("alone").join(again.hint("merge"), ["core", "hash"], "left_semi").select("doc_id", "key", run(F.col("start"), F.lit(1)))
-    parts = scratch.put(runs_per_document(piece.unionByName(part)))
-    scratch.drop(dictionary, judged, single)
-    return whole.unionByName(parts)
+    several = dictionary.groupBy("core").agg(times, F.min("n").alias("least")).filter("n > 1 and least = 1").select("core", (F.col("n") > CORE_BLOCKS).alias("hot"))
+    open_ = dictionary.withColumn("alone", F.col("n") == 1).drop("n").join(several.hint("merge"), "core")
+    open_ = scratch.put(open_.select("core", "doc_id", "key", "place", "alone", "hot"))
+    scratch.drop(dictionary)
+    listed_ = lambda rows: in_texts(docs, rows, scratch, "core", "place", "alone")
+    dealt = with_bytes(listed_(open_.filter("not hot"))).repartition("core").sortWithinPartitions("core")
+    schema = docs.select("doc_id", "key", F.lit(0).cast("long").alias("run")).schema
+    parts = [scratch.put(runs_per_document(dealt.mapInArrow(_ordered, schema)))]
+    hot = open_.filter("hot")
+    if not hot.isEmpty():
+        single = scratch.put(strings(listed_(hot)))
+        again = single.groupBy("core", "hash").agg(times, F.max("alone").alias("alone")).filter("n > 1 and alone").select("core", "hash")
+        part = single.filter("alone").join(again.hint("merge"), ["core", "hash"], "left_semi").select("doc_id", "key", run(F.col("start"), F.lit(1)))
+        parts.append(scratch.put(runs_per_document(part)))
+        scratch.drop(single)
+    for part in parts:
+        whole = whole.unionByName(part)
+    scratch.drop(open_)
+    return whole
 
 
 def covered(runs: list[int]) -> np.ndarray:
@@ -268,15 +350,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     runs = repeated_starts(docs, scratch)
     spans = scratch.put(merged(runs).withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key"))
-    joined = join_sized(docs, spans, docs["doc_id"].eqNullSafe(spans["__id"]) & (docs["key"] == spans["__key"]), "left", items="spans")
+    joined = join_sized(docs, spans, docs["doc_id"].eqNullSafe(spans["__id"]) & (docs["key"] == spans["__key"]), "left", items="spans", most=ITEMS)
 
     def cut(it):
-        for batch in (part for whole in it for part in slices(whole)):
+        for batch in (part for whole in it for part in by_size(whole)):
             kept = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
+            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+                raw = utf8(text)
                 inner = [0, *(x for s in spans or () for x in (s["start"], s["stop"])), len(raw)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(inner[::2], inner[1::2], strict=True)) if spans else raw)
+                kept.append(b"".join(raw[a:b] for a, b in zip(inner[::2], inner[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("spans"), pa.array(kept, pa.binary())], names=["doc_id", "spans", "kept"])
 
     joined = joined.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")))

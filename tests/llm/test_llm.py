@@ -120,31 +120,63 @@ def test_simhash(spark, odd, where):
     assert sorted(map(tuple, got), key=repr) == want
 
 
-@pytest.mark.parametrize("k", [1, 2, 3])
-def test_upper_nodes_lose_no_link(k):
-    masks = simhash.upper_nodes(k)
-    rng = np.random.default_rng(k)
-    for _ in range(500):
+@pytest.mark.parametrize("n", [1, 128, 129, 5000, 10**6, 10**8, 10**10, 10**13])
+def test_upper_nodes_lose_no_link(n):
+    masks = simhash.upper_nodes(n)
+    fixed = masks[0].bit_count()
+    assert all(m.bit_count() == fixed for m in masks) and n / 2**fixed <= simhash.MEMBERS
+    rng = np.random.default_rng(n)
+    for _ in range(200):
         flips = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
-        assert any(not flips & m for m in masks)
+        open_ = [m for m in masks if not flips & m]
+        assert open_ and all(any(not flips & x for x in simhash.refined(m)) for m in open_)
 
 
 @pytest.mark.parametrize("spread", [2, 5, 64])
-def test_gray_index(spread):
+@pytest.mark.parametrize("fixed", [0, 6])
+def test_gray_forest(spread, fixed):
+    """Over cells of any size: the links, and no others, up to what links already connect."""
     rng = np.random.default_rng(spread)
     base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
     flips = np.uint64(1) << rng.integers(0, 64, (12, 150, min(spread, 5))).astype(np.uint64)
     codes = np.unique((base[:, None] ^ np.bitwise_or.reduce(flips, axis=2)).ravel() if spread < 64 else rng.integers(0, 1 << 63, 1500, dtype=np.uint64))
-    pairs = simhash.GrayIndex(codes).links(codes)
-    a = np.concatenate([np.where(x < 0, -1 - x, x) for x, _ in pairs])
-    b = np.concatenate([y for _, y in pairs])
-    assert (np.bitwise_count(codes[a] ^ codes[b]) <= 4).all()
-    x, y = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None]) <= 4)
+    codes = rng.permutation(codes)
+    cells = (codes & np.uint64((1 << fixed) - 1)).astype(np.int64)
+    a, b = simhash.cell_links(cells, np.full(len(codes), 2), codes)
+    assert (np.bitwise_count(codes[a] ^ codes[b]) <= 4).all() and (cells[a] == cells[b]).all()
+    x, y = np.nonzero((np.bitwise_count(codes[:, None] ^ codes[None]) <= 4) & (cells[:, None] == cells[None]))
     assert (simhash.spanning(len(codes), a, b) == simhash.spanning(len(codes), x, y)).all()
 
 
-def test_large_cells_are_split(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CELL", 40)
+def test_nodes_are_pruned():
+    """Of clusters of fingerprints a query reaches the leaves of its own cluster, hardly others."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 64, dtype=np.uint64)
+    codes = np.unique(base[:, None] ^ (np.uint64(1) << rng.integers(0, 20, (64, 64)).astype(np.uint64)))
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    forest = simhash.GrayForest(np.zeros(len(codes), np.int64), codes)
+    reached = []
+    full = forest.levels[0]
+    forest.levels[0] = (full[0], Counting(full[1], reached), *full[2:])
+    list(forest.links(codes, np.zeros(len(codes), np.int64), np.full(len(codes), len(codes))))
+    assert 0 < sum(reached) < 0.1 * len(codes) ** 2
+
+
+class Counting:
+    """An array that notes how many elements are asked for."""
+
+    def __init__(self, values, noted):
+        self.values, self.noted = values, noted
+
+    def __getitem__(self, at):
+        self.noted.append(len(at))
+        return self.values[at]
+
+
+@pytest.mark.parametrize("cell, part", [(40, 20), (4, 2)])
+def test_large_cells_are_refined(spark, monkeypatch, cell, part):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "PART", part)
     rng = np.random.default_rng(3)
     codes = {int(x) for x in np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (600, 3)).astype(np.uint64), axis=1)}
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
@@ -156,6 +188,12 @@ def test_large_cells_are_split(spark, monkeypatch):
     assert all(got.get(int(arr[i]), int(arr[i])) == int(arr[label[i]]) for i in range(len(arr)))
 
 
+def test_links_come_from_the_index(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_search", lambda it: iter(()))
+    got = QUERIES["op10_simhash"](spark, SF).collect()
+    assert all(len({r["fingerprint"] for r in got if r["component_id"] == k}) == 1 for k in {r["component_id"] for r in got})
+
+
 def brute_tiles(a, b, least):
     """Greedy tiling by its definition: again and again the longest common run of unmarked words."""
     free_a, free_b, covered = [True] * len(a), [True] * len(b), 0

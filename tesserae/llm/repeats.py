@@ -34,14 +34,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, by_size, join_sized, slices, table
+from .common import Scratch, by_size, slices, table
 
 LENGTH, WINDOW, FILTER_BITS, STRETCH = 200, 120, 26, 1 << 20
 CORE = LENGTH - WINDOW + 1
 #: Distinct blocks of one core that a task orders at most, and rows that it orders at a time.
-CORE_BLOCKS, ROWS = 8192, 32_768
-#: A join side above this many array elements is shuffled.
-ITEMS = 500_000
+CORE_BLOCKS, ROWS = 2048, 32_768
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
@@ -274,11 +272,16 @@ def _ordered(it):
         yield from order(pa.Table.from_batches(held))
 
 
+def shuffled(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Texts joined with what was found in them (__id, __key), at every size by a shuffle, as both grow with the corpus."""
+    return docs.join(rows.hint("merge"), docs["doc_id"].eqNullSafe(rows["__id"]) & (docs["key"] == rows["__key"]), how)
+
+
 def in_texts(docs: DataFrame, listed: DataFrame, scratch: Scratch, *columns: str) -> DataFrame:
     """docs with `some`, the listed rows of each document as an array of structs; only documents that have any."""
     places = listed.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*columns)).alias("some"))
     places = scratch.put(places.withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key"))
-    return join_sized(docs, places, docs["doc_id"].eqNullSafe(places["__id"]) & (docs["key"] == places["__key"]), "inner", items="some", most=ITEMS)
+    return shuffled(docs, places, "inner")
 
 
 def runs_per_document(runs: DataFrame) -> DataFrame:
@@ -350,7 +353,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     runs = repeated_starts(docs, scratch)
     spans = scratch.put(merged(runs).withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key"))
-    joined = join_sized(docs, spans, docs["doc_id"].eqNullSafe(spans["__id"]) & (docs["key"] == spans["__key"]), "left", items="spans", most=ITEMS)
+    joined = shuffled(docs, spans, "left")
 
     def cut(it):
         for batch in (part for whole in it for part in by_size(whole)):

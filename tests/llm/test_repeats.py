@@ -23,9 +23,9 @@ def corpus():
     return docs
 
 
-@pytest.mark.parametrize("change", [{}, {"CORE_BLOCKS": 8}, {"ITEMS": 0}])
+@pytest.mark.parametrize("change", [{}, {"CORE_BLOCKS": 8}])
 def test_each_way(spark, tmp_path, monkeypatch, change):
-    """In turn: as it is, with cores too large for a task, without broadcasts."""
+    """As it is, and with cores too large for a task."""
     for name, value in change.items():
         monkeypatch.setattr(repeats, name, value)
     spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")

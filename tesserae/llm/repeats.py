@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, by_size, slices, table
 
-LENGTH, WINDOW, FILTER_BITS, STRETCH = 200, 120, 26, 1 << 20
+LENGTH, WINDOW, FILTER_BITS, STRETCH = 200, 120, 26, 1 << 18
 CORE = LENGTH - WINDOW + 1
 #: Distinct blocks of one core that a task orders at most, and rows that it orders at a time.
-CORE_BLOCKS, ROWS = 2048, 32_768
+CORE_BLOCKS, ROWS = 2048, 8192
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 

@@ -14,11 +14,12 @@ and one of the dictionary (phrase suffixes, which are read backwards from the tr
 their longest common prefixes. Combined, they are the corpus order down to LENGTH bytes: a start `a`
 bytes ahead of its trigger is in a run of neighbours that agree on LENGTH bytes where its dictionary
 class at depth `a` and its parse class at depth LENGTH - a are both shared. Cores with more than
-CORE_BLOCKS distinct blocks are too large for one task: their strings are hashed one by one (128 bits)
-and counted in a distributed aggregation, which gives the same runs.
+CORE_BLOCKS distinct blocks are too large for one task: their blocks are cut into pieces of FINER starts
+and dealt out by the bytes that all strings of a piece share, and ordered in the same way. The strings of
+pieces still too large are hashed one by one (128 bits) and counted, which gives the same runs.
 
-Whole blocks are equal by two 64-bit hashes, strings of such large cores by 128 bits; all else is
-compared byte by byte. A bit table of FILTER_BITS, built from the cores that occur twice, spares the
+Whole blocks are equal by two 64-bit hashes, the strings of such pieces by 128 bits; all else is compared
+byte by byte. A bit table of FILTER_BITS, built from the cores that occur twice, spares the
 others the second pass; where it is full it lets more through and the result is the same.
 
 Null texts count as empty and lose nothing; matches never cross documents; rows equal in doc_id and
@@ -34,21 +35,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, by_size, slices, table
+from .common import Scratch, by_size, slices, table, utf8
 
 LENGTH, WINDOW, FILTER_BITS, STRETCH = 200, 120, 26, 1 << 18
 CORE = LENGTH - WINDOW + 1
 #: Distinct blocks of one core that a task orders at most, and rows that it orders at a time.
 CORE_BLOCKS, ROWS = 2048, 8192
+#: Starts in a piece of a block whose core has more.
+FINER = (30, 8)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
-def utf8(value: pa.Scalar):
-    """The bytes of a text, not copied; a null is empty."""
-    return memoryview(value.as_buffer()) if value.is_valid else memoryview(b"")
-
-
 def stretches(texts: pa.Array):
     """Lists of (row, place, bytes) of about STRETCH bytes; a longer text is cut, each part with the LENGTH - 1 bytes that follow."""
     part, size = [], 0
@@ -174,15 +172,55 @@ def with_bytes(located: DataFrame) -> DataFrame:
     return listed(located, {"place": (pa.int64(), "long"), "alone": (pa.bool_(), "boolean"), "bytes": (pa.binary(), "binary")}, make)
 
 
-def strings(located: DataFrame) -> DataFrame:
-    """core, doc_id, key, start, alone, hash: every string of the listed blocks."""
+ROW = "core long, doc_id {}, key long, place long, alone boolean, bytes binary"
 
-    def make(raw, b):
-        start = b["place"] >> 14
-        for p in range(start, start + (b["place"] >> 7 & 127)):
-            yield p, b["alone"], xxhash.xxh3_128_digest(raw[p : p + LENGTH])
 
-    return listed(located, {"start": (pa.int64(), "long"), "alone": (pa.bool_(), "boolean"), "hash": (pa.binary(), "binary")}, make)
+def per_block(rows: DataFrame, schema: str, make) -> DataFrame:
+    """Rows made of rows of `with_bytes`: make(core, place, bytes) gives (core, place or start, bytes or hash); doc_id, key and alone stay."""
+    schema = schema.format(rows.schema["doc_id"].dataType.simpleString())
+
+    def found(it):
+        for batch in (part for whole in it for part in slices(whole, 512)):
+            of, core, place, data = [], [], [], []
+            for k, (c, p, raw) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("core", "place", "bytes")), strict=True)):
+                for a, b, d in make(c, p, raw):
+                    of.append(k)
+                    core.append(a)
+                    place.append(b)
+                    data.append(d)
+            of = pa.array(of, pa.int64())
+            ids, keys, alone = (batch.column(n).take(of) for n in ("doc_id", "key", "alone"))
+            yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), ids, keys, pa.array(place, pa.int64()), alone, pa.array(data, pa.binary())], names=["core", "doc_id", "key", "place", "alone", "bytes"])
+
+    return rows.select("core", "doc_id", "key", "place", "alone", "bytes").mapInArrow(found, schema)
+
+
+def finer(rows: DataFrame, width: int) -> DataFrame:
+    """Blocks in pieces of up to `width` starts, at equal distances from the trigger in all blocks of a core.
+
+    core is then a number for the old core, the piece and the bytes that all strings of a whole piece
+    share, so that equal strings stay together.
+    """
+
+    def make(core, place, raw):
+        start, starts, far = place >> 14, place >> 7 & 127, place & 127
+        near = far - starts + 1
+        for low in range(near // width * width, far + 1, width):
+            lo, hi = max(near, low), min(far, low + width - 1)
+            shared = xxhash.xxh3_64_intdigest(raw[far - low : far - low - width + 1 + LENGTH], (core * 131 + low) % (1 << 64))
+            yield shared - (1 << 64) if shared >> 63 else shared, (start + far - hi << 14) + (hi - lo + 1 << 7) + hi, raw[far - hi : far - lo + LENGTH]
+
+    return per_block(rows, ROW, make)
+
+
+def strings(rows: DataFrame) -> DataFrame:
+    """Every string of the blocks: its start as place, 128 bits of hash as bytes."""
+
+    def make(core, place, raw):
+        for k in range(place >> 7 & 127):
+            yield core, (place >> 14) + k, xxhash.xxh3_128_digest(raw[k : k + LENGTH])
+
+    return per_block(rows, ROW, make)
 
 
 def suffix_array(core: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,17 +346,32 @@ def repeated_starts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     open_ = dictionary.withColumn("alone", F.col("n") == 1).drop("n").join(several.hint("merge"), "core")
     open_ = scratch.put(open_.select("core", "doc_id", "key", "place", "alone", "hot"))
     scratch.drop(dictionary)
-    listed_ = lambda rows: in_texts(docs, rows, scratch, "core", "place", "alone")
-    dealt = with_bytes(listed_(open_.filter("not hot"))).repartition("core").sortWithinPartitions("core")
+    bytes_of = lambda rows: with_bytes(in_texts(docs, rows, scratch, "core", "place", "alone"))
     schema = docs.select("doc_id", "key", F.lit(0).cast("long").alias("run")).schema
-    parts = [scratch.put(runs_per_document(dealt.mapInArrow(_ordered, schema)))]
-    hot = open_.filter("hot")
-    if not hot.isEmpty():
-        single = scratch.put(strings(listed_(hot)))
-        again = single.groupBy("core", "hash").agg(times, F.max("alone").alias("alone")).filter("n > 1 and alone").select("core", "hash")
-        part = single.filter("alone").join(again.hint("merge"), ["core", "hash"], "left_semi").select("doc_id", "key", run(F.col("start"), F.lit(1)))
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        return scratch.put(runs_per_document(rows.repartition("core").sortWithinPartitions("core").mapInArrow(_ordered, schema)))
+
+    parts, hot = [ordered(bytes_of(open_.filter("not hot")))], open_.filter("hot")
+    hot = None if hot.isEmpty() else scratch.put(bytes_of(hot))
+    for width in FINER:
+        if hot is None:
+            break
+        rows = scratch.put(finer(hot, width))
+        scratch.drop(hot)
+        large = rows.groupBy("core").agg(times).filter(F.col("n") > CORE_BLOCKS).select("core", F.lit(True).alias("hot"))
+        split = rows.join(large.hint("merge"), "core", "left")
+        parts.append(ordered(split.filter("hot is null").drop("hot")))
+        hot = scratch.put(split.filter("hot").drop("hot"))
+        scratch.drop(rows)
+        if hot.isEmpty():
+            hot = None
+    if hot is not None:
+        single = scratch.put(strings(hot))
+        again = single.groupBy("core", "bytes").agg(times, F.max("alone").alias("alone")).filter("n > 1 and alone").select("core", "bytes")
+        part = single.filter("alone").join(again.hint("merge"), ["core", "bytes"], "left_semi").select("doc_id", "key", run(F.col("place"), F.lit(1)))
         parts.append(scratch.put(runs_per_document(part)))
-        scratch.drop(single)
+        scratch.drop(single, hot)
     for part in parts:
         whole = whole.unionByName(part)
     scratch.drop(open_)

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -22,10 +23,16 @@ def table(sf_dir: str, name: str, spark: SparkSession, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+#: Scratch paths of this process that still exist, by the id of their session.
+_left: dict[int, set[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -33,12 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
+    if id(spark) not in _left:
+        atexit.register(release, spark)
+    _left.setdefault(id(spark), set()).add(path)
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of a session: to be called when the results that read them have been written."""
+    for path in list(_left.get(id(spark), ())):
+        remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path; at interpreter exit the JVM may be gone already."""
+    _left.get(id(spark), set()).discard(path)
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -50,7 +66,8 @@ def remove(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written once to the shared folder, so that lost executors cost no recomputation.
 
-    `drop` deletes the tables that no later read needs; what stays goes when the session ends.
+    `drop` deletes the tables that no later read needs; what a result reads stays until `release` or the
+    session's end.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
@@ -95,6 +112,36 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def utf8(value: pa.Scalar):
+    """The bytes of a text, not copied; a null is empty."""
+    return memoryview(value.as_buffer()) if value.is_valid else memoryview(b"")
+
+
+def pieces(raw, table: bytes | None = None, size: int = 1 << 20):
+    """The bytes of a text in pieces of about that size that end at blanks, so that no word is cut, translated by the table."""
+    at, blanks = 0, [b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"]
+    while at < len(raw):
+        end = at + size
+        piece = bytes(raw[at:end]).translate(table)
+        while end < len(raw) and (cut := max(map(piece.rfind, blanks))) < 0:
+            piece, end = piece + bytes(raw[end : end + size]).translate(table), end + size
+        if end < len(raw):
+            piece, end = piece[:cut], at + cut
+        yield piece
+        at = max(end, at + 1)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batch, rows: int = 64):
     """An Arrow batch in parts of a few rows, so that only those are Python objects at a time."""
     for lo in range(0, batch.num_rows, rows):

@@ -23,7 +23,7 @@ def corpus():
     return docs
 
 
-@pytest.mark.parametrize("change", [{}, {"CORE_BLOCKS": 8}])
+@pytest.mark.parametrize("change", [{}, {"CORE_BLOCKS": 8}, {"CORE_BLOCKS": 2, "FINER": (50, 30, 8)}, {"CORE_BLOCKS": 2, "FINER": ()}])
 def test_each_way(spark, tmp_path, monkeypatch, change):
     """As it is, and with cores too large for a task."""
     for name, value in change.items():

@@ -8,31 +8,47 @@ computed once on the driver and shipped to the workers.
 
 Null and empty texts have the statistics of a text without words and are scored like any other; a
 null doc_id is never held out and has no label; repeated rows score alike; where a class has fewer
-than two training rows every score is the share of class 1 (0.5 without any labels); an empty table
-gives no rows; lang, source and n_chars are not read.
+than two training rows every score is the share of class 1 (0.5 without any labels); a score that ties
+with DECIDE is accepted; very long texts are read in pieces, whole, as arrays of word hashes; an empty
+table gives no rows; lang, source and n_chars are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, join_sized, table
+from .common import Scratch, by_size, join_sized, pieces, table, utf8
 
 FIT_ROWS, POOL, RIDGE, CLIP, LIMIT, DECIDE = 20_000, 0.2, 0.05, 6.0, 12.0, 0.3
 ASCII_LETTERS = bytes([*range(65, 91), *range(97, 123)])
 SYMBOLS, STOPS, DIGITS, CAPITALS = b"#*$%&|<>@^~=_{}[]\\/+!?", b".,;:", b"0123456789", bytes(range(65, 91))
 N_STATS = 14
-
-
-def statistics(text: str | None) -> list[float]:
-    """Log counts and log odds of shares, so that a Gaussian is a fair model of each class."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.split()
-    n, size = len(words), len(raw)
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+
+
+def word_arrays(raw) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes and lengths of all words, and how many but the last end in a full stop."""
+    hashes, sizes, stops, last = [], [], 0, b""
+    for piece in pieces(raw):
+        words = piece.split()
+        if words:
+            hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+            sizes.append(np.fromiter(map(len, words), np.int64, len(words)))
+            last = words[-1]
+            words.append(b"")
+            stops += b" ".join(words).count(b". ")
+    join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
+    return join(hashes, np.uint64), join(sizes, np.int64), stops - last.endswith(b".")
+
+
+def statistics(raw) -> list[float]:
+    """Log counts and log odds of shares of a text (bytes), so that a Gaussian is a fair model of each class."""
+    raw = bytes(raw)
+    hashes, sizes, stops = word_arrays(raw)
+    n, size = len(hashes), len(raw)
 
     def odds(part: float, whole: float) -> float:
         p = (part + 0.5) / (whole + 1.0)
@@ -41,29 +57,28 @@ def statistics(text: str | None) -> list[float]:
     def share(chars: bytes) -> float:
         return odds(size - len(raw.translate(None, chars)), size)
 
-    counts = Counter(words)
+    _, counts = np.unique(hashes, return_counts=True)
     lines = raw.count(b"\n") + 1
-    triples = len(set(zip(words, words[1:], words[2:]))) if n > 2 else n
+    triples = len(np.unique(hashes[:-2] * MIX[0] + hashes[1:-1] * MIX[1] + hashes[2:])) if n > 2 else n
     wide = size - len(raw.translate(None, bytes(range(128, 256))))
-    letters = sum(len(w) for w in words)
-    joined = b" ".join(words)
+    letters = int(sizes.sum())
     return [
         float(np.log1p(n)), float(np.log1p(letters / max(n, 1))), share(SYMBOLS), share(STOPS), share(DIGITS), share(CAPITALS),
         odds(size - len(raw.translate(None, ASCII_LETTERS)) + wide, size), odds(len(counts), n), odds(triples, n),
-        odds(max(counts.values(), default=0), n), float(np.log1p(lines)) - float(np.log1p(n)),
-        odds(sum(c for w, c in counts.items() if len(w) <= 3), n), odds(joined.count(b". ") + 1, n), float(np.log1p(max(map(len, counts), default=0))),
+        odds(int(counts.max(initial=0)), n), float(np.log1p(lines)) - float(np.log1p(n)),
+        odds(int((sizes <= 3).sum()), n), odds(stops + 1, n), float(np.log1p(int(sizes.max(initial=0)))),
     ]
 
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns and __stats, an array of N_STATS doubles."""
+    """The kept columns and stats, an array of N_STATS doubles."""
 
     def batches(it):
-        for batch in it:
-            stats = [statistics(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(stats, pa.list_(pa.float64()))], names=[*keep, "__stats"])
+        for batch in (part for whole in it for part in by_size(whole)):
+            stats = [statistics(utf8(t)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(stats, pa.list_(pa.float64()))], names=[*keep, "stats"])
 
-    schema = docs.select(*keep).withColumn("__stats", F.array(F.lit(0.0))).schema
+    schema = docs.select(*keep).withColumn("stats", F.array(F.lit(0.0))).schema
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(batches, schema)
 
 
@@ -110,8 +125,8 @@ def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
     use = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     use = use.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", "quality")
     use = use.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    rows = stats.join(F.broadcast(use), "doc_id").select("doc_id", "quality", "__stats").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).collect()
-    x = np.array([r["__stats"] for r in rows], dtype=float).reshape(len(rows), N_STATS)
+    rows = stats.join(F.broadcast(use), "doc_id").select("doc_id", "quality", "stats").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).collect()
+    x = np.array([r["stats"] for r in rows], dtype=float).reshape(len(rows), N_STATS)
     return Discriminant(x, np.array([r["quality"] for r in rows], dtype=int))
 
 
@@ -120,7 +135,7 @@ def scored(stats: DataFrame, model: Discriminant, keep: list[str]) -> DataFrame:
 
     def batches(it):
         for batch in it:
-            x = np.array(batch.column("__stats").to_pylist(), dtype=float).reshape(batch.num_rows, N_STATS)
+            x = np.array(batch.column("stats").to_pylist(), dtype=float).reshape(batch.num_rows, N_STATS)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(x))], names=[*keep, "score"])
 
     schema = stats.select(*keep).withColumn("score", F.lit(0.0)).schema
@@ -136,11 +151,11 @@ def op5_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier accepts, with the columns of docs."""
+    """The rows of docs that the classifier accepts, with the columns of docs, whatever their names."""
     scratch = Scratch(docs.sparkSession, "quality")
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__text"))
-    stats = scratch.put(with_statistics(keyed, ["doc_id", "__text"]))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    stats = scratch.put(with_statistics(keyed, ["doc_id", "key"]))
     model = fit(stats, labels)
-    bad = scratch.put(scored(stats, model, ["doc_id", "__text"]).filter("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("__text").alias("__bad")).distinct())
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    return join_sized(keyed, bad, keyed["doc_id"].eqNullSafe(bad["__id"]) & (keyed["__text"] == bad["__bad"]), "left_anti").select(*docs.columns)
+    bad = scratch.put(scored(stats, model, ["doc_id", "key"]).filter("predicted = 0").select(F.col("doc_id").alias("id"), F.col("key").alias("bad")).distinct())
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("key"))
+    return join_sized(whole, bad, whole["doc_id"].eqNullSafe(bad["id"]) & (whole["key"] == bad["bad"]), "left_anti").select("row.*")

@@ -137,8 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("doc_id", "toxic")
     prior = float(known.agg(F.avg("toxic").alias("p")).first()["p"] or 0.0)
     picked = F.broadcast(scratch.put(chosen_rows(docs, known)))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(picked, ["doc_id", "key"]).dropDuplicates(["doc_id", "key", "toxic"])
-    rows = scratch.put(with_buckets(texts.select("toxic", "text"), ["toxic"]))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(picked, ["doc_id", "key"])
+    each = scratch.put(with_buckets(texts, ["doc_id", "key", "toxic"]))
+    rows = scratch.put(each.groupBy("doc_id", "key", "toxic").agg(F.first("x").alias("x")).select("toxic", "x"))
+    scratch.drop(each)
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         scratch.drop(rows)

@@ -2,20 +2,29 @@
 
 Writing: each task writes part files of its own name; the driver's commit lists them, with record
 boundaries about every SPLIT bytes, in a manifest, so that files of lost or repeated tasks are never
-read. Reading: partitions are planned from the manifest's boundaries; predicates on record_type and
+read. Reading: partitions are planned from the manifest's boundaries or, in a folder without one, a
+file each of *.warc and *.warc.gz (members of any number of records); predicates on record_type and
 on header fields are pushed down and tested on the headers alone; the payload of a record that fails
 them, or that the option payload=false declines, is skipped by its Content-Length without decoding.
 
+Records of any type are read: the payload is what follows the HTTP header, or the whole block where
+there is none; page_id and refers_to are numbers in archives written here and null elsewhere, record_id
+is always there. Digests are lower-case hex, also where they are written in base 32.
+
 Null payloads are written as empty and null URLs as an empty target URI; control characters in a URL
-are percent-encoded; repeated rows are records of their own; an empty table writes a manifest
-without files and reads back no rows; columns other than those written are ignored.
+are percent-encoded; of equal payloads with one page_id all rows are responses; repeated rows are
+records of their own; long payloads are held one at a time, and rows leave in batches of about BATCH
+bytes; an empty table writes a manifest without files and reads back no rows; columns other than those
+written are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -24,9 +33,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .common import Scratch, join_sized, new_path, table
 
-SPLIT, ROWS, LEAST_PAYLOAD, MANIFEST = 16_000_000, 512, 1000, "_manifest.json"
-SCHEMA = "page_id long, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-FIELDS = ("page_id", "target_uri", "record_type", "payload_bytes", "payload_digest", "refers_to")
+SPLIT, ROWS, BATCH, LEAST_PAYLOAD, MANIFEST = 16_000_000, 512, 1 << 23, 1000, "_manifest.json"
+SCHEMA = "page_id long, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, record_id string"
+FIELDS = ("page_id", "target_uri", "record_type", "payload_bytes", "payload_digest", "refers_to", "record_id")
 
 
 def opened(path: str):
@@ -90,25 +99,103 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class Stretch(InputPartition):
-    def __init__(self, name: str, start: int, end: int):
+    def __init__(self, name: str, start: int, end: int | None):
         self.name, self.start, self.end = name, start, end
 
 
-def headers(source) -> dict[str, str] | None:
-    """The header lines up to the empty one, or None at the end."""
-    first = source.readline()
-    if not first:
-        return None
-    out = {}
-    while (line := source.readline()) not in (b"\r\n", b"\n", b""):
-        key, _, value = line.decode("utf-8", "surrogatepass").partition(":")
-        out[key.strip().lower()] = value.strip()
+class Plain:
+    """Bytes of a file from a place on, read in portions; what is skipped is not read."""
+
+    def __init__(self, source, place: int = 0):
+        self.source, self.held, self.at, self.place = source, b"", 0, place
+        source.seek(place)
+
+    def more(self) -> bool:
+        part = self.source.read(1 << 16)
+        self.held, self.at = self.held[self.at :] + part, 0
+        return bool(part)
+
+    def line(self) -> bytes:
+        while (cut := self.held.find(b"\n", self.at)) < 0 and self.more():
+            pass
+        return self.read(cut + 1 - self.at if cut >= 0 else len(self.held) - self.at)
+
+    def read(self, n: int) -> bytes:
+        while len(self.held) - self.at < n and self.more():
+            pass
+        out = self.held[self.at : self.at + n]
+        self.at += len(out)
+        self.place += len(out)
+        return out
+
+    def skip(self, n: int) -> None:
+        here = min(n, len(self.held) - self.at)
+        self.at += here
+        self.place += n
+        if n > here:
+            self.source.seek(self.place)
+            self.held, self.at = b"", 0
+
+
+class Unzipped(Plain):
+    """The same of a file of gzip members; places are those of the bytes unzipped."""
+
+    def __init__(self, source):
+        super().__init__(source)
+        self.member, self.rest = zlib.decompressobj(31), b""
+
+    def more(self) -> bool:
+        while True:
+            part = self.rest or self.source.read(1 << 16)
+            if not part:
+                return False
+            out = self.member.decompress(part)
+            self.rest = self.member.unused_data
+            if self.member.eof:
+                self.member = zlib.decompressobj(31)
+                self.rest = self.rest.lstrip(b"\0")
+            if out:
+                self.held, self.at = self.held[self.at :] + out, 0
+                return True
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (gone := len(self.read(min(n, 1 << 16)))):
+            n -= gone
+
+
+def headers(source) -> dict[str, str]:
+    """The header fields up to the empty line, by lower-case name; of a folded field the lines are joined."""
+    out, key = {}, ""
+    while (line := source.line()) not in (b"\r\n", b"\n", b""):
+        text = line.decode("utf-8", "replace")
+        if line[:1] in b" \t" and key:
+            out[key] += " " + text.strip()
+            continue
+        key, _, value = text.partition(":")
+        key = key.strip().lower()
+        out[key] = value.strip()
     return out
 
 
 def number(urn: str | None) -> int | None:
+    """Of an identifier that was written here; None of others."""
     digits = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(digits) if digits else None
+    return int(digits) if digits.removeprefix("-").isdigit() else None
+
+
+def hex_digest(value: str | None) -> str | None:
+    """A SHA-1 digest field as lower-case hex, from hex or base 32; other algorithms keep their name."""
+    if not value:
+        return None
+    kind, _, digest = value.rpartition(":")
+    if kind.lower() not in ("", "sha1"):
+        return value
+    if len(digest) == 32:
+        try:
+            return base64.b32decode(digest.upper()).hex()
+        except ValueError:
+            return value
+    return digest.lower()
 
 
 TESTS = {
@@ -133,68 +220,75 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         files, root = opened(self.path)
+        if files.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.NotFound:
+            found = files.get_file_info(pafs.FileSelector(root, recursive=True)) if files.get_file_info(root).type == pafs.FileType.Directory else [files.get_file_info(root)]
+            names = sorted(f.path for f in found if f.type == pafs.FileType.File and f.path.endswith((".warc", ".warc.gz")))
+            return [Stretch(n, 0, None) for n in names]
         with files.open_input_stream(f"{root}/{MANIFEST}") as listed:
             found = json.loads(listed.read())
-        return [Stretch(name, a, b) for name, marks, size in found for a, b in zip(marks, [*marks[1:], size], strict=True)]
+        return [Stretch(f"{root}/{name}", a, b) for name, marks, size in found for a, b in zip(marks, [*marks[1:], size], strict=True)]
 
     def read(self, partition):
         if partition is None:  # an archive without records
             return
-        files, root = opened(self.path)
-        rows = []
-        with files.open_input_file(f"{root}/{partition.name}") as source:
-            place = partition.start
-            while place < partition.end:
-                source.seek(place)
-                head = source.read(4096)
-                while (cut := head.find(b"\r\n\r\n")) < 0:
-                    head += source.read(max(4096, len(head)))
-                lines = Lines(head[: cut + 4])
-                fields = headers(lines)
-                length, body = int(fields["content-length"]), place + cut + 4
-                row = self.row(fields)
-                place = body + length + 4
-                # the HTTP header is short; it is read before the payload is
-                source.seek(body)
-                http = source.read(min(length, 4096))
-                while (end := http.find(b"\r\n\r\n")) < 0 and len(http) < length:
-                    http += source.read(min(length - len(http), 4096))
-                row["payload_bytes"] = int(headers(Lines(http[: end + 4]))["content-length"])
-                if not all(TESTS[kind](row[name], value) for kind, name, value in self.tests):
-                    continue
-                row["payload"] = None
-                if self.payload and row["record_type"] == "response":
-                    source.seek(body + end + 4)
-                    row["payload"] = source.read(length - end - 4)
-                    if hashlib.sha1(row["payload"]).hexdigest() != row["payload_digest"] or len(row["payload"]) != row["payload_bytes"]:
-                        raise ValueError(f"damaged record at {place} of {partition.name}")
-                rows.append(row)
-                if len(rows) >= ROWS:
-                    yield self.batch(rows)
-                    rows = []
+        files, _ = opened(self.path)
+        rows, size = [], 0
+        with files.open_input_file(partition.name) as file:
+            source = Unzipped(file) if partition.name.endswith(".gz") else Plain(file, partition.start)
+            while partition.end is None or source.place < partition.end:
+                row = self.record(source, partition.name)
+                if row is None:
+                    break
+                if row:
+                    rows.append(row)
+                    size += len(row["payload"] or b"")
+                    if len(rows) >= ROWS or size >= BATCH:
+                        yield self.batch(rows)
+                        rows, size = [], 0
         if rows:
             yield self.batch(rows)
 
-    @staticmethod
-    def row(fields: dict[str, str]) -> dict:
-        return {"page_id": number(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"), "payload_digest": (fields.get("warc-payload-digest") or "").removeprefix("sha1:"), "refers_to": number(fields.get("warc-refers-to"))}
+    def record(self, source, name: str) -> dict | None:
+        """The next record as a row, {} if it fails the predicates, None at the end. Its payload is read last, if at all."""
+        while (version := source.line()) in (b"\r\n", b"\n"):
+            pass
+        if not version:
+            return None
+        if not version.startswith(b"WARC/"):
+            raise ValueError(f"damaged record at {source.place - len(version)} of {name}")
+        fields = headers(source)
+        left = int(fields["content-length"])
+        row = {
+            "page_id": number(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"),
+            "payload_digest": hex_digest(fields.get("warc-payload-digest")), "refers_to": number(fields.get("warc-refers-to")), "record_id": fields.get("warc-record-id"), "payload": None,
+        }
+        declared = None
+        if fields.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+            # the HTTP header is short; it is read before the payload is
+            before = source.place
+            source.line()
+            declared = headers(source).get("content-length")
+            left -= source.place - before
+        revisit = row["record_type"] == "revisit"
+        row["payload_bytes"] = int(declared) if revisit and declared and declared.isdigit() else left
+        if not all(TESTS[kind](row[field], value) for kind, field, value in self.tests):
+            source.skip(left)
+            return {}
+        if not self.payload or revisit:
+            source.skip(left)
+            return row
+        row["payload"] = source.read(left)
+        ours = row["page_id"] is not None and row["payload_digest"]
+        if len(row["payload"]) != left or ours and hashlib.sha1(row["payload"]).hexdigest() != row["payload_digest"]:
+            raise ValueError(f"damaged record before {source.place} of {name}")
+        return row
 
     @staticmethod
     def batch(rows: list[dict]) -> pa.RecordBatch:
-        types = {"page_id": pa.int64(), "target_uri": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+        types = {"page_id": pa.int64(), "target_uri": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary(), "record_id": pa.string()}
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in types.items()], names=list(types))
 
 
-class Lines:
-    """readline over bytes that are in memory."""
-
-    def __init__(self, data: bytes):
-        self.parts = data.splitlines(keepends=True)[::-1]
-
-    def readline(self) -> bytes:
-        return self.parts.pop() if self.parts else b""
-
-
 class WarcDataSource(DataSource):
     """spark.read.format("warc").option("payload", "false").load(folder); df.write.format("warc").save(folder)."""
 

@@ -25,6 +25,8 @@ def table(sf_dir: str, name: str, spark: SparkSession, *columns: str) -> DataFra
 
 #: Scratch paths of this process that still exist, by the id of their session.
 _left: dict[int, set[str]] = {}
+#: Folders of our own on a single machine, by application.
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="shared-")
+        _own[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 

@@ -8,8 +8,9 @@ counts; whether they are really equal is decided on their bytes, which are the g
 Copies of a frequent chunk are dealt into parts of about PART rows before they meet its first place.
 
 Null texts stay null and have no lines; an empty text is one empty line and is kept; chunks of
-blank lines only are kept; rows equal in id and text count as one document and share a result; an
-empty table gives no rows; other columns are kept as they are. Names starting with __ are reserved.
+blank lines only are kept; rows equal in id and text count as one document and share a result; very long
+texts are single rows, with work linear in their lines; an empty table gives no rows; other columns are
+kept as they are, whatever their names.
 
 Chunks are cut by their surroundings too, so op2 loses the edges of repeated passages and all one-line
 chunks. `dedup_runs`, the pipeline's stage, has no such loss: its units are every two neighbouring lines
@@ -20,7 +21,7 @@ lines in a row the inner ones stay.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch, hex_number, join_sized, table
 
@@ -69,21 +70,30 @@ def later_places(units: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+def with_places(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """row (all columns of docs), text and __gone, null where nothing is to go; gone is a table."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64("text").alias("__key"))
+    gone = gone.withColumnRenamed("__key", "__key2")
+    joined = join_sized(whole, gone, whole["doc_id"].eqNullSafe(gone["__id"]) & (whole["__key"] == gone["__key2"]), "left", items="__gone")
+    return joined.select("row", "text", "__gone")
+
+
+def columns_with(docs: DataFrame, text: Column, *more: str) -> list[Column]:
+    """The columns of docs from row, with another text; those named in `more` are left out."""
+    return [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in more]
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks taken out of text, plus n_lines and n_removed."""
+    """docs with repeated chunks taken out of text, plus n_lines and n_removed, which replace columns of those names."""
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = repeated_chunks(docs.select("doc_id", "text"), scratch)
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    gone = gone.withColumnRenamed("__key", "__key2")
-    joined = join_sized(keyed, gone, keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__key"] == gone["__key2"]), "left", items="__gone")
-    joined = joined.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"))
-    hit = with_chunks(joined.withColumn("__text", F.col("text")).withColumn("text", F.when(F.col("__gone").isNotNull(), F.col("text"))))
-    kept = F.expr("filter(__chunks, (c, k) -> not array_contains(__gone, k))")
-    hit = hit.withColumn("__kept", kept)
-    text = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(F.col("__kept.body"), "\n"))
+    joined = with_places(docs, repeated_chunks(docs.select("doc_id", "text"), scratch))
+    joined = joined.withColumn("lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"))
+    hit = with_chunks(joined.withColumnRenamed("text", "whole").withColumn("text", F.when(F.col("__gone").isNotNull(), F.col("whole"))))
+    hit = hit.withColumn("__kept", F.expr("transform(array_except(sequence(0, size(__chunks) - 1), __gone), k -> get(__chunks, k))"))
+    text = F.when(F.col("__gone").isNull(), F.col("whole")).otherwise(F.array_join(F.col("__kept.body"), "\n"))
     left = F.expr("aggregate(__kept, 0L, (a, c) -> a + c.n)")
-    hit = hit.withColumn("text", text).withColumn("n_removed", F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - left))
-    return hit.select(*docs.columns, "n_lines", "n_removed")
+    removed = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("lines") - left)
+    return hit.select(*columns_with(docs, text, "n_lines", "n_removed"), F.col("lines").alias("n_lines"), removed.alias("n_removed"))
 
 
 def repeated_units(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -103,14 +113,12 @@ def repeated_units(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def dedup_runs(docs: DataFrame) -> DataFrame:
     """docs with every line taken out of text that a unit repeated from an earlier place holds."""
     scratch = Scratch(docs.sparkSession, "runs")
-    gone = repeated_units(docs.select("doc_id", "text"), scratch).withColumnRenamed("__key", "__key2")
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    joined = join_sized(keyed, gone, keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__key"] == gone["__key2"]), "left", items="__gone")
+    joined = with_places(docs, repeated_units(docs.select("doc_id", "text"), scratch))
     joined = joined.withColumn("__lines", F.split(F.when(F.col("__gone").isNotNull(), F.col("text")), "\n", -1))
     places = F.flatten(F.transform("__gone", lambda k: F.when(k % 2 == 1, F.array((k + 1) / 2, (k + 3) / 2)).otherwise(F.array(k / 2 + 1)).cast("array<int>")))
     kept = F.array_except(F.sequence(F.lit(1), F.size("__lines")), places)
     left = F.array_join(F.transform(kept, lambda i: F.element_at("__lines", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    return joined.select(*columns_with(docs, F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,15 +7,17 @@ boundary, and only that bucket is refined by the next 8 bits, until it holds one
 Thresholds are nested: a larger budget takes a superset of a smaller one's documents.
 
 Null or empty texts have size 0 and are taken 0 words; a null source is a source of its own, the
-last one; rows equal in id and text share a hash and so a fate; an empty table gives no rows; extra
-columns are ignored by `mix_table` and kept by `apply_mix`.
+last one; rows equal in id and text share a hash and so a fate; of the documents that share the hash at
+which a budget runs out all are taken, if at least half of their words fit, else none; very long texts
+are single rows whose words are counted in the JVM; an empty table gives no rows; extra columns are
+ignored by `mix_table` and kept by `mix_copies`, whose own columns give way where names clash.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch, hex_number, join_sized, n_words, row_hash, table
+from .common import Scratch, free, hex_number, join_sized, n_words, row_hash, table
 
 HASH_BITS, STEP_BITS = 56, 8
 
@@ -108,6 +110,19 @@ def mix_table(docs: DataFrame, **parameters) -> DataFrame:
     return mixed.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken")
 
 
+def mix_copies(docs: DataFrame, **parameters) -> DataFrame:
+    """A row of docs for every copy that the mix takes, with source_size, target and the copy's number from 1 as epoch.
+
+    Where docs have columns of those names, these get an underscore at their end.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    keyed = with_keys(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")).select("row", "__source", "__size", "__hash")
+    plan = plan_mix(scratch.put(keyed.select("__source", "__size", "__hash")), **parameters)
+    mixed = apply_mix(keyed, plan).filter("copies > 0")
+    size, target, epoch = free(docs, "source_size", "target", "epoch")
+    return mixed.select("row.*", F.col("source_size").alias(size), F.col("target").alias(target), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(epoch))
+
+
 def op1_mix(spark, sf_dir: str) -> DataFrame:
     return mix_table(table(sf_dir, "documents", spark, "doc_id", "text", "source"))
 

@@ -7,7 +7,9 @@ table; only its DIMENSIONS sums come to the driver, however many pages there are
 
 Null URLs and URLs without :// have empty host and path, no rule and are judged by the model, whose
 only feature then is its bias; repeated rows are judged alike; without labelled URLs every weight
-is zero and the verdict is allow; an empty table gives no rows; other columns are not read.
+is zero and the verdict is allow; a score of exactly one half allows, and of rules of equal length the
+later one of the list holds; very long URLs take work linear in their length; an empty table gives no
+rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -38,10 +40,11 @@ def with_rule(parts: DataFrame, rules=RULES) -> DataFrame:
 
 
 def grams(host: Column, path: Column) -> Column:
-    """The distinct feature numbers of a URL; 0 is the bias."""
+    """The distinct feature numbers of a URL; 0 is the bias. The n-grams of a text come from one pass over it."""
     def of(text: Column, mark: str) -> list[Column]:
         framed = F.concat(F.lit("^"), text, F.lit("$"))
-        return [F.when(F.length(framed) >= n, F.transform(F.sequence(F.lit(1), F.length(framed) - n + 1), lambda i, n=n: (F.pmod(F.xxhash64(F.lit(mark), F.substring(framed, i, F.lit(n))), F.lit(DIMENSIONS - 1)) + 1).cast("int"))).otherwise(F.array().cast("array<int>")) for n in GRAMS]
+        number = lambda g: (F.pmod(F.xxhash64(F.lit(mark), g), F.lit(DIMENSIONS - 1)) + 1).cast("int")
+        return [F.transform(F.regexp_extract_all(framed, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), number) for n in GRAMS]
 
     return F.array_distinct(F.concat(F.array(F.lit(0)), *of(host, "h"), *of(path, "p")))
 
@@ -77,13 +80,14 @@ def labelled_by_rules(judged: DataFrame) -> DataFrame:
 
 
 def filter_urls(urls: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
-    """urls with host, path, rule, verdict and the model's score for block."""
-    judged = with_rule(with_parts(urls), rules)
+    """urls with host, path, rule, verdict and the model's score for block, which replace columns of those names."""
+    own = ("host", "path", "rule", "verdict", "score")
+    judged = with_rule(with_parts(urls.select(F.struct(*urls.columns).alias("row"), "url")), rules)
     weights = fit(labelled if labelled is not None else labelled_by_rules(judged))
     scored = judged.withColumn("__x", grams(F.col("host"), F.col("path")))
     scored = scored.withColumn("score", 1 / (1 + F.exp(-margin("__x", weights))))
     verdict = F.coalesce("__said", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
-    return scored.withColumn("verdict", verdict).drop("__x", "__said")
+    return scored.withColumn("verdict", verdict).select(*(F.col("row")[c].alias(c) for c in urls.columns if c not in own), *own)
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:

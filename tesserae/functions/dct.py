@@ -7,22 +7,32 @@ from tesserae import tables
 PRODUCTION, DEFINITION = np.array(tables.llm(), np.int64), np.array(tables.basis(), np.int64)
 
 
+EXACT = PRODUCTION.astype(np.float64)
+
+
 def descale(x: np.ndarray, bits: int) -> np.ndarray:
-    """Half up."""
+    """Half up, of integers that may be held as doubles, exact below 2^53."""
+    if x.dtype == np.float64:
+        return np.floor((x + (1 << (bits - 1))) * 2.0**-bits)
     return (x + (1 << (bits - 1))) >> bits
 
 
+def along_rows(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Every row of every (8, 8) block times m, by one matrix product of doubles: exact, as all sums are integers below 2^53."""
+    return (np.ascontiguousarray(x).reshape(-1, 8) @ m).reshape(-1, 8, 8)
+
+
 def forward(samples: np.ndarray, precision: int = 8) -> np.ndarray:
     """(n, 8, 8) samples to coefficients: rows, then columns."""
-    x = samples.astype(np.int64) - (1 << (precision - 1))
-    rows = descale(x @ PRODUCTION.T, 11)
-    return descale(PRODUCTION @ rows, 18)
+    rows = descale(along_rows(samples.astype(np.float64) - (1 << (precision - 1)), EXACT.T), 11)
+    return descale(along_rows(rows.transpose(0, 2, 1), EXACT.T), 18).transpose(0, 2, 1).astype(np.int64)
 
 
 def inverse(coefficients: np.ndarray, precision: int = 8) -> np.ndarray:
     """(n, 8, 8) dequantized coefficients to samples: columns, then rows."""
-    columns = descale(PRODUCTION.T @ coefficients.astype(np.int64), 11)
-    return np.clip(descale(columns @ PRODUCTION, 18) + (1 << (precision - 1)), 0, (1 << precision) - 1)
+    columns = descale(along_rows(coefficients.astype(np.float64).transpose(0, 2, 1), EXACT), 11)
+    rows = descale(along_rows(columns.transpose(0, 2, 1), EXACT), 18)
+    return np.clip(rows + (1 << (precision - 1)), 0, (1 << precision) - 1).astype(np.int32)
 
 
 def forward_definition(samples: np.ndarray, precision: int = 8) -> np.ndarray:
@@ -39,5 +49,6 @@ def inverse_definition(coefficients: np.ndarray, precision: int = 8, size: int =
 
 
 def quantize(coefficients: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Half away from zero."""
-    return np.sign(coefficients) * ((np.abs(coefficients) + table // 2) // table)
+    """Half away from zero; the quotients are exact in doubles."""
+    whole = np.floor((np.abs(coefficients) + table // 2) / table.astype(np.float64)).astype(np.int64)
+    return np.where(coefficients < 0, -whole, whole)

@@ -39,18 +39,27 @@ def _tokens(gaps: np.ndarray) -> list[tuple]:
 
 def encode(raster: np.ndarray, precision: int = 8, predictor: int = 1, shift: int = 0, restart_rows: int = 0) -> bytes:
     h, w, n = raster.shape
+    if not (1 <= w <= 65535 and 1 <= h <= 65535):
+        raise ValueError("encoding: invalidSize")
+    if n not in (1, 3):
+        raise ValueError("encoding: invalidComponentCount")
+    if predictor not in PREDICTORS or not 0 <= shift < precision:
+        raise ValueError("encoding: invalidPredictor")
+    if raster.max() >> precision:
+        raise ValueError("encoding: sampleOutOfRange")
+    ids = (82, 71, 66) if n == 3 else (1,)
     if restart_rows * w > 65535:
         raise ValueError("encoding: invalidRestartInterval")
     step = restart_rows or h
     found = [_tokens(differences(raster[y : y + step].astype(np.int64) >> shift, predictor, 1 << (precision - shift - 1))) for y in range(0, h, step)]
     books = progressive.optimal_tables([t for part in found for t in part])
     part = lambda code, body: struct.pack(">BBH", 255, code, len(body) + 2) + body
-    out = b"\xff\xd8" + part(0xC3, struct.pack(">BHHB", precision, h, w, n) + b"".join(bytes([k + 1, 17, 0]) for k in range(n)))
+    out = b"\xff\xd8" + part(0xC3, struct.pack(">BHHB", precision, h, w, n) + b"".join(bytes([i, 17, 0]) for i in ids))
     for (kind, slot), book in books.items():
         out += part(0xC4, bytes([kind << 4 | slot, *book[0], *book[1]]))
     if restart_rows:
         out += part(0xDD, struct.pack(">H", restart_rows * w))
-    out += part(0xDA, bytes([n]) + b"".join(bytes([k + 1, min(k, 1) << 4]) for k in range(n)) + bytes([predictor, 0, shift]))
+    out += part(0xDA, bytes([n]) + b"".join(bytes([i, min(k, 1) << 4]) for k, i in enumerate(ids)) + bytes([predictor, 0, shift]))
     coded = [progressive.write(some, books) for some in found]
     return out + b"".join(c + bytes([255, 0xD0 + i % 8]) for i, c in enumerate(coded[:-1])) + coded[-1] + b"\xff\xd9"
 
@@ -60,7 +69,12 @@ def is_lossless(data: bytes) -> bool:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """(h, w, n) samples of a stream whose components share one scan and density."""
+    """(h, w, n) samples in the frame's order of components."""
+    return read(data)[0]
+
+
+def read(data: bytes) -> tuple[np.ndarray, dict]:
+    """(h, w, n) samples of a stream whose components share one scan and density, and its frame."""
     head, books, restart = None, {}, 0
     for _, code, body, ecs in seg.segments(data):
         if code == 0xC3:
@@ -68,7 +82,7 @@ def decode(data: bytes) -> np.ndarray:
         elif code == 0xC4:
             books |= {key: lookup(t) for key, t in seg.huffman(body).items()}
         elif code == 0xDD:
-            restart = int.from_bytes(body, "big")
+            restart = seg.restart_interval(body)
         elif code == 0xDA:
             if head is None:
                 raise ValueError("decoding: scanBeforeFrame")
@@ -85,7 +99,8 @@ def decode(data: bytes) -> np.ndarray:
             parts = intervals(ecs)
             if len(parts) != -(-head["height"] // step):
                 raise ValueError("decoding: invalidRestart")
-            return np.concatenate([_scan(p, head | {"height": min(step, head["height"] - k * step)}, own, s["ss"], s["al"]) for k, p in enumerate(parts)])
+            rows = np.concatenate([_scan(p, head | {"height": min(step, head["height"] - k * step)}, own, s["ss"], s["al"]) for k, p in enumerate(parts)])
+            return rows, head
     raise ValueError("decoding: missingScan")
 
 

@@ -2,18 +2,34 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+#: Rows that one task numbers, about.
+ROWS = 1_000_000
 
-def dense_index(df: DataFrame, key: str, name: str = "image_k", parts: int = 8) -> DataFrame:
+
+def dense_index(df: DataFrame, key: str, name: str = "image_k", rows: int = ROWS) -> DataFrame:
     """Adds the 0-based place of each row in the order of a unique integer key.
 
-    The span of the key is cut into `parts` equal ranges; a range's first number is the count of
-    rows in the ranges before it, so that only `parts` numbers are summed in one place. The ranges
-    follow from the key alone, whichever task reads a row.
+    At most 1024 ranges of the key, of about `rows` rows or more, are numbered on their own; a range's first number is the
+    count of rows in the ranges before it, so that only as many numbers as there are ranges are summed
+    in one place. Ends are quantiles of the key (approximate, but exact ends are not needed): they
+    follow the data, however the keys cluster.
     """
-    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-    low, span = ends["low"] or 0, (ends["high"] or 0) - (ends["low"] or 0) + 1
-    ranged = df.withColumn("__part", F.floor((F.col(key) - low) / F.lit(span / parts)).cast("int"))
+    n = df.count()
+    parts = min(1024, max(1, -(-n // rows)))
+    ends = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    ranged = df.withColumn("__part", part_of(F.col(key), [int(e) for e in ends]))
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
     return ranged.join(F.broadcast(before), "__part").withColumn(name, place + F.col("__before")).drop("__part", "__before")
+
+
+def part_of(key, ends: list[int]):
+    """The number of ends that are not above the key, by halving, so that the expression is of logarithmic depth."""
+    def halved(lo: int, hi: int):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < ends[mid], halved(lo, mid)).otherwise(halved(mid + 1, hi))
+
+    return halved(0, len(ends))

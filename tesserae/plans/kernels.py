@@ -45,9 +45,7 @@ def _block(kernel, quantized, side=8):
 
 
 def _gray(spark, sf):
-    r = rasters.r_events(spark, sf)
-    rows = r.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", F.expr("unhex(lpad(hex(c0), 2, '0'))").alias("v")))).alias("p"))
-    return rows.select("image_id", F.lit(rasters.W).alias("width"), F.lit(rasters.H).alias("height"), F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.v))").alias("values"))
+    return codec.pack(rasters.r_events(spark, sf), rasters.W, rasters.H, ("c0",))
 
 
 def encoded(spark, sf, quality=rasters.QUALITY, **options):

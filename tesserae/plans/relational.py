@@ -1,4 +1,8 @@
-"""Operators whose plan is relational: one SQL text for both engines, over views that each builds its own way."""
+"""Operators as relational plans over the raster views.
+
+Where plans.roads computes a query by kernels and streams, the plan here is its SQL for DuckDB alone; the
+others run on both engines, each over views of its own making.
+"""
 
 from tesserae import rasters, tables
 from tesserae.plans.dialect import Duck, Spark, values
@@ -6,10 +10,6 @@ from tesserae.plans.dialect import Duck, Spark, values
 Q = tables.scaled(tables.LUMA, rasters.QUALITY)
 
 
-def literal(rows, columns):
-    return lambda d: f"SELECT * FROM {values(rows, columns)} t0"
-
-
 def predictor(d):
     """Lossless predictors 1 to 7 with the edge rules, from window neighbours."""
     cases = {1: "ra", 2: "rb", 3: "rc", 4: "ra + rb - rc", 5: f"ra + {d.shr('rb - rc', 1)}", 6: f"rb + {d.shr('ra - rc', 1)}", 7: d.shr("ra + rb", 1)}
@@ -44,20 +44,16 @@ def coded(d):
 
 
 BOOK = values([("dc", s, c, n) for s, c, n in tables.codes(tables.DC_LUMA)] + [("ac", s, c, n) for s, c, n in tables.codes(tables.AC_LUMA)], "class, symbol, code, length")
-COUNTS = values([(name, i, n) for name, t in (("dc0", tables.DC_LUMA), ("ac0", tables.AC_LUMA), ("dc1", tables.DC_CHROMA), ("ac1", tables.AC_CHROMA)) for i, n in enumerate(t[0], 1)], "book, length, n")
+def bit_offsets(d):
+    """Where each symbol's bits begin."""
+    order = "PARTITION BY image_id ORDER BY k, spot, part"
+    return f"SELECT image_id, row_number() OVER ({order}) - 1 AS ordinal, k, class, symbol, n, CAST(sum(n) OVER ({order}) - n AS BIGINT) AS place FROM ({lengths(d)}) s"
 
 
 def lengths(d):
     return f"SELECT c.*, b.length + c.extra AS n FROM ({coded(d)}) c JOIN {BOOK} b ON c.class = b.class AND c.symbol = b.symbol"
 
 
-def canonical(d):
-    """First code of each length: the sum of the space that shorter codes take, at this length's scale."""
-    taken = "coalesce(sum(n * shift) OVER (PARTITION BY book ORDER BY length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    pow2 = values([(i, 1 << (16 - i)) for i in range(1, 17)], "l, shift")
-    return f"SELECT book, length, n, CAST({d.div(taken, 'shift')} AS BIGINT) AS first_code FROM {COUNTS} c JOIN {pow2} p ON c.length = p.l"
-
-
 def transform(op):
     """Lossless moves on levels: blocks, frequencies and signs."""
     bw, bh = rasters.W // 8, rasters.H // 8
@@ -124,18 +120,19 @@ def perfect(d):
 
 
 def trim(d):
-    """Whole 16 x 16 MCUs on the mirrored axis: of 24 rows 16 stay."""
-    return "SELECT image_id, brow, bcol, v, u, level FROM {levels} l WHERE brow < 2"
+    """Of 27 x 21 pixels the 24 x 16 of whole blocks stay; turned by half, block by block and by the signs of odd frequencies."""
+    return "SELECT image_id, 1 - brow AS brow, 2 - bcol AS bcol, v, u, CASE WHEN (v + u) % 2 = 1 THEN -level ELSE level END AS level FROM {levels} l WHERE brow < 2 AND bcol < 3"
 
 
 def eob(d):
-    """Runs of consecutive blocks whose band 6 to 63 is zero, at most 32767 long, as gaps and islands."""
-    return f"""SELECT image_id, min(k) AS first, count(*) AS blocks FROM (SELECT image_id, k, k - row_number() OVER (PARTITION BY image_id ORDER BY k) AS island FROM
-    (SELECT image_id, k FROM {{levels}} l WHERE z >= 6 GROUP BY image_id, k HAVING max(abs(level)) = 0) a) b GROUP BY image_id, island"""
+    """Runs of consecutive blocks whose band 6 to 63 is zero, as gaps and islands, in parts of at most 32767."""
+    return f"""SELECT image_id, first + i * 32767 AS first, least(32767, blocks - i * 32767) AS blocks FROM (SELECT image_id, min(k) AS first, count(*) AS blocks FROM
+    (SELECT image_id, k, k - row_number() OVER (PARTITION BY image_id ORDER BY k) AS island FROM
+    (SELECT image_id, k FROM {{levels}} l WHERE z >= 6 GROUP BY image_id, k HAVING max(abs(level)) = 0) a) b GROUP BY image_id, island) r JOIN {d.seq(0, 4096)} s ON i * 32767 < blocks"""
 
 
 def blocks_at(d):
-    """block_at for every image and block row: columns -1, 4 and 5 lie outside and give zeros."""
+    """Blocks by their place in every image and block row: columns -1, 4 and 5 lie outside and give zeros."""
     return f"""SELECT r.image_id, r.brow, b.i AS bcol, z.i AS z, coalesce(level, 0) AS level FROM (SELECT DISTINCT image_id, brow FROM {{levels}} e) r CROSS JOIN {d.seq(-1, 6)} b CROSS JOIN {d.seq(0, 64)} z
     LEFT JOIN {{levels}} l ON l.image_id = r.image_id AND l.brow = r.brow AND l.bcol = b.i AND l.z = z.i"""
 
@@ -184,77 +181,151 @@ def crop(d):
 
 
 def narrowed(d):
-    v = "(c0 * 16 + c1 % 16)"
-    return f"SELECT image_id, y, x, {v} AS wide, {d.shr(v, 4)} & 255 AS narrow FROM {{r_events}} r"
+    return f"SELECT i AS wide, {d.shr('i', 4)} & 255 AS narrow12, {d.shr('i', 8)} & 255 AS narrow16 FROM {d.seq(0, 65536)} s"
 
 
-FLAGS = (("bottomup", 2), ("fastupsample", 256), ("noreallloc", 1024), ("fastdct", 2048), ("accuratedct", 4096), ("stoponwarning", 8192), ("progressive", 16384), ("limitscans", 32768))
+IMAGES = "(SELECT DISTINCT image_id FROM {r_events} e)"
 
 
 def flags(d):
-    return f"SELECT i * 2 AS flags, name, (i * 2 & bit) <> 0 AS is_set FROM {d.seq(0, 40)} s CROSS JOIN {values(FLAGS, 'name, bit')} f"
+    """Every set of the eight flags."""
+    bits = values([("bottomup", 0, 2), ("fastupsample", 1, 256), ("norealloc", 2, 1024), ("fastdct", 3, 2048), ("accuratedct", 4, 4096), ("stoponwarning", 5, 8192), ("progressive", 6, 16384), ("limitscans", 7, 32768)], "name, place, bit")
+    return f"SELECT flags, name, (flags & bit) > 0 AS is_set FROM (SELECT i, CAST(sum(CASE WHEN ({d.shr('i', 'place')}) % 2 = 1 THEN bit ELSE 0 END) AS BIGINT) AS flags FROM {d.seq(0, 256)} s CROSS JOIN {bits} b GROUP BY i) f CROSS JOIN {bits} c"
+
+
+def ids(*cases):
+    """The component at each place of a frame, by image_id modulo the number of cases."""
+    return values([(k, place, i) for k, case in enumerate(cases) for place, i in enumerate(case)], "c, place, id")
 
 
-FRAMES = values([(1, 1, 1), (2, 82, 1), (2, 71, 2), (2, 66, 3), (3, 1, 1), (3, 2, 2), (3, 3, 3), (4, 1, 1), (4, 2, 2), (5, 1, 1), (5, 2, 2), (5, 3, 3), (5, 4, 4)], "image_id, id, place")
+FRAMES = ids((1, 2, 3), (82, 71, 66), (66, 71, 82), (9, 5, 7))
 
 
 def recognized(d):
-    return f"SELECT image_id, count(*) AS components, CASE WHEN count(*) = 1 THEN 'gray' WHEN count(*) = 3 AND sum(CASE WHEN id IN (66, 71, 82) THEN 1 ELSE 0 END) = 3 THEN 'rgb' WHEN count(*) = 3 THEN 'ycc' ELSE 'nonconforming' END AS format FROM {FRAMES} f GROUP BY image_id"
+    """RGB where the ids are those letters, in that order; else YCbCr by ascending ids."""
+    rgb = f"(SELECT c AS rc FROM {FRAMES} f GROUP BY c HAVING sum(CASE WHEN id IN (66, 71, 82) THEN 1 ELSE 0 END) = 3)"
+    return f"""SELECT image_id, f.place, f.id, CASE WHEN rc IS NULL THEN 'ycc' ELSE 'rgb' END AS format,
+    CASE WHEN rc IS NULL THEN row_number() OVER (PARTITION BY image_id ORDER BY f.id) ELSE row_number() OVER (PARTITION BY image_id ORDER BY f.id DESC) END - 1 AS plane
+    FROM {IMAGES} e JOIN {FRAMES} f ON f.c = image_id % 4 LEFT JOIN {rgb} r ON rc = f.c"""
 
 
-SCANS = values([(i, len(c), ss, se, ah, al) for i, (c, ss, se, ah, al) in enumerate(tables.SCRIPT)] + [(10, 3, 0, 63, 0, 0)], "seq, components, ss, se, ah, al")
+def decoded_formats(d):
+    """The first pixel of each image, its channels taken for components whose ids vary."""
+    y, cb, cr = ("CASE image_id % 4 WHEN 3 THEN c1 ELSE c0 END", "CASE image_id % 4 WHEN 3 THEN c2 ELSE c1 END", "CASE image_id % 4 WHEN 3 THEN c0 ELSE c2 END")
+    clamp = lambda e: f"least(greatest({d.shr(e, 16)}, 0), 255)"
+    made = (clamp("y * 65536 + 32768 + 91881 * (cr - 128)"), clamp("y * 65536 + 32768 - 22554 * (cb - 128) - 46802 * (cr - 128)"), clamp("y * 65536 + 32768 + 116130 * (cb - 128)"))
+    out = ", ".join(f"CAST(CASE image_id % 4 WHEN 1 THEN c{k} WHEN 2 THEN c{2 - k} ELSE {e} END AS BIGINT) AS c{k}" for k, e in enumerate(made))
+    return f"SELECT image_id, {out} FROM (SELECT image_id, c0, c1, c2, CAST({y} AS BIGINT) AS y, CAST({cb} AS BIGINT) AS cb, CAST({cr} AS BIGINT) AS cr FROM {{r_events}} r WHERE r.x = 0 AND r.y = 0) p"
+
+
+SCANS = values([(i, len(c), ss, se, ah, al) for i, (c, ss, se, ah, al) in enumerate(tables.SCRIPT)], "seq, components, ss, se, ah, al")
+
+
+def scan_script(d):
+    return f"SELECT image_id, s.* FROM {IMAGES} e CROSS JOIN {SCANS} s"
 
 
 def scan_kind(d):
-    return f"SELECT seq, CASE WHEN ss = 0 AND se = 63 THEN 'sequential' WHEN ss = 0 THEN 'dc' ELSE 'ac' END AS kind, ah > 0 AS refining FROM {SCANS} s"
+    return f"SELECT image_id, seq AS scan, CASE WHEN ss = 0 THEN 'dc' ELSE 'ac' END AS kind, ah > 0 AS refining FROM {IMAGES} e CROSS JOIN {SCANS} s"
+
+
+def _defined():
+    """Where a color stream by the default script defines tables and has its scans: SOI, APP0, two DQT and SOF come first."""
+    place, tables_, scans = 5, [], []
+    for n, (parts, ss, _, ah, _) in enumerate(tables.SCRIPT):
+        slots = sorted({min(k, 1) for k in parts})
+        if ss or not ah:
+            for s in slots:
+                tables_.append((place, "ac" if ss else "dc", s))
+                place += 1
+        scans += [(n, place, k, kind, min(k, 1)) for k in parts for kind in ("dc", "ac")]
+        place += 1
+    return values(tables_, "seq, class, slot"), values(scans, "scan, spot, k, class, slot")
 
 
 def as_of(d):
     """A scan sees the latest table of its slot that precedes it."""
-    defined = values([(1, 0, "a"), (3, 0, "b"), (3, 1, "c"), (7, 0, "d")], "seq, slot, body")
-    scans = values([(2, 0), (4, 0), (5, 1), (8, 0), (2, 1)], "seq, slot")
-    return f"SELECT s.seq, s.slot, d.body FROM {scans} s LEFT JOIN (SELECT t.seq AS from_, t.slot, t.body, coalesce(lead(t.seq) OVER (PARTITION BY t.slot ORDER BY t.seq), 999) AS until FROM {defined} t) d ON s.slot = d.slot AND s.seq > d.from_ AND s.seq < d.until"
+    defined, scans = _defined()
+    return f"SELECT image_id, s.scan, s.class, s.slot, max(d.seq) AS seq FROM {IMAGES} e CROSS JOIN {scans} s LEFT JOIN {defined} d ON d.class = s.class AND d.slot = s.slot AND d.seq < s.spot GROUP BY image_id, s.scan, s.k, s.class, s.slot"
 
 
-ICC = values([(1, 200000), (2, 65519), (3, 65520), (4, 1)], "image_id, bytes")
+PROFILE = "repeat('profile of an image ', 150001)"
 
 
 def icc(d):
-    n = d.div("bytes + 65518", 65519)
-    return f"SELECT image_id, i AS chunk, {n} AS chunks, (i - 1) * 65519 AS start, least(65519, bytes - (i - 1) * 65519) AS bytes FROM {ICC} p JOIN {d.seq(1, 9)} s ON i <= {n}"
+    size = "(1 + image_id % 100 * 30000)"
+    n = d.div(f"{size} + 65518", 65519)
+    part = "substring(whole, CAST((i - 1) * 65519 + 1 AS INT), CAST(least(65519, size - (i - 1) * 65519) AS INT))"
+    return f"SELECT image_id, i AS chunk, chunks, length({part}) AS bytes, md5({part}) AS md5 FROM (SELECT image_id, {size} AS size, {n} AS chunks, {PROFILE} AS whole FROM {IMAGES} e) p JOIN {d.seq(1, 99)} s ON i <= chunks"
 
 
 def icc_join(d):
-    return f"SELECT image_id, sum(bytes) AS bytes, max(chunks) AS chunks, count(*) = max(chunks) AS complete FROM ({icc(d)}) c GROUP BY image_id"
+    """Whole profiles; of images that three divides the last of several chunks is missing."""
+    size = "(1 + image_id % 100 * 30000)"
+    lost = f"(image_id % 3 = 0 AND {size} > 65519)"
+    return f"SELECT image_id, CASE WHEN {lost} THEN NULL ELSE {size} END AS bytes, CASE WHEN {lost} THEN NULL ELSE md5(substring({PROFILE}, 1, CAST({size} AS INT))) END AS md5, CASE WHEN {lost} THEN 'missingChunk' END AS error FROM {IMAGES} e"
+
+
+def sampled(d):
+    return f"SELECT image_id, name AS asked, 13 AS width, 11 AS height, CASE WHEN name = 'gray' THEN 'gray' ELSE 'ycc' END AS colorspace, name AS subsampling, 1 AS unit, 300 AS dx, 72 AS dy FROM (SELECT DISTINCT image_id FROM {{ycc_part}} p) e CROSS JOIN {values([(s[0],) for s in tables.SUBSAMPLINGS], 'name')} s"
+
+
+def oriented(d):
+    """Upright: sides change places where the orientation asked for a quarter turn."""
+    return f"SELECT image_id, CASE WHEN image_id % 9 >= 5 THEN {rasters.H} ELSE {rasters.W} END AS width, CASE WHEN image_id % 9 >= 5 THEN {rasters.W} ELSE {rasters.H} END AS height, 1 AS orientation FROM {IMAGES} e"
+
+
+ALL_BOOKS = values([(c, slot, i, n, s) for c, slot, t in (("dc", 0, tables.DC_LUMA), ("dc", 1, tables.DC_CHROMA), ("ac", 0, tables.AC_LUMA), ("ac", 1, tables.AC_CHROMA)) for i, (s, n) in enumerate(zip(t[1], [k for k, m in enumerate(t[0], 1) for _ in range(m)], strict=True))], "class, slot, place, length, symbol")
+POWERS = values([(i, 1 << (16 - i)) for i in range(1, 17)], "l, space")
+
+
+def assigned(d):
+    """Canonical codes: the space that earlier codes take, at this one's scale."""
+    taken = "coalesce(sum(space) OVER (PARTITION BY image_id, class, slot ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    return f"SELECT image_id, class, slot, symbol, CAST({d.div(taken, 'space')} AS BIGINT) AS code, length FROM {IMAGES} e CROSS JOIN {ALL_BOOKS} b JOIN {POWERS} p ON length = l"
+
+
+def validity(d):
+    return f"SELECT image_id, class, slot, count(*) AS symbols, sum(space) <= 65536 AS valid FROM {IMAGES} e CROSS JOIN {ALL_BOOKS} b JOIN {POWERS} p ON length = l GROUP BY image_id, class, slot"
+
+
+def annex(d):
+    taken = "coalesce(sum(space) OVER (PARTITION BY class, slot ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    return f"SELECT class || CAST(slot AS {d.text}) AS book, symbol, CAST({d.div(taken, 'space')} AS BIGINT) AS code, length FROM {ALL_BOOKS} b JOIN {POWERS} p ON length = l"
+
+
+def markers(d):
+    named = values([(0xC4, "DHT"), (0xC8, "JPG"), (0xCC, "DAC"), (0xD8, "SOI"), (0xD9, "EOI"), (0xDA, "SOS"), (0xDB, "DQT"), (0xDC, "DNL"), (0xDD, "DRI"), (0xDE, "DHP"), (0xDF, "EXP"), (0xFE, "COM"), (0x01, "TEM")], "known, word")
+    groups = " ".join(f"WHEN i BETWEEN {low} AND {high} THEN '{name}' || CAST(i - {low} AS {d.text})" for low, high, name in ((192, 207, "SOF"), (208, 215, "RST"), (224, 239, "APP"), (240, 253, "JPG")))
+    return f"SELECT i AS code, coalesce(word, CASE {groups} ELSE 'RES' END) AS name FROM {d.seq(1, 255)} s LEFT JOIN {named} n ON i = known"
 
 
 def scaled_dims(d):
-    return f"SELECT n.i AS num, w.i AS width, {d.div('w.i * n.i + 7', 8)} AS scaled FROM {d.seq(1, 9)} n CROSS JOIN {d.seq(1, 140)} w"
+    return f"SELECT image_id, n.i AS num, {d.div(f'{rasters.W} * n.i + 7', 8)} AS width, {d.div(f'{rasters.H} * n.i + 7', 8)} AS height FROM {IMAGES} e CROSS JOIN {d.seq(1, 9)} n"
 
 
 #: name: (plan, views)
 PLANS = {
-    "narrow": (narrowed, ("r_events",)), "zigzag": (zigzag, ()), "quality_tables": (quality, ()), "sof_grid": (sof_grid, ()), "is_perfect": (perfect, ()),
-    "annex_k": (literal([(n, s, c, m) for n, t in (("dc0", tables.DC_LUMA), ("ac0", tables.AC_LUMA), ("dc1", tables.DC_CHROMA), ("ac1", tables.AC_CHROMA)) for s, c, m in tables.codes(t)], "book, symbol, code, length"), ()),
-    "marker_names": (literal([(c, tables.marker_name(c)) for c in range(1, 255)], "code, name"), ()),
-    "subsampling": (literal(tables.SUBSAMPLINGS, "name, fx, fy"), ()), "orientation_transform": (literal(tables.ORIENTATIONS, "orientation, op"), ()),
-    "scan_script": (lambda d: f"SELECT * FROM {SCANS} s WHERE seq < 10", ()), "scan_kind": (scan_kind, ()), "recognize_format": (recognized, ()), "tables_as_of_scan": (as_of, ()),
-    "legacy_flags": (flags, ()), "bufsize": (size, ()), "yuv_bufsize": (yuv_size, ()), "scaled_dims": (scaled_dims, ()), "icc_split": (icc, ()), "icc_join": (icc_join, ()),
+    "narrow": (narrowed, ()), "zigzag": (zigzag, ()), "quality_tables": (quality, ()), "sof_grid": (sof_grid, ()), "is_perfect": (perfect, ()),
+    "annex_k": (annex, ()), "marker_names": (markers, ()), "subsampling": (sampled, ("ycc_part",)), "orientation_transform": (oriented, ("r_events",)),
+    "scan_script": (scan_script, ("r_events",)), "scan_kind": (scan_kind, ("r_events",)), "recognize_format": (recognized, ("r_events",)), "decode_formats": (decoded_formats, ("r_events",)),
+    "tables_as_of_scan": (as_of, ("r_events",)), "legacy_flags": (flags, ()), "bufsize": (size, ()), "yuv_bufsize": (yuv_size, ()), "scaled_dims": (scaled_dims, ("r_events",)),
+    "icc_split": (icc, ("r_events",)), "icc_join": (icc_join, ("r_events",)),
     "quantize": (quant_values, ()), "quant_recip_check": (recip, ()), "magnitude": (magnitude, ()), "extend": (extended, ()),
-    "dequantize": (dequantized, ("levels",)), "crop_pixels": (crop, ("r_synth",)), "crop_blocks": (lambda d: "SELECT image_id, brow - 1 AS brow, bcol - 2 AS bcol, v, u, level FROM {levels} l WHERE brow >= 1 AND bcol >= 2", ("levels",)), "trim": (trim, ("levels",)),
+    "dequantize": (dequantized, ("levels",)), "crop_pixels": (crop, ("r_synth",)), "trim": (trim, ("levels",)),
+    "crop_blocks": (lambda d: "SELECT image_id, brow - 1 AS brow, bcol - 2 AS bcol, v, u, level FROM {levels} l WHERE brow >= 1 AND bcol >= 2", ("levels",)),
     "lossless_predict": (predictor, ("r_events",)), "lossless_residual": (residual, ("r_events",)),
     "dc_diff": (dc, ("levels",)), "dc_cumsum": (lambda d: f"SELECT image_id, k, CAST(sum(diff) OVER (PARTITION BY image_id ORDER BY k) AS BIGINT) AS dc FROM ({dc(d)}) s", ("levels",)),
     "ac_rle": (nonzero, ("levels",)), "huff_hist": (lambda d: f"SELECT class, symbol, count(*) AS n FROM ({coded(d)}) s GROUP BY class, symbol", ("levels",)),
-    "coded_bits": (lambda d: f"SELECT image_id, CAST(sum(n) AS BIGINT) AS bits FROM ({lengths(d)}) s GROUP BY image_id", ("levels",)),
-    "bit_offsets": (lambda d: f"SELECT image_id, k, spot, part, n, CAST(sum(n) OVER (PARTITION BY image_id ORDER BY k, spot, part) - n AS BIGINT) AS place FROM ({lengths(d)}) s", ("levels",)),
+    "coded_bits": (lambda d: f"SELECT image_id, CAST(sum(n) AS BIGINT) AS bits, CAST({d.div('sum(n) + 7', 8)} AS BIGINT) AS bytes FROM ({lengths(d)}) s GROUP BY image_id", ("levels",)),
+    "bit_offsets": (bit_offsets, ("levels",)),
     "needs_optimal": (lambda d: f"SELECT c.class, c.symbol, count(*) AS n, b.code IS NULL AS missing FROM ({coded(d)}) c LEFT JOIN {BOOK} b ON c.class = b.class AND c.symbol = b.symbol GROUP BY c.class, c.symbol, b.code", ("levels",)),
-    "canonical_codes": (canonical, ()), "dht_valid": (lambda d: f"SELECT book, CAST(sum(n) AS BIGINT) AS symbols, sum(n * space) <= 65536 AS valid FROM {COUNTS} c JOIN {values([(i, 1 << (16 - i)) for i in range(1, 17)], 'l, space')} p ON length = l GROUP BY book", ()),
+    "canonical_codes": (assigned, ("r_events",)), "dht_valid": (validity, ("r_events",)),
     "restart_intervals": (lambda d: f"SELECT image_id, {d.div('k', 5)} AS interval_, count(*) AS blocks, ({d.div('k', 5)}) % 8 AS phase FROM {{levels}} l WHERE z = 0 GROUP BY image_id, {d.div('k', 5)}", ("levels",)),
-    "eob_runs": (eob, ("levels",)), "block_at": (lambda d: f"SELECT b.i AS bcol, z.i AS z, coalesce(level, 0) AS level FROM {d.seq(-1, 6)} b CROSS JOIN {d.seq(0, 64)} z LEFT JOIN (SELECT * FROM {{levels}} l WHERE image_id = 0 AND brow = 0) l ON l.bcol = b.i AND l.z = z.i", ("levels",)),
-    "blocks_at": (blocks_at, ("levels",)), "coef_filter": (lambda d: "SELECT image_id, brow, bcol, v, u, CASE WHEN u + v > 4 THEN 0 ELSE level END AS level FROM {levels} l", ("levels",)),
+    "eob_runs": (eob, ("levels",)), "block_at": (blocks_at, ("levels",)), "coef_filter": (lambda d: "SELECT image_id, brow, bcol, v, u, CASE WHEN u + v > 4 THEN 0 ELSE level END AS level FROM {levels} l", ("levels",)),
     **{f"transform_{op}": (transform(op), ("levels",)) for op in tables.TRANSFORMS},
-    **{f"subsample_{n}": (subsample(fx, fy), ("ycc_part",)) for n, fx, fy in tables.SUBSAMPLINGS if n in ("422", "420", "440", "411", "441", "410", "24")},
-    **{f"upsample_{n}": (upsample(fx, fy), ("ycc_part",)) for n, fx, fy in tables.SUBSAMPLINGS if n in ("422", "420", "440")},
+    **{f"subsample_{n}": (subsample(fx, fy), ("ycc_part",)) for n, fx, fy in tables.SUBSAMPLINGS if n not in ("444", "gray")},
+    **{f"upsample_{n}": (upsample(fx, fy), ("ycc_part",)) for n, fx, fy in tables.SUBSAMPLINGS if n not in ("444", "gray")},
 }
 
 

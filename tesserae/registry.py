@@ -1,10 +1,10 @@
 """All registered queries of the image engine, with the SQL that must give the same rows."""
 
-from tesserae.plans import kernels, relational
+from tesserae.plans import kernels, relational, roads
 
 
 def queries() -> dict:
-    return {n: relational.spark_query(n) for n in relational.PLANS} | kernels.QUERIES
+    return {n: relational.spark_query(n) for n in relational.PLANS} | kernels.QUERIES | roads.ROADS
 
 
 def oracles() -> dict:

@@ -1,10 +1,9 @@
 """Parsed headers and tables of streams as relations: one row per component, factor, code or marker."""
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
+from tesserae import tables
+from tesserae.operators import arithmetic, codec, faults
 from tesserae.sources import metadata, segments as seg
 
 
@@ -35,7 +34,78 @@ def dht(found):
 
 
 def dri(found):
-    yield from ((int.from_bytes(body, "big"),) for _, code, body, _ in found if code == 0xDD)
+    yield from ((seg.restart_interval(body),) for _, code, body, _ in found if code == 0xDD)
+
+
+def dnl(found):
+    yield from ((seg.late_height(body),) for _, code, body, _ in found if code == 0xDC)
+
+
+def dac(found):
+    """Conditioning of arithmetic coding: bounds of small DC differences, or the place where AC bits take other contexts."""
+    for _, code, body, _ in found:
+        if code == 0xCC:
+            for (kind, slot), value in arithmetic.conditioning(body).items():
+                low, high = value if kind == 0 else (None, None)
+                yield "ac" if kind else "dc", slot, low, high, value if kind else None
+
+
+def layout(found):
+    """Format, and the geometry of every plane: its place in the format, samples and blocks, those of padding included."""
+    for _, code, body, _ in found:
+        if seg.marker_process(code):
+            f = codec.with_height(seg.frame(code, body), found)
+            name, order = codec.recognized([c[0] for c in f["components"]])
+            mx, my = max(c[1] for c in f["components"]), max(c[2] for c in f["components"])
+            for k, (i, sx, sy, _) in enumerate(f["components"]):
+                yield name, k, i, order.index(k) if k in order else None, -(-f["width"] * sx // mx), -(-f["height"] * sy // my), -(-f["width"] // (8 * mx)) * sx, -(-f["height"] // (8 * my)) * sy
+
+
+def scan_kinds(found):
+    """What each scan codes, by the process of its frame, its band and its bits."""
+    process, n = None, 0
+    for _, code, body, _ in found:
+        if seg.marker_process(code):
+            process = seg.marker_process(code)[0]
+        elif code == 0xDA:
+            s = seg.scan(body)
+            staged = process == "progressive"
+            kind = "lossless" if process == "lossless" else "sequential" if not staged else "dc" if s["ss"] == 0 else "ac"
+            yield n, kind, staged and s["ah"] > 0
+            n += 1
+
+
+def tables_in_force(found):
+    """For every scan and Huffman slot that it uses: the segment that defined its table last."""
+    where, n = {}, 0
+    for seq, (_, code, body, _) in enumerate(found):
+        if code == 0xC4:
+            where |= dict.fromkeys(seg.huffman(body), seq)
+        elif code == 0xDA:
+            for _, dc, ac in seg.scan(body)["components"]:
+                yield from ((n, name, slot, where.get((kind, slot))) for kind, name, slot in ((0, "dc", dc), (1, "ac", ac)))
+            n += 1
+
+
+def codes(found):
+    """Canonical codes of every table."""
+    for _, code, body, _ in found:
+        if code == 0xC4:
+            for (kind, slot), table in seg.huffman(body).items():
+                yield from (("ac" if kind else "dc", slot, *c) for c in tables.codes(table))
+
+
+def parameters(found):
+    """What a reader of the header alone can say: size, precision, color space, subsampling and density."""
+    f = next((codec.with_height(seg.frame(code, body), found) for _, code, body, _ in found if seg.marker_process(code)), None)
+    if f is None:
+        raise ValueError("decoding: missingFrame")
+    parts = f["components"]
+    shape = [(c[1], c[2]) for c in parts]
+    fits = len(parts) == 3 and shape[1:] == [(1, 1), (1, 1)]
+    name = "gray" if len(parts) == 1 else next((n for n, fx, fy in tables.SUBSAMPLINGS if fits and n != "gray" and (fx, fy) == shape[0]), None)
+    unit, x, y = next(((b[7], int.from_bytes(b[8:10], "big"), int.from_bytes(b[10:12], "big")) for _, code, b, _ in found if metadata.kind(code, b) == "jfif"), (0, 1, 1))
+    yield f["width"], f["height"], f["precision"], codec.recognized([c[0] for c in parts])[0], name, unit, x, y, f["process"] == "progressive", f["process"] == "lossless"
 
 
 def jfif(found):
@@ -57,20 +127,15 @@ RELATIONS = {
     "sos": (sos, "scan int, place int, id int, dc int, ac int, ss int, se int, ah int, al int"),
     "dqt": (dqt, "slot int, z int, factor int"), "dht": (dht, "class string, slot int, place int, length int, symbol int"),
     "dri": (dri, "interval_ int"), "jfif": (jfif, "major int, minor int, unit int, dx int, dy int"),
-    "restarts": (restarts, "scan int, k int, phase int"),
+    "restarts": (restarts, "scan int, k int, phase int"), "dnl": (dnl, "height int"), "dac": (dac, "class string, slot int, low int, high int, kx int"),
+    "layout": (layout, "format string, place int, id int, plane int, width int, height int, bcols int, brows int"),
+    "scan_kinds": (scan_kinds, "scan int, kind string, refining boolean"), "tables_in_force": (tables_in_force, "scan int, class string, slot int, seq int"),
+    "codes": (codes, "class string, slot int, symbol int, code int, length int"),
+    "parameters": (parameters, "width int, height int, precision int, colorspace string, subsampling string, unit int, dx int, dy int, progressive boolean, lossless boolean"),
 }
 
 
-def relation(images: DataFrame, name: str) -> DataFrame:
+def relation(images: DataFrame, name: str, mode: str = faults.FAILFAST) -> DataFrame:
     """image_id and the columns of the relation; an image without such a segment gives no rows."""
     rows, columns = RELATIONS[name]
-    schema = StructType.fromDDL(f"image_id long, {columns}")
-    arrow = to_arrow_schema(schema)
-
-    def batches(it):
-        for batch in it:
-            for image_id, content in zip(batch.column("image_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if found := [(image_id, *r) for r in rows(list(seg.segments(content)))]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
-
-    return images.select("image_id", "content").mapInArrow(batches, schema)
+    return faults.per_row(images, ["content"], columns, lambda content: list(rows(list(seg.segments(content)))), mode)

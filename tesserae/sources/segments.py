@@ -2,9 +2,10 @@
 
 import struct
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tesserae import tables
+from tesserae.operators import faults
 
 NO_BODY = {0x01, 0xD8, 0xD9, *range(0xD0, 0xD8)}
 
@@ -44,8 +45,13 @@ def segments(data: bytes):
                 end = data.find(b"\xff", end)
                 if end < 0 or end + 1 >= len(data):
                     raise ValueError("lexing: truncatedEntropyCodedSegment")
-                if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
-                    end += 2
+                after = end + 1  # fill bytes may stand before a restart marker
+                while after < len(data) and data[after] == 0xFF:
+                    after += 1
+                if after == len(data):
+                    raise ValueError("lexing: truncatedEntropyCodedSegment")
+                if data[after] == 0 or 0xD0 <= data[after] <= 0xD7:
+                    end = after + 1
                     continue
                 break
             ecs, place = data[place:end], end
@@ -74,6 +80,20 @@ def marker_process(code: int):
     return (("baseline", "extended", "progressive", "lossless")[code & 3], "arithmetic" if code & 8 else "huffman", bool(code & 4))
 
 
+def late_height(body: bytes) -> int:
+    """DNL: the number of lines."""
+    if len(body) != 2:
+        raise ValueError("parsing: invalidHeightLength")
+    return int.from_bytes(body, "big")
+
+
+def restart_interval(body: bytes) -> int:
+    """DRI: the interval in MCUs, 0 for none."""
+    if len(body) != 2:
+        raise ValueError("parsing: invalidRestartLength")
+    return int.from_bytes(body, "big")
+
+
 def scan(body: bytes) -> dict:
     if not body or len(body) != 4 + 2 * body[0] or not 1 <= body[0] <= 4:
         raise ValueError("parsing: invalidScanLength")
@@ -110,34 +130,36 @@ def huffman(body: bytes) -> dict[tuple[int, int], tuple]:
     return out
 
 
-def with_segments(images: DataFrame) -> DataFrame:
-    """image_id, seq, offset, marker, name, length: one row per segment, lexed in Arrow batches."""
-    import pyarrow as pa
+def header(data: bytes) -> dict:
+    """The frame of a stream, found without reading its scans unless its height comes late."""
+    parts = segments(data)
+    for _, code, body, _ in parts:
+        if marker_process(code):
+            found = frame(code, body)
+            if not found["height"]:
+                found["height"] = next((late_height(b) for _, c, b, _ in parts if c == 0xDC), 0)
+                if not found["height"]:
+                    raise ValueError("decoding: missingHeight")
+            return found
+        if code in (0xD9, 0xDA):
+            break
+    raise ValueError("decoding: missingFrame")
 
-    def found(it):
-        for batch in it:
-            for image_id, content in zip(batch.column("image_id"), batch.column("content"), strict=True):
-                rows = [(image_id.as_py(), seq, o, m, tables.marker_name(m), len(b)) for seq, (o, m, b, _) in enumerate(segments(content.as_py()))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["image_id", "seq", "offset", "marker", "name", "length"])
 
-    return images.select("image_id", "content").mapInArrow(found, "image_id long, seq int, offset long, marker int, name string, length long")
+def with_segments(images: DataFrame, mode: str = faults.FAILFAST) -> DataFrame:
+    """image_id, seq, offset, marker, name, length: one row per segment."""
 
+    def make(content):
+        return [(seq, o, m, tables.marker_name(m), len(b)) for seq, (o, m, b, _) in enumerate(segments(content))]
 
-def with_header(images: DataFrame) -> DataFrame:
+    return faults.per_row(images, ["content"], "seq int, offset long, marker int, name string, length long", make, mode)
+
+
+def with_header(images: DataFrame, mode: str = faults.FAILFAST) -> DataFrame:
     """image_id, process, coding, precision, width, height, n_components; stops at the frame header."""
-    import pyarrow as pa
-
-    names = ("image_id", "process", "coding", "precision", "width", "height", "n_components")
-
-    def found(it):
-        for batch in it:
-            rows = []
-            for image_id, content in zip(batch.column("image_id"), batch.column("content"), strict=True):
-                for _, code, body, _ in segments(content.as_py()):
-                    if marker_process(code):
-                        f = frame(code, body)
-                        rows.append((image_id.as_py(), f["process"], f["coding"], f["precision"], f["width"], f["height"], len(f["components"])))
-                        break
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema([("image_id", pa.int64()), ("process", pa.string()), ("coding", pa.string()), ("precision", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("n_components", pa.int32())]))
-
-    return images.select("image_id", F.col("content")).mapInArrow(found, "image_id long, process string, coding string, precision int, width int, height int, n_components int")
+
+    def make(content):
+        f = header(content)
+        return f["process"], f["coding"], f["precision"], f["width"], f["height"], len(f["components"])
+
+    return faults.per_row(images, ["content"], "process string, coding string, precision int, width int, height int, n_components int", make, mode)

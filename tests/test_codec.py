@@ -136,3 +136,14 @@ def test_optimal_tables():
         skewed[s] = skewed[s - 1] + skewed[s - 2]
     book = progressive.optimal(skewed)
     assert sum(book[0]) == len(book[1]) == 40 and sum(2.0**-m for _, _, m in tables.codes(book)) < 1
+
+
+def test_dense_index(spark):
+    """Numbers follow the key whatever the number of ranges, also of keys that cluster."""
+    from tesserae.operators.order import dense_index
+
+    keys = [3, 5, *range(10**12, 10**12 + 500), -7, *range(100, 200)]
+    df = spark.createDataFrame([(k,) for k in keys], "key long").repartition(5)
+    for rows in (7, 100, 10**6):
+        assert {r["key"]: r["image_k"] for r in dense_index(df, "key", rows=rows).collect()} == {k: i for i, k in enumerate(sorted(keys))}
+    assert dense_index(df.filter("key = 0"), "key").count() == 0

@@ -256,8 +256,15 @@ def with_ids(data: bytes, ids: list[int]) -> bytes:
     return bytes(out)
 
 
-def recognized(ids: list[int]) -> tuple[str, list[int]]:
-    """Format of a frame by its components' ids, and the places of the planes that make it, in order."""
+def recognized(ids: list[int], formats=()) -> tuple[str, list[int]]:
+    """Format of a frame by its components' ids, and the places of the planes that make it, in order.
+
+    formats: more of them, asked first: objects with a name, places(ids), which gives None or the places, and
+    rgb(samples, precision), which gives RGB or gray samples of eight bits.
+    """
+    for f in formats:
+        if (places := f.places(ids)) is not None:
+            return f.name, list(places)
     if len(ids) == 1:
         return "gray", [0]
     if len(ids) == 3 and sorted(ids) == [66, 71, 82]:
@@ -326,9 +333,9 @@ def with_height(head: dict, found: list) -> dict:
     return head | {"height": late}
 
 
-def spectral(data: bytes) -> dict:
-    """Frame, factors, quantization tables (row-major) and levels (by, bx, 64 row-major) of a DCT stream."""
-    quanta, books, conditions, restart, head, planes = {}, {}, {}, 0, None, []
+def spectral(data: bytes, scans: int | None = None) -> dict:
+    """Frame, factors, quantization tables (row-major) and levels (by, bx, 64 row-major) of a DCT stream, or of its first scans."""
+    quanta, books, conditions, restart, head, planes, seen = {}, {}, {}, 0, None, [], 0
     found = list(seg.segments(data))
     for _, code, body, ecs in found:
         if code == 0xDB:
@@ -356,12 +363,14 @@ def spectral(data: bytes) -> dict:
             s = seg.scan(body)
             if any(c[0] not in ids for c in s["components"]):
                 raise ValueError("decoding: undefinedScanComponent")
-            scan_blocks(planes, ecs, s, head, factors, [ids.index(c[0]) for c in s["components"]], books, conditions, restart)
+            seen += 1
+            if scans is None or seen <= scans:
+                scan_blocks(planes, ecs, s, head, factors, [ids.index(c[0]) for c in s["components"]], books, conditions, restart)
     if head is None:
         raise ValueError("decoding: missingFrame")
     tables_ = [np.array(quanta[c[3]])[PLACES] if c[3] in quanta else np.full(64, 1 << (head["precision"] - 1)) for c in head["components"]]
     row_major = [np.ascontiguousarray(p[..., PLACES]) for p in planes]
-    return {"frame": head, "factors": factors, "quanta": tables_, "planes": row_major, "restart": restart, "segments": found}
+    return {"frame": head, "factors": factors, "quanta": tables_, "planes": row_major, "restart": restart, "segments": found, "scans": seen}
 
 
 def scan_blocks(planes, ecs: bytes, s: dict, head: dict, factors, own: list[int], books: dict, conditions: dict, restart: int) -> None:
@@ -396,23 +405,26 @@ def scan_blocks(planes, ecs: bytes, s: dict, head: dict, factors, own: list[int]
             planes[k][some[1, mine], some[2, mine]] = levels[mine]
 
 
-def decode_samples(data: bytes, scale: int = 8) -> tuple[np.ndarray, int, str]:
-    """(h, w, n) samples in the order of their format, before color conversion, their precision and the format."""
+def decode_samples(data: bytes, scale: int = 8, scans: int | None = None, formats=(), definition: bool = False) -> tuple[np.ndarray, int, str]:
+    """(h, w, n) samples in the order of their format, before color conversion, their precision and the format.
+
+    definition takes the transform as it is defined instead of its factored form; they differ by one at most.
+    """
     if lossless.is_lossless(data):
         if scale != 8:
             raise ValueError("decoding: unsupportedScaling")
         samples, head = lossless.read(data)
-        name, order_ = recognized([c[0] for c in head["components"]])
+        name, order_ = recognized([c[0] for c in head["components"]], formats)
         return samples[..., order_], head["precision"], name
-    s = spectral(data)
+    s = spectral(data, scans)
     head, factors = s["frame"], s["factors"]
-    name, order_ = recognized([c[0] for c in head["components"]])
+    name, order_ = recognized([c[0] for c in head["components"]], formats)
     mx, my = max(f[0] for f in factors), max(f[1] for f in factors)
     width, height, out = (head["width"] * scale + 7) // 8, (head["height"] * scale + 7) // 8, []
     for k in order_:
         levels, quanta, (fx, fy) = s["planes"][k], s["quanta"][k], factors[k]
         c = (levels * quanta).reshape(-1, 8, 8)
-        samples = dct.inverse(c, head["precision"]) if scale == 8 else dct.inverse_definition(c, head["precision"], scale)
+        samples = dct.inverse(c, head["precision"]) if scale == 8 and not definition else dct.inverse_definition(c, head["precision"], scale)
         by, bx = levels.shape[:2]
         plane = samples.reshape(by, bx, scale, scale).transpose(0, 2, 1, 3).reshape(by * scale, bx * scale)
         if (fx, fy) == (mx, my):
@@ -433,7 +445,7 @@ def cropped(raster: np.ndarray, crop) -> np.ndarray:
     return raster[y : y + h, x : x + w]
 
 
-def decode_raster(data: bytes, scale: int = 8, bits: int | None = None) -> np.ndarray:
+def decode_raster(data: bytes, scale: int = 8, bits: int | None = None, scans: int | None = None, formats=(), definition: bool = False) -> np.ndarray:
     """(h, w, n) samples: RGB for YCbCr and RGB streams, gray for others; scale/8 of the size.
 
     bits: 8 narrows wider samples; 12 or 16 takes streams of that precision only; None leaves the stream's own.
@@ -441,11 +453,12 @@ def decode_raster(data: bytes, scale: int = 8, bits: int | None = None) -> np.nd
     """
     if scale not in range(1, 9):
         raise ValueError("decoding: unsupportedScaling")
-    samples, precision, name = decode_samples(data, scale)
+    samples, precision, name = decode_samples(data, scale, scans, formats, definition)
     if bits not in (None, 8, precision) and not (bits == 12 and 8 < precision <= 12) and not (bits == 16 and precision > 12):
         raise ValueError("decoding: unsupportedPrecision")
-    if name == "ycc":
-        samples = rgb(narrowed(samples, precision))
+    own = next((f for f in formats if f.name == name), None)
+    if own or name == "ycc":
+        samples = own.rgb(samples, precision) if own else rgb(narrowed(samples, precision))
         return samples if bits == 8 else widened(samples, precision)
     return narrowed(samples, precision) if bits == 8 else samples
 
@@ -513,14 +526,26 @@ def encode(rasters: DataFrame, quality: int = 85, subsampling: str = "420", rest
     return faults.per_row(rasters, ["width", "height", "values"], "content binary", make, mode)
 
 
-def decode(images: DataFrame, scale: int = 8, crop: tuple[int, int, int, int] = (0, 0, 0, 0), bits: int = 8, pixel_format: str | None = None, bottom_up: bool = False, mode: str = faults.FAILFAST) -> DataFrame:
-    """image_id, width, height, components, values; crop is taken of the scaled image."""
+def raster_row(raster: np.ndarray, bits: int) -> tuple:
+    h, w, n = raster.shape
+    return w, h, n, raster.astype(np.uint8 if bits == 8 else "<u2").tobytes()
+
+
+def previews(images: DataFrame, mode: str = faults.FAILFAST) -> DataFrame:
+    """image_id, scan, width, height, components, values: what each scan from the first on makes of an image."""
 
     def make(content):
-        raster = packed_pixels(cropped(decode_raster(content, scale, bits), crop), pixel_format)
-        raster = raster[::-1] if bottom_up else raster
-        h, w, n = raster.shape
-        return w, h, n, raster.astype(np.uint8 if bits == 8 else "<u2").tobytes()
+        return [(n, *raster_row(decode_raster(content, bits=8, scans=n + 1), 8)) for n in range(spectral(content, 0)["scans"])]
+
+    return faults.per_row(images, ["content"], "scan int, width int, height int, components int, values binary", make, mode)
+
+
+def decode(images: DataFrame, scale: int = 8, crop: tuple[int, int, int, int] = (0, 0, 0, 0), bits: int = 8, pixel_format: str | None = None, bottom_up: bool = False, mode: str = faults.FAILFAST, formats=(), definition: bool = False) -> DataFrame:
+    """image_id, width, height, components, values; crop is taken of the scaled image; formats as `recognized` has them."""
+
+    def make(content):
+        raster = packed_pixels(cropped(decode_raster(content, scale, bits, None, formats, definition), crop), pixel_format)
+        return raster_row(raster[::-1] if bottom_up else raster, bits)
 
     return faults.per_row(images, ["content"], "width int, height int, components int, values binary", make, mode)
 

@@ -64,6 +64,18 @@ def encode(raster: np.ndarray, precision: int = 8, predictor: int = 1, shift: in
     return out + b"".join(c + bytes([255, 0xD0 + i % 8]) for i, c in enumerate(coded[:-1])) + coded[-1] + b"\xff\xd9"
 
 
+def planes(raster: np.ndarray, factors: list[tuple[int, int]]) -> list[np.ndarray]:
+    """Component planes of a raster at their own density, by point sampling: a sample is taken as it is, the last one beyond the edge."""
+    h, w, _ = raster.shape
+    mx, my = max(f[0] for f in factors), max(f[1] for f in factors)
+    out = []
+    for k, (fx, fy) in enumerate(factors):
+        y = np.minimum(np.arange(-(-h * fy // my)) * my // fy, h - 1)
+        x = np.minimum(np.arange(-(-w * fx // mx)) * mx // fx, w - 1)
+        out.append(raster[y][:, x, k])
+    return out
+
+
 def is_lossless(data: bytes) -> bool:
     return next((code == 0xC3 for _, code, _, _ in seg.segments(data) if seg.marker_process(code)), False)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from tesserae import tables
 from tesserae.functions import dct
-from tesserae.operators import codec
+from tesserae.operators import codec, faults
 
 
 def factors(subsampling: str) -> list[tuple[int, int]]:
@@ -90,6 +90,49 @@ def from_stream(data: bytes, align: int = 4) -> bytes:
     return pack(out, align)
 
 
+def subsampling_of(sizes_: list[tuple[int, int]]) -> str | None:
+    """The subsampling of planes given by their rows and columns; None where there is none such."""
+    if len(sizes_) == 1:
+        return "gray"
+    if len(sizes_) != 3 or sizes_[1] != sizes_[2]:
+        return None
+    (rows, columns), (down, across), _ = sizes_
+    return next((name for name, fx, fy in tables.SUBSAMPLINGS if name != "gray" and (columns, rows) == (across * fx, down * fy)), None)
+
+
+def pack_rasters(rasters: DataFrame, subsampling: str = "420", align: int = 4, mode: str = faults.FAILFAST) -> DataFrame:
+    """image_id, width, height, planes: rasters as packed planes."""
+    make = lambda w, h, values: (w, h, from_raster(codec.raster_of(w, h, values), subsampling, align))
+    return faults.per_row(rasters, ["width", "height", "values"], "width int, height int, planes binary", make, mode)
+
+
+def unpack_rasters(packed: DataFrame, subsampling: str = "420", align: int = 4, mode: str = faults.FAILFAST) -> DataFrame:
+    """image_id, width, height, components, values of packed planes."""
+
+    def make(w, h, planes):
+        raster = to_raster(planes, w, h, subsampling, align)
+        return w, h, raster.shape[2], raster.astype(np.uint8).tobytes()
+
+    return faults.per_row(packed, ["width", "height", "planes"], "width int, height int, components int, values binary", make, mode)
+
+
+def encode(packed: DataFrame, quality: int = 85, subsampling: str = "420", align: int = 4, process: str = "baseline", mode: str = faults.FAILFAST) -> DataFrame:
+    """image_id, content: streams of packed planes, without color conversion or subsampling."""
+    return faults.per_row(packed, ["width", "height", "planes"], "content binary", lambda w, h, planes: (to_stream(planes, w, h, subsampling, quality, align, process),), mode)
+
+
+def decode(images: DataFrame, align: int = 4, mode: str = faults.FAILFAST) -> DataFrame:
+    """image_id, width, height, subsampling, planes: the decoded planes of streams, packed."""
+
+    def make(content):
+        s = codec.spectral(content)
+        parts = s["factors"]
+        name = "gray" if len(parts) == 1 else next((n for n, fx, fy in tables.SUBSAMPLINGS if n != "gray" and parts == [(fx, fy), (1, 1), (1, 1)]), None)
+        return s["frame"]["width"], s["frame"]["height"], name, from_stream(content, align)
+
+    return faults.per_row(images, ["content"], "width int, height int, subsampling string, planes binary", make, mode)
+
+
 def with_planes(rasters: DataFrame, subsampling: str = "420", align: int = 4) -> DataFrame:
     """image_id, plane, y, x, v: the samples that a reader finds in the packed planes of rasters."""
     names = ["image_id", "plane", "y", "x", "v"]

@@ -146,8 +146,6 @@ QUERIES = {
     "idct_scaled": _block(lambda c: dct.inverse_definition(c, 8, 4), True, 4),
     "encode_baseline": encode_baseline, "decode_baseline": decode_baseline, "decode_restarts": decode_restarts, "decode_scaled": decode_scaled, "header_scan": header_scan,
     "encode_progressive": lambda spark, sf: encode_baseline(spark, sf, process="progressive"), "encode_optimal": lambda spark, sf: encode_baseline(spark, sf, process="optimal"), "encode_arithmetic": lambda spark, sf: encode_baseline(spark, sf, process="arithmetic"), "decode_progressive": decode_progressive, "decode_arithmetic": decode_arithmetic, "psnr_metrics": psnr,
-    "segments": lambda spark, sf: segments.with_segments(encoded_color(spark, sf, "420")),
-    "decode_420": lambda spark, sf: codec.unpack(codec.decode(encoded_color(spark, sf, "420"))),
 }
 
 SQL = {

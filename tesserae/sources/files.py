@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tesserae.operators import codec, faults
+
 TOKEN = re.compile(rb"(?:\s|#[^\n]*(?:\n|$))*([^\s#]+)")
 
 
@@ -85,16 +87,47 @@ def with_bmp(rasters: DataFrame) -> DataFrame:
     return rasters.select("image_id", "width", "height", "values").mapInArrow(batches, "image_id long, content binary")
 
 
-def load(images: DataFrame) -> DataFrame:
-    """image_id, width, height, components, values of files told apart by their first bytes; wide samples keep their high byte."""
+def shifted(samples: np.ndarray, maxval: int, bits: int) -> np.ndarray:
+    """Samples of a file at that many bits, by the highest bit that its maxval has."""
+    gap = bits - maxval.bit_length()
+    return samples << gap if gap >= 0 else samples >> -gap
 
-    def batches(it):
-        for batch in it:
-            for k in range(batch.num_rows):
-                data = batch.column("content")[k].as_py()
-                raster, maxval = (read_bmp(data), 255) if data[:2] == b"BM" else read_pnm(data)
-                h, w, n = raster.shape
-                values = (raster >> max(0, maxval.bit_length() - 8)).astype(np.uint8).tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("image_id").slice(k, 1), *(pa.array([v], pa.int32()) for v in (w, h, n)), pa.array([values])], names=["image_id", "width", "height", "components", "values"])
 
-    return images.select("image_id", "content").mapInArrow(batches, "image_id long, width int, height int, components int, values binary")
+def load_raster(data: bytes, bits: int = 8, pixel_format: str | None = None) -> np.ndarray:
+    """A PNM or BMP file, told apart by its first bytes."""
+    raster, maxval = (read_bmp(data), 255) if data[:2] == b"BM" else read_pnm(data)
+    return codec.packed_pixels(shifted(raster, maxval, bits), pixel_format)
+
+
+def save_raster(raster: np.ndarray, kind: str = "pnm", bits: int = 8) -> bytes:
+    """A file of samples of that many bits; BMP takes eight only."""
+    if kind not in ("pnm", "bmp"):
+        raise ValueError("files: unsupportedKind")
+    if kind == "bmp":
+        if bits != 8:
+            raise ValueError("files: unsupportedPrecision")
+        return bmp(raster)
+    return pnm(raster, (1 << bits) - 1)
+
+
+def load(images: DataFrame, bits: int = 8, pixel_format: str | None = None, align: int = 1, mode: str = faults.FAILFAST) -> DataFrame:
+    """image_id, width, height, components, values of PNM and BMP files; rows are padded to a multiple of align bytes (a power of two)."""
+    if align < 1 or align & (align - 1):
+        raise ValueError("files: invalidAlignment")
+
+    def make(content):
+        raster = load_raster(content, bits, pixel_format)
+        h, w, n = raster.shape
+        rows = np.ascontiguousarray(raster.astype(np.uint8 if bits == 8 else "<u2")).reshape(h, -1).view(np.uint8)
+        return w, h, n, np.pad(rows, ((0, 0), (0, -rows.shape[1] % align))).tobytes()
+
+    return faults.per_row(images, ["content"], "width int, height int, components int, values binary", make, mode)
+
+
+def save(rasters: DataFrame, kind: str = "pnm", bits: int = 8, pixel_format: str | None = None, mode: str = faults.FAILFAST) -> DataFrame:
+    """image_id, content: files of rasters."""
+
+    def make(w, h, values):
+        return (save_raster(codec.unpacked_pixels(codec.raster_of(w, h, values, bits), pixel_format), kind, bits),)
+
+    return faults.per_row(rasters, ["width", "height", "values"], "content binary", make, mode)

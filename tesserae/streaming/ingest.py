@@ -32,22 +32,31 @@ def whole(chunks: dict[int, bytes]) -> bytes | None:
     return data[:end]
 
 
-def assemble(chunks: DataFrame) -> DataFrame:
+def assemble(chunks: DataFrame, patience_ms: int = 3_600_000) -> DataFrame:
     """image_id, content: one row per upload of chunks (image_id, chunk_seq from 0, bytes), made when its end marker is there.
 
     The state is an image's own chunks, in any order; a repeated chunk_seq counts once. It is dropped once the image
-    is made, so a chunk that comes again after that starts a new upload. Null bytes count as empty.
+    is made, so a chunk that comes again after that starts a new upload, and when an upload gets no chunk for
+    patience_ms of processing time. Chunks are joined only once an end marker may be among them. Null bytes count as
+    empty.
     """
 
     def step(key, frames, state):
-        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        if state.hasTimedOut:
+            state.remove()
+            return
+        places, parts, ended = state.get if state.exists else ([], [], False)
+        held = dict(zip(places, parts, strict=True))
         for frame in frames:
             for k, part in zip(frame["chunk_seq"], frame["bytes"], strict=True):
-                held.setdefault(int(k), bytes(part) if part is not None else b"")
-        if (data := whole(held)) is not None:
+                part = bytes(part) if part is not None else b""
+                ended = ended or b"\xff\xd9" in part or part.startswith(b"\xd9")
+                held.setdefault(int(k), part)
+        if ended and (data := whole(held)) is not None:
             state.remove()
             yield pd.DataFrame({"image_id": [key[0]], "content": [data]})
         else:
-            state.update((list(held), list(held.values())))
+            state.update((list(held), list(held.values()), ended))
+            state.setTimeoutDuration(patience_ms)
 
-    return chunks.groupBy("image_id").applyInPandasWithState(step, "image_id long, content binary", "places array<int>, parts array<binary>", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("image_id").applyInPandasWithState(step, "image_id long, content binary", "places array<int>, parts array<binary>, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)

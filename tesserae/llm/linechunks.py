@@ -1,22 +1,25 @@
 """Line dedup by content-defined chunks of lines (DataFrame operations only).
 
-A document's lines are hashed, and a rolling hash over the last two line hashes ends a chunk
-wherever it is divisible by DIVISOR, so that the same run of lines is cut alike wherever it stands.
-Chunks of two or more lines that occur more than once in the corpus stay at their first place (by
-doc_id, nulls first, then position) and are removed elsewhere. Candidates are found by 64-bit hash
-counts; whether they are really equal is decided on their bytes, which are the grouping and join key.
-Copies of a frequent chunk are dealt into parts of about PART rows before they meet its first place.
+A document's lines are hashed, and so is every line with the one before it, by a rolling hash over line
+hashes. A chunk ends at a line whose rolling hash is below both neighbours', so that boundaries follow
+from four lines alone, the same run of lines is cut alike wherever it stands, and a chunk has at least two
+lines (a text of one line is no chunk). Chunks that occur more than once in the corpus stay at their first
+place (by doc_id, nulls first, then position) and are removed elsewhere, and with them the lines beside
+them, as far as two chunks, that equal those beside the first place: edges of a repeated passage that
+chunks share with their surroundings. Lines of LONG_WORDS words or more count on their own too. Whatever
+goes has an equal line at an earlier place, so a copy of every line stays. A passage is found if a whole
+chunk lies inside: nine in ten passages of eight lines, nearly all of twelve, few of three. With `every`,
+each line but the last ends a chunk and is the next one's first line too, so that no repeated run of two
+lines is lost; that reads and moves about three times as much.
+
+Candidates are found by 64-bit hash counts; whether they are really equal is decided on their bytes,
+which are the grouping and join key (lines beside them: by 64-bit hashes). Copies of a frequent chunk are
+dealt into parts of about PART rows before they meet its first place.
 
 Null texts stay null and have no lines; an empty text is one empty line and is kept; chunks of
 blank lines only are kept; rows equal in id and text count as one document and share a result; very long
 texts are single rows, with work linear in their lines; an empty table gives no rows; other columns are
 kept as they are, whatever their names.
-
-Chunks are cut by their surroundings too, so op2 loses the edges of repeated passages and all one-line
-chunks. `dedup_runs`, the pipeline's stage, has no such loss: its units are every two neighbouring lines
-and every line of LONG_WORDS words or more, and a line goes if it stands in a unit that occurs earlier.
-An equal line then stands at an earlier place, so a copy of every line stays. Of three or more blank
-lines in a row the inner ones stay.
 """
 
 from __future__ import annotations
@@ -25,47 +28,59 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch, hex_number, join_sized, table
 
-WINDOW, DIVISOR, MODULUS, FACTOR, MIN_LINES = 2, 3, 2147483647, 263, 2
-LONG_WORDS = 50
-PART = 128
+MODULUS, FACTOR, LONG_WORDS, PART = 2147483647, 263, 50, 128
+
 
+def with_units(docs: DataFrame, every: bool) -> DataFrame:
+    """doc_id, __key and __units: the chunks of a text and its long lines, with what stands beside each chunk.
 
-def with_chunks(docs: DataFrame) -> DataFrame:
-    """Adds __chunks: array of (n, body) in order; joined by line feeds they are the text."""
-    lines = F.split("text", "\n", -1)
+    A unit is k (its place, unique in the text), body, from (its first line, from 1), n (lines), left and
+    right (hashes of the lines of the two chunks on either side).
+    """
+    # possessive and anchored, so that matching takes linear time
+    long = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{LONG_WORDS - 1}}}[^\x20\x09-\x0D]"
+    nothing = "cast(array() as array<bigint>)"
+    longs = F.transform(F.filter(F.sequence(F.lit(1), F.size("__lines")), lambda i: F.element_at("__lines", i).rlike(long)), lambda i: F.struct((2 * i).alias("k"), F.element_at("__lines", i).alias("body"), i.alias("from"), F.lit(1).alias("n"), F.expr(nothing).alias("left"), F.expr(nothing).alias("right")))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("__key"), F.split("text", "\n", -1).alias("__lines")).filter("__lines is not null")
+    if every:
+        chunks = f"""transform(filter(sequence(1, size(__lines)), i -> i < size(__lines)), i -> named_struct('k', 2 * i + 1,
+            'body', concat(element_at(__lines, i), '\n', element_at(__lines, i + 1)), 'from', i, 'n', 2, 'left', {nothing}, 'right', {nothing}))"""
+        return lines.select("doc_id", "__key", F.concat(F.expr(chunks), longs).alias("__units"))
+    before, earlier = "(case when j = 0 then 0 else element_at(__ends, j) end)", "(case when j <= 2 then 0 else element_at(__ends, j - 2) end)"
     return (
-        docs.withColumn("__lines", lines)
-        .withColumn("__h", F.transform("__lines", lambda x: hex_number(F.md5(x), 7)))
-        .withColumn("__ends", F.expr(f"""filter(sequence(1, size(__lines)), i -> i = size(__lines)
-            or (element_at(__h, i) + case when i > 1 then {FACTOR} * element_at(__h, i - 1) else 0 end) % {MODULUS} % {DIVISOR} = 0)"""))
-        .withColumn("__chunks", F.expr("""transform(__ends, (e, k) -> named_struct(
-            'n', e - (case when k = 0 then 0 else element_at(__ends, k) end),
-            'body', array_join(slice(__lines, (case when k = 0 then 0 else element_at(__ends, k) end) + 1,
-                                     e - (case when k = 0 then 0 else element_at(__ends, k) end)), '\n')))"""))
-        .drop("__lines", "__h", "__ends")
+        lines.withColumn("__h", F.transform("__lines", lambda x: hex_number(F.md5(x), 7)))
+        .withColumn("__x", F.transform("__lines", lambda x: F.xxhash64(x)))
+        .withColumn("__r", F.expr(f"transform(sequence(1, size(__lines)), i -> (element_at(__h, i) + case when i > 1 then {FACTOR} * element_at(__h, i - 1) else 0 end) % {MODULUS})"))
+        .withColumn("__ends", F.expr("""filter(sequence(1, size(__lines)), i -> i = size(__lines)
+            or (i > 1 and i < size(__lines) - 1 and element_at(__r, i) < element_at(__r, i - 1) and element_at(__r, i) <= element_at(__r, i + 1)))"""))
+        .withColumn("__chunks", F.expr(f"""filter(transform(__ends, (e, j) -> named_struct('k', 2 * {before} + 3, 'body', array_join(slice(__lines, {before} + 1, e - {before}), '\n'), 'from', {before} + 1, 'n', e - {before},
+            'left', slice(__x, {earlier} + 1, {before} - {earlier}), 'right', slice(__x, e + 1, element_at(__ends, least(j + 3, size(__ends))) - e))), u -> u.n > 1)"""))
+        .select("doc_id", "__key", F.concat(F.col("__chunks"), longs).alias("__units"))
     )
 
 
-def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, __key and __gone, the positions of the chunks to remove, for documents that lose any."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__key")).filter(F.instr("text", "\n") > 0)
-    # outer, as an inner explode makes Spark push a copy of all these nested expressions down as a filter
-    chunks = with_chunks(keyed).select("doc_id", "__key", F.posexplode_outer("__chunks").alias("__k", "__c"))
-    chunks = chunks.filter(f"__c.n >= {MIN_LINES}").select("doc_id", "__key", "__k", F.col("__c.body").alias("__body")).filter(F.col("__body").rlike(r"[^\x20\x09-\x0D]"))
-    return later_places(chunks, scratch)
+def shared_lines(a: str, b: str) -> str:
+    """SQL: at how many places from the first on two arrays agree."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> coalesce(x = y, false)), named_struct('n', 0, 'on', true), (s, e) -> named_struct('n', s.n + if(s.on and e, 1, 0), 'on', s.on and e), s -> s.n)"
 
 
-def later_places(units: DataFrame, scratch: Scratch) -> DataFrame:
-    """__id, __key and __gone, the places __k of units whose __body stands at an earlier place too."""
+def repeated_lines(docs: DataFrame, scratch: Scratch, every: bool) -> DataFrame:
+    """__id, __key and __gone, the ranges of lines (from, to) to remove, for documents that lose any."""
+    # outer, as an inner explode makes Spark push a copy of all these nested expressions down as a filter
+    units = with_units(docs.filter(F.col("text").isNotNull()), every).select("doc_id", "__key", F.explode_outer("__units").alias("u"))
+    units = units.select("doc_id", "__key", *(F.col("u")[c].alias(f"__{c}") for c in ("k", "body", "from", "n", "left", "right"))).filter(F.col("__body").rlike(r"[^\x20\x09-\x0D]"))
     units = units.withColumn("__hash", F.xxhash64("__body"))
     often = scratch.put(units.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash", F.ceil(F.col("n") / PART).alias("__parts")))
     again = scratch.put(join_sized(units, often, "__hash", "inner").withColumn("__part", F.pmod(F.xxhash64("doc_id", "__key", "__k"), "__parts")))
-    place = F.struct("doc_id", "__key", "__k")
-    first = again.groupBy("__hash", "__body").agg(F.min(place).alias("__first"), F.max("__parts").alias("__parts"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = first.select("__hash", "__body", "__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("__part"))
+    place = F.struct("doc_id", "__key", "__k", "__left", "__right")
+    first = again.groupBy("__hash", "__body").agg(F.min(place).alias("f"), F.max("__parts").alias("__parts"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = first.select("__hash", "__body", "f", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("__part"))
     same = again.join(first, ["__hash", "__body", "__part"])
-    gone = same.filter(~(F.col("doc_id").eqNullSafe(F.col("__first.doc_id")) & (F.col("__key") == F.col("__first.__key")) & (F.col("__k") == F.col("__first.__k"))))
-    out = scratch.put(gone.groupBy("doc_id", "__key").agg(F.collect_set("__k").alias("__gone")).withColumnRenamed("doc_id", "__id"))
+    later = same.filter(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("__key") == F.col("f.__key")) & (F.col("__k") == F.col("f.__k"))))
+    low = F.col("__from") - F.expr(shared_lines("reverse(__left)", "reverse(f.__left)"))
+    high = F.col("__from") + F.col("__n") - 1 + F.expr(shared_lines("__right", "f.__right"))
+    out = later.groupBy("doc_id", "__key").agg(F.collect_set(F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))).alias("__gone"))
+    out = scratch.put(out.withColumnRenamed("doc_id", "__id"))
     scratch.drop(often, again)
     return out
 
@@ -83,42 +98,22 @@ def columns_with(docs: DataFrame, text: Column, *more: str) -> list[Column]:
     return [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in more]
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks taken out of text, plus n_lines and n_removed, which replace columns of those names."""
+def dedup_lines(docs: DataFrame, counts: bool = True, every: bool = False) -> DataFrame:
+    """docs with repeated lines taken out of text; counts adds n_lines and n_removed, which replace columns of those names.
+
+    every: chunks of every two neighbouring lines.
+    """
     scratch = Scratch(docs.sparkSession, "lines")
-    joined = with_places(docs, repeated_chunks(docs.select("doc_id", "text"), scratch))
-    joined = joined.withColumn("lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"))
-    hit = with_chunks(joined.withColumnRenamed("text", "whole").withColumn("text", F.when(F.col("__gone").isNotNull(), F.col("whole"))))
-    hit = hit.withColumn("__kept", F.expr("transform(array_except(sequence(0, size(__chunks) - 1), __gone), k -> get(__chunks, k))"))
-    text = F.when(F.col("__gone").isNull(), F.col("whole")).otherwise(F.array_join(F.col("__kept.body"), "\n"))
-    left = F.expr("aggregate(__kept, 0L, (a, c) -> a + c.n)")
-    removed = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("lines") - left)
-    return hit.select(*columns_with(docs, text, "n_lines", "n_removed"), F.col("lines").alias("n_lines"), removed.alias("n_removed"))
-
-
-def repeated_units(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """As repeated_chunks, for pairs of neighbouring lines (place 2 i + 1) and long lines (place 2 i), i from 0."""
-    # possessive and anchored, so that matching takes linear time
-    long = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{LONG_WORDS - 1}}}[^\x20\x09-\x0D]"
-    lines = docs.select("doc_id", F.xxhash64("text").alias("__key"), F.split("text", "\n", -1).alias("__lines"))
-    at = lambda i: F.element_at("__lines", i.cast("int"))
-    numbers = F.sequence(F.lit(1), F.size("__lines"))
-    pairs = F.transform(F.filter(numbers, lambda i: i < F.size("__lines")), lambda i: F.struct((2 * i - 1).alias("k"), F.concat(at(i), F.lit("\n"), at(i + 1)).alias("body")))
-    longs = F.transform(F.filter(numbers, lambda i: at(i).rlike(long)), lambda i: F.struct((2 * i - 2).alias("k"), at(i).alias("body")))
-    units = lines.filter("__lines is not null").select("doc_id", "__key", F.explode_outer(F.concat(pairs, longs)).alias("__u"))
-    units = units.select("doc_id", "__key", F.col("__u.k").alias("__k"), F.col("__u.body").alias("__body")).filter(F.col("__body").rlike(r"[^\x20\x09-\x0D]"))
-    return later_places(units, scratch)
-
-
-def dedup_runs(docs: DataFrame) -> DataFrame:
-    """docs with every line taken out of text that a unit repeated from an earlier place holds."""
-    scratch = Scratch(docs.sparkSession, "runs")
-    joined = with_places(docs, repeated_units(docs.select("doc_id", "text"), scratch))
-    joined = joined.withColumn("__lines", F.split(F.when(F.col("__gone").isNotNull(), F.col("text")), "\n", -1))
-    places = F.flatten(F.transform("__gone", lambda k: F.when(k % 2 == 1, F.array((k + 1) / 2, (k + 3) / 2)).otherwise(F.array(k / 2 + 1)).cast("array<int>")))
-    kept = F.array_except(F.sequence(F.lit(1), F.size("__lines")), places)
-    left = F.array_join(F.transform(kept, lambda i: F.element_at("__lines", i)), "\n")
-    return joined.select(*columns_with(docs, F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)))
+    joined = with_places(docs, repeated_lines(docs.select("doc_id", "text"), scratch, every))
+    lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
+    joined = joined.withColumn("lines", F.split(F.when(F.col("__gone").isNotNull(), F.col("text")), "\n", -1))
+    gone = F.flatten(F.transform("__gone", lambda r: F.sequence(r["low"], r["high"])))
+    joined = joined.withColumn("kept", F.array_except(F.sequence(F.lit(1), F.size("lines")), gone))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.element_at("lines", i)), "\n"))
+    removed = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(lines - F.size("kept"))
+    if not counts:
+        return joined.select(*columns_with(docs, text))
+    return joined.select(*columns_with(docs, text, "n_lines", "n_removed"), lines.alias("n_lines"), removed.alias("n_removed"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -131,13 +126,21 @@ ORACLE = rf"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM documents),
 x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM l WHERE text IS NOT NULL),
 h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM x),
-r AS (SELECT *, (i = n OR (h + {FACTOR} * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % {MODULUS} % {DIVISOR} = 0) AS last FROM h),
+b AS (SELECT *, (h + {FACTOR} * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % {MODULUS} AS r FROM h),
+r AS (SELECT *, (i = n OR (i > 1 AND i < n - 1 AND r < lag(r) OVER (PARTITION BY doc_id ORDER BY i) AND r <= lead(r) OVER (PARTITION BY doc_id ORDER BY i))) AS last FROM b),
 k AS (SELECT *, coalesce(sum(CASE WHEN last THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM r),
-c AS (SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM k GROUP BY doc_id, k),
-g AS (SELECT *, count(*) OVER (PARTITION BY body) AS often, row_number() OVER (PARTITION BY body ORDER BY doc_id, k) AS place FROM c),
-v AS (SELECT *, NOT (n >= {MIN_LINES} AND regexp_matches(body, '[^\x20\x09-\x0D]') AND often > 1 AND place > 1) AS keep FROM g),
-o AS (SELECT doc_id, sum(n) AS n_lines, sum(CASE WHEN keep THEN 0 ELSE n END) AS n_removed,
-    coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (WHERE keep), '') AS kept FROM v GROUP BY doc_id)
+c0 AS (SELECT doc_id, k, min(i) AS a, max(i) AS z, string_agg(line, chr(10) ORDER BY i) AS body, list(line ORDER BY i) AS ls FROM k GROUP BY doc_id, k),
+c AS (SELECT *, list_concat(coalesce(lag(ls, 2) OVER w, []), coalesce(lag(ls) OVER w, [])) AS pre, list_concat(coalesce(lead(ls) OVER w, []), coalesce(lead(ls, 2) OVER w, [])) AS post FROM c0 WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+u AS (SELECT doc_id, a, z, body, pre, post, 1 AS kind FROM c WHERE z > a
+    UNION ALL SELECT doc_id, i, i, line, [], [], 0 FROM x WHERE len(regexp_extract_all(line, '[^ 	-
+]+')) >= {LONG_WORDS}),
+g AS (SELECT *, row_number() OVER w AS place, first_value(pre) OVER w AS pre0, first_value(post) OVER w AS post0 FROM u WHERE regexp_matches(body, '[^ 	-
+]') WINDOW w AS (PARTITION BY body ORDER BY doc_id, 2 * a + kind)),
+s AS (SELECT *, least(len(pre), len(pre0)) AS np, least(len(post), len(post0)) AS nq FROM g WHERE place > 1),
+t AS (SELECT doc_id, a - coalesce(nullif(list_position(list_transform(range(1, np + 1), lambda j: pre[len(pre) + 1 - j] = pre0[len(pre0) + 1 - j]), false), 0) - 1, np) AS low,
+    z + coalesce(nullif(list_position(list_transform(range(1, nq + 1), lambda j: post[j] = post0[j]), false), 0) - 1, nq) AS high FROM s),
+v AS (SELECT DISTINCT doc_id, unnest(range(low, high + 1)) AS i FROM t),
+o AS (SELECT x.doc_id, count(*) AS n_lines, count(v.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY x.i) FILTER (WHERE v.i IS NULL), '') AS kept FROM x LEFT JOIN v ON v.doc_id = x.doc_id AND v.i = x.i GROUP BY x.doc_id)
 SELECT d.doc_id, CAST(coalesce(o.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(o.n_removed, 0) AS BIGINT) AS n_removed,
     CASE WHEN d.text IS NULL THEN NULL ELSE md5(o.kept) END AS kept_md5 FROM documents d LEFT JOIN o USING (doc_id)
 """

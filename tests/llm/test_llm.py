@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tesserae.llm import common, linechunks, mixing, qda, repeats, simhash, tiling, toxicity, urlfilter, warc
+from tesserae.llm import common, qda, simhash, tiling, urlfilter, warc
 from tesserae.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -306,66 +306,5 @@ def test_mix_comes_near_targets(spark):
     assert r.filter("taken > 2 * size").count() == 0
 
 
-def test_pipeline(spark, odd):
-    """Stage by stage on odd rows against plain versions of what each stage promises."""
-    import corpus_pipeline
-
-    for where in ("hard", "empty"):
-        docs = spark.read.parquet(f"{odd[where]}/documents.parquet")
-        columns = docs.columns
-        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            out = common.Scratch(spark, "t").put(stage(spark, docs, odd[where]))
-            assert k == 4 or out.columns == columns
-            before, after = texts_of(docs), texts_of(out)
-            if k in (0, 3):
-                assert not after - before
-            if k == 1:
-                assert sorted(map(str, (r[0] for r in before.elements()))) == sorted(map(str, (r[0] for r in after.elements())))
-            if k == 2:
-                assert not after - before
-                fps = [simhash.fingerprint(t) & (2**64 - 1) for _, t in after.elements()]
-                assert all((a ^ b).bit_count() > 4 for i, a in enumerate(fps) for b in fps[:i])
-            docs = out
-    assert mixing.HASH_BITS % mixing.STEP_BITS == 0 and linechunks.WINDOW == 2 and toxicity.DECIDE == 0.3 and repeats.LENGTH == 200
-
-
-def brute_runs(docs):
-    """Pairs of neighbouring lines and lines of 50 words that occur at an earlier place go."""
-    seen, out = set(), []
-    for i, text in sorted(docs, key=lambda d: d[0]):
-        lines = text.split("\n")
-        gone = set()
-        for k in range(len(lines)):
-            for unit in ([tuple(lines[k : k + 1])] if len(lines[k].split()) >= 50 else []) + ([tuple(lines[k : k + 2])] if k + 1 < len(lines) else []):
-                if any(map(str.strip, unit)):
-                    if unit in seen:
-                        gone.update(range(k, k + len(unit)))
-                    seen.add(unit)
-        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
-    return out
-
-
-def test_runs_lose_no_edge(spark):
-    """A passage goes whole from wherever else it stands, as do lines of 50 words with other neighbours."""
-    passages = ["\n".join(unique(f"p{p}-{i}", 8) for i in range(6)) for p in range(20)]
-    docs = [(10 * p + c, f"{unique(f'a{p}-{c}', 9)}\n{x}\n{unique(f'b{p}-{c}', 9)}") for p, x in enumerate(passages) for c in range(3)]
-    long, short = unique("long", 50), unique("short", 49)
-    docs += [(1000 + i, f"{unique(f'c{i}', 5)}\n{long}\n{unique(f'd{i}', 5)}\n{short}\n{unique(f'e{i}', 5)}") for i in range(3)] + [(1010, long), (1011, "x\nx\nx"), (1012, "y\n\nz"), (1013, "y\n\nz\n")]
-    got = sorted(map(tuple, linechunks.dedup_runs(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
-    assert got == brute_runs(docs)
-    left = dict(got)
-    assert all(left[10 * p + c] == f"{unique(f'a{p}-{c}', 9)}\n{unique(f'b{p}-{c}', 9)}" for p in range(20) for c in (1, 2))
-    assert left[1010] == "" and [i for i, t in got if long in t] == [1000] and sum(short in t for t in left.values()) == 3
-
-
-def test_pipeline_lines_against_brute_force(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = corpus_pipeline.lines(spark, docs, SF).select("doc_id", "text", "n_chars").collect()
-    assert sorted((r["doc_id"], r["text"]) for r in got) == brute_runs(texts(spark, SF))
-    assert all(r["n_chars"] == len(r["text"]) for r in got)
-
-
 def texts_of(df):
     return collections.Counter((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())

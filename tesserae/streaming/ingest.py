@@ -32,13 +32,14 @@ def whole(chunks: dict[int, bytes]) -> bytes | None:
     return data[:end]
 
 
-def assemble(chunks: DataFrame, patience_ms: int = 3_600_000) -> DataFrame:
+def assemble(chunks: DataFrame, patience_ms: int | None = None) -> DataFrame:
     """image_id, content: one row per upload of chunks (image_id, chunk_seq from 0, bytes), made when its end marker is there.
 
     The state is an image's own chunks, in any order; a repeated chunk_seq counts once. It is dropped once the image
-    is made, so a chunk that comes again after that starts a new upload, and when an upload gets no chunk for
-    patience_ms of processing time. Chunks are joined only once an end marker may be among them. Null bytes count as
-    empty.
+    is made, so a chunk that comes again after that starts a new upload. With patience_ms it is also dropped when an
+    upload gets no chunk for so long a processing time: a service should set it, else uploads that never end are kept;
+    a query that ends by itself (availableNow) waits for it. Chunks are joined only once an end marker may be among
+    them. Null bytes count as empty.
     """
 
     def step(key, frames, state):
@@ -57,6 +58,7 @@ def assemble(chunks: DataFrame, patience_ms: int = 3_600_000) -> DataFrame:
             yield pd.DataFrame({"image_id": [key[0]], "content": [data]})
         else:
             state.update((list(held), list(held.values()), ended))
-            state.setTimeoutDuration(patience_ms)
+            if patience_ms:
+                state.setTimeoutDuration(patience_ms)
 
-    return chunks.groupBy("image_id").applyInPandasWithState(step, "image_id long, content binary", "places array<int>, parts array<binary>, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("image_id").applyInPandasWithState(step, "image_id long, content binary", "places array<int>, parts array<binary>, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if patience_ms else GroupStateTimeout.NoTimeout)

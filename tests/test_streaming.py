@@ -1,5 +1,7 @@
 """Folders and chunked uploads as streams."""
 
+import time
+
 import numpy as np
 
 from tesserae.operators import codec
@@ -37,6 +39,28 @@ def test_chunks_in_any_order(spark, tmp_path):
     assert {r.image_id: bytes(r.content) for r in rows} == streams() and len(rows) == 3
 
 
+def test_uploads_that_never_end_are_dropped(spark, tmp_path):
+    """State is gone once an upload has had no chunk for longer than the patience; a late end makes no image."""
+    data = streams()[0]
+    spark.createDataFrame([(1, 0, data[:50]), (2, 0, data)], "image_id long, chunk_seq int, bytes binary").coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    source = spark.readStream.schema("image_id long, chunk_seq int, bytes binary").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = ingest.assemble(source, 2000).writeStream.format("memory").queryName("patient").outputMode("append").start()
+
+    def images(wanted):
+        deadline = time.time() + 40
+        while time.time() < deadline and wanted not in (found := [r["image_id"] for r in spark.table("patient").collect()]):
+            time.sleep(0.5)
+        return sorted(found)
+
+    try:
+        assert images(2) == [2]
+        time.sleep(6)
+        spark.createDataFrame([(1, 1, data[50:]), (3, 0, data)], "image_id long, chunk_seq int, bytes binary").coalesce(1).write.parquet(str(tmp_path / "in/1"))
+        assert images(3) == [2, 3]
+    finally:
+        query.stop()
+
+
 def test_whole():
     data = streams()[0]
     assert ingest.whole({0: data[:30], 1: data[30:] + b"rest"}) == data

@@ -125,12 +125,16 @@ def gathered(planes: list[np.ndarray], places: np.ndarray) -> np.ndarray:
     return out
 
 
-def jfif_segment(density: tuple[int, int, int] = (0, 1, 1)) -> bytes:
-    """density: unit (0: none, 1: inch, 2: centimeter), x and y."""
+def jfif_segment(density: tuple[int, int, int] = (0, 1, 1), thumbnail: np.ndarray | None = None) -> bytes:
+    """density: unit (0: none, 1: inch, 2: centimeter), x and y; thumbnail: (h, w, 3) samples, at most 255 a side."""
     unit, x, y = density
     if unit not in (0, 1, 2) or not (1 <= x <= 65535 and 1 <= y <= 65535):
         raise ValueError("encoding: invalidDensity")
-    return segment(0xE0, b"JFIF\0\x01\x02" + struct.pack(">BHHBB", unit, x, y, 0, 0))
+    h, w = thumbnail.shape[:2] if thumbnail is not None else (0, 0)
+    if max(h, w) > 255:
+        raise ValueError("encoding: invalidThumbnail")
+    pixels = thumbnail.astype(np.uint8).tobytes() if thumbnail is not None else b""
+    return segment(0xE0, b"JFIF\0\x01\x02" + struct.pack(">BHHBB", unit, x, y, w, h) + pixels)
 
 
 def quantization_segment(slot: int, table: list[int], precision: int = 8) -> bytes:

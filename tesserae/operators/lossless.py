@@ -8,7 +8,7 @@ import struct
 
 import numpy as np
 
-from tesserae.operators import progressive
+from tesserae.operators import entropy, progressive
 from tesserae.operators.entropy import Reader, extend, intervals, lookup, symbol
 from tesserae.sources import segments as seg
 
@@ -28,13 +28,12 @@ def differences(samples: np.ndarray, predictor: int, middle: int) -> np.ndarray:
     return 32768 - ((32768 - (x - guess)) & 65535)
 
 
-def _tokens(gaps: np.ndarray) -> list[tuple]:
-    found = []
-    for k, d in zip(np.tile(np.arange(gaps.shape[2]), gaps.shape[0] * gaps.shape[1]).tolist(), gaps.ravel().tolist(), strict=True):
-        size = abs(d).bit_length()
-        length = 0 if size == 16 else size  # the one difference of class 16 has no further bits
-        found.append(((0, min(k, 1)), size, d if d >= 0 else d + (1 << size) - 1, length))
-    return found
+def _classes(gaps: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Component, class, further bits and their number of every difference, in coding order."""
+    d = gaps.ravel()
+    size = entropy.bit_length(np.abs(d))
+    extra = np.where(size == 16, 0, size)  # the one difference of class 16 has no further bits
+    return np.tile(np.arange(gaps.shape[2]), gaps.shape[0] * gaps.shape[1]), size, np.where(size == 16, 0, np.where(d >= 0, d, d + (1 << size) - 1)), extra
 
 
 def encode(raster: np.ndarray, precision: int = 8, predictor: int = 1, shift: int = 0, restart_rows: int = 0) -> bytes:
@@ -51,8 +50,10 @@ def encode(raster: np.ndarray, precision: int = 8, predictor: int = 1, shift: in
     if restart_rows * w > 65535:
         raise ValueError("encoding: invalidRestartInterval")
     step = restart_rows or h
-    found = [_tokens(differences(raster[y : y + step].astype(np.int64) >> shift, predictor, 1 << (precision - shift - 1))) for y in range(0, h, step)]
-    books = progressive.optimal_tables([t for part in found for t in part])
+    found = [_classes(differences(raster[y : y + step].astype(np.int64) >> shift, predictor, 1 << (precision - shift - 1))) for y in range(0, h, step)]
+    slots = [min(k, 1) for k in range(n)]
+    uses = {slot: sum(np.bincount(size[np.isin(k, [c for c in range(n) if slots[c] == slot])], minlength=17) for k, size, _, _ in found) for slot in sorted(set(slots))}
+    books = {(0, slot): progressive.optimal({s: int(c) for s, c in enumerate(counts) if c}) for slot, counts in uses.items()}
     part = lambda code, body: struct.pack(">BBH", 255, code, len(body) + 2) + body
     out = b"\xff\xd8" + part(0xC3, struct.pack(">BHHB", precision, h, w, n) + b"".join(bytes([i, 17, 0]) for i in ids))
     for (kind, slot), book in books.items():
@@ -60,7 +61,9 @@ def encode(raster: np.ndarray, precision: int = 8, predictor: int = 1, shift: in
     if restart_rows:
         out += part(0xDD, struct.pack(">H", restart_rows * w))
     out += part(0xDA, bytes([n]) + b"".join(bytes([i, min(k, 1) << 4]) for k, i in enumerate(ids)) + bytes([predictor, 0, shift]))
-    coded = [progressive.write(some, books) for some in found]
+    codes = [entropy.book(books[0, slot]) for slot in slots]
+    code, length = (np.stack([c[i] for c in codes]) for i in (0, 1))
+    coded = [entropy.packed(code[k, size] << extra | bits, length[k, size] + extra) for k, size, bits, extra in found]
     return out + b"".join(c + bytes([255, 0xD0 + i % 8]) for i, c in enumerate(coded[:-1])) + coded[-1] + b"\xff\xd9"
 
 
@@ -92,7 +95,7 @@ def read(data: bytes) -> tuple[np.ndarray, dict]:
         if code == 0xC3:
             head = seg.frame(code, body)
         elif code == 0xC4:
-            books |= {key: lookup(t) for key, t in seg.huffman(body).items()}
+            books |= seg.huffman(body)
         elif code == 0xDD:
             restart = seg.restart_interval(body)
         elif code == 0xDA:
@@ -117,20 +120,70 @@ def read(data: bytes) -> tuple[np.ndarray, dict]:
 
 
 def _scan(data: bytes, head: dict, books: list, predictor: int, shift: int) -> np.ndarray:
-    h, w, bits, rule = head["height"], head["width"], Reader(data), PREDICTORS[predictor]
-    above = [[0] * w for _ in books]
-    rows = []
-    for y in range(h):
-        row = [[] for _ in books]
-        for x in range(w):
-            for k, book in enumerate(books):
-                size = symbol(bits, book)
-                d = 32768 if size == 16 else extend(bits.take(size), size)
-                if x and y:
-                    guess = rule(row[k][-1], above[k][x], above[k][x - 1])
-                else:
-                    guess = row[k][-1] if x else above[k][0] if y else 1 << (head["precision"] - shift - 1)
-                row[k].append((guess + d) & 65535)
-        rows.append(row)
-        above = row
-    return np.array(rows, np.int64).reshape(h, len(books), w).transpose(0, 2, 1) << shift
+    gaps = _differences(data, head["height"] * head["width"], [entropy.steps(t) for t in books])
+    if gaps is None:
+        return _scan_padded(data, head, [lookup(t) for t in books], predictor, shift)
+    return rebuilt(gaps.reshape(head["height"], head["width"], len(books)), predictor, 1 << (head["precision"] - shift - 1)) << shift
+
+
+def _differences(data: bytes, pixels: int, books: list) -> np.ndarray | None:
+    """The differences of an interval, (pixels, components): one walk finds where they begin. None where its bits end early."""
+    at = entropy.windows(data)
+    bits, end, places, p = memoryview(at), len(at) - 2384, [], 0
+    takes = [np.where(t.symbols == 16, t.lengths, t.lengths + t.symbols).tolist() for t in books]
+    note = places.append
+    for _ in range(pixels):
+        for take in takes:
+            note(p)
+            p += take[bits[p]]
+        if p > end:
+            return None
+    places = np.array(places, np.int64).reshape(pixels, len(books))
+    out = np.zeros(places.shape, np.int64)
+    for k, t in enumerate(books):
+        w = at[places[:, k]]
+        size, length = t.symbols[w], t.lengths[w]
+        if not length.all() or (size > 16).any():
+            raise ValueError("decoding: undefinedCode")
+        small = np.minimum(size, 15)
+        out[:, k] = np.where(size == 16, 32768, entropy.extended(at[places[:, k] + length], small))
+    return out
+
+
+def rebuilt(gaps: np.ndarray, predictor: int, middle: int) -> np.ndarray:
+    """Samples (h, w, n) of differences, modulo 2^16.
+
+    What is predicted from the left by a sum is a running sum along the row; only the predictors that
+    halve a sum with the left neighbour go sample by sample.
+    """
+    out = gaps.astype(np.int64)
+    out[0, 0] += middle
+    out[0] = np.cumsum(out[0], axis=0) & 65535
+    out[:, 0] = np.cumsum(out[:, 0], axis=0) & 65535
+    rule = PREDICTORS[predictor]
+    for y in range(1, len(out)):
+        row, above = out[y], out[y - 1]
+        if predictor in (2, 3):
+            row[1:] = (row[1:] + (above[1:] if predictor == 2 else above[:-1])) & 65535
+        elif predictor in (1, 4, 5):
+            climb = {1: 0, 4: above[1:] - above[:-1], 5: (above[1:] - above[:-1]) >> 1}[predictor]
+            row[1:] = (row[0] + np.cumsum(row[1:] + climb, axis=0)) & 65535
+        else:
+            for k in range(row.shape[1]):
+                left, up, made = int(row[0, k]), above[:, k].tolist(), []
+                for x, d in enumerate(row[1:, k].tolist(), 1):
+                    left = rule(left, up[x], up[x - 1]) + d & 65535
+                    made.append(left)
+                row[1:, k] = made
+    return out
+
+
+def _scan_padded(data: bytes, head: dict, books: list, predictor: int, shift: int) -> np.ndarray:
+    """As _scan, bit by bit, with zeros behind the data without end."""
+    h, w, bits = head["height"], head["width"], Reader(data)
+    gaps = np.zeros((h, w, len(books)), np.int64)
+    for y, x in np.ndindex(h, w):
+        for k, book in enumerate(books):
+            size = symbol(bits, book)
+            gaps[y, x, k] = 32768 if size == 16 else extend(bits.take(size), size)
+    return rebuilt(gaps, predictor, 1 << (head["precision"] - shift - 1)) << shift

@@ -96,6 +96,16 @@ def recoded(s: dict, process: str = "optimal", kept: bytes = b"", restart: int =
     return codec.with_ids(out, [c[0] for c in head["components"]])
 
 
+def size_after(op: str, width: int, height: int, factors: tuple[int, int], crop: tuple[int, int, int, int] | None = None) -> tuple[int, int, tuple[int, int]]:
+    """Width, height and luma sampling factors of what a transform and a crop make."""
+    w, h = trimmed(op, width, height, (8 * factors[0], 8 * factors[1]))
+    if op in SWAPS:
+        w, h, factors = h, w, factors[::-1]
+    if crop is not None:
+        w, h = crop[2] or w - crop[0], crop[3] or h - crop[1]
+    return w, h, factors
+
+
 def transformed(data: bytes, op: str = "none", crop: tuple[int, int, int, int] | None = None, process: str = "optimal", strict: bool = False, keep: bool = True, gray: bool = False, coefficients=None) -> bytes:
     """strict refuses to drop partial MCUs; keep carries metadata segments over; gray drops all but the first component.
 

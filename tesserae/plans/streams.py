@@ -422,6 +422,79 @@ def progressive_previews(spark, sf):
     return out
 
 
+def decode_every_scale(spark, sf):
+    images, out = streams(spark, sf), None
+    for n in range(1, 8):
+        part = codec.unpack(codec.decode(images, n)).select("image_id", F.lit(n).alias("n"), "y", "x", F.col("c0").alias("s"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _lowest(n: int) -> str:
+    return f"(SELECT image_id, brow, bcol, l.v, l.u, level * q AS d FROM levels l JOIN {LUMA_Q} q ON l.v = q.v AND l.u = q.u WHERE l.v < {n} AND l.u < {n})"
+
+
+def jfif_thumbnail(spark, sf):
+    """Thumbnails of two rows, of which images of odd number have lost the last."""
+
+    def batches(it):
+        for batch in it:
+            out = []
+            for i, c in zip(batch.column("image_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                a, b = _segment(c, 0xE0)
+                new = codec.jfif_segment((0, 1, 1), np.full((2, 3, 3), i % 256))
+                new = new[:2] + struct.pack(">H", len(new) - 2 - 5) + new[4:-5] if i % 2 else new
+                out.append(c[:a] + new + c[b:])
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array(out, pa.binary())], names=["image_id", "content"])
+
+    found = headers.relation(streams(spark, sf).mapInArrow(batches, "image_id long, content binary"), "thumbnails")
+    return found.select("image_id", "width", "height", F.hex("rgb").alias("rgb"))
+
+
+def dc_diff_restarts(spark, sf):
+    """DC differences as streams with an interval of five blocks code them: what tokens of each interval add up to."""
+
+    def make(content):
+        blocks = codec.spectral(content)["planes"][0].reshape(-1, 64)[:, codec.ZIGZAG]
+        out = []
+        for at in range(0, len(blocks), 5):
+            _, kind, symbols, bits, sizes = entropy.tokens(blocks[at : at + 5], np.zeros(len(blocks[at : at + 5]), np.int64))
+            window = (bits << (16 - sizes)).astype(np.uint16)[kind == 0]
+            out += [(at + k, int(d)) for k, d in enumerate(entropy.extended(window, sizes[kind == 0]))]
+        return out
+
+    return faults.per_row(streams(spark, sf, restart=5), ["content"], "k long, diff long", make)
+
+
+CROPS = (None, (0, 0, 0, 0), (16, 32, 0, 0), (0, 16, 40, 30))
+
+
+def transform_bufsize(spark, sf):
+    """Bounds of what transforms and crops of every subsampling make of images of several sizes."""
+    from tesserae.plans.roads import buffer_bound
+
+    rows = []
+    for name, fx, fy in tables.SUBSAMPLINGS:
+        for op in tables.TRANSFORMS:
+            for w, h in ((133, 101), (128, 96), (65, 130)):
+                for c, crop in enumerate(CROPS):
+                    across, down, (x, y) = transforms.size_after(op, w, h, (fx, fy), crop)
+                    new = next(n for n, a, b in tables.SUBSAMPLINGS if (a, b) == (x, y) and (n == "gray") == (name == "gray"))
+                    rows.append((name, op, w, h, c, buffer_bound(across, down, new)))
+    return spark.createDataFrame(rows, "name string, op string, width int, height int, crop int, bytes long")
+
+
+def _bounds() -> str:
+    subs, ops = values(tables.SUBSAMPLINGS, "name, fx, fy"), values([(op, int(op in transforms.SWAPS)) for op in tables.TRANSFORMS], "op, swaps")
+    crops = values([(k, *(c or (0, 0, 0, 0))) for k, c in enumerate(CROPS)], "crop, cx, cy, cw, ch")
+    trimmed = "SELECT *, CASE WHEN op IN ('none', 'vflip') THEN width ELSE width // (8 * fx) * 8 * fx END AS tw, CASE WHEN op IN ('none', 'hflip') THEN height ELSE height // (8 * fy) * 8 * fy END AS th"
+    sized = f"{trimmed} FROM {subs} s CROSS JOIN {ops} o CROSS JOIN {values([(133, 101), (128, 96), (65, 130)], 'width, height')} d CROSS JOIN {crops} c"
+    turned = f"SELECT *, CASE WHEN swaps = 1 THEN th ELSE tw END AS w, CASE WHEN swaps = 1 THEN tw ELSE th END AS h, CASE WHEN swaps = 1 THEN fy ELSE fx END AS x, CASE WHEN swaps = 1 THEN fx ELSE fy END AS y FROM ({sized}) t"
+    cut = f"SELECT *, CASE WHEN cw > 0 THEN cw ELSE w - cx END AS ow, CASE WHEN ch > 0 THEN ch ELSE h - cy END AS oh FROM ({turned}) u"
+    pad = lambda v, n: f"(({v} + 8 * {n} - 1) // (8 * {n}) * 8 * {n})"
+    return f"SELECT name, op, width, height, crop, {pad('ow', 'x')} * {pad('oh', 'y')} * (2 + CASE WHEN name = 'gray' THEN 0 ELSE 256 // (64 * x * y) END) + 2048 AS bytes FROM ({cut}) k"
+
+
 LATE_SQL = "SELECT image_id, CASE WHEN image_id % 3 > 0 THEN {w} END AS width, CASE WHEN image_id % 3 > 0 THEN {h} END AS height, CASE WHEN image_id % 3 = 0 THEN 'missingFrame' END AS error FROM " + IMAGES + " e"
 LEVELS = "SELECT image_id, brow, bcol, v, u, level FROM levels"
 GRAY_DECODED = f"SELECT image_id, brow * 8 + y AS y, bcol * 8 + x AS x, s FROM ({inverse_sql(LLM, 11, 18, f'(SELECT image_id, brow, bcol, l.v, l.u, level * q AS d FROM levels l JOIN {LUMA_Q} q ON l.v = q.v AND l.u = q.u)', True)}) i"
@@ -450,6 +523,11 @@ STREAMS = {
     "lossless_rgb": (lambda spark, sf: headers.relation(codec.encode(color(spark, sf), process="lossless"), "layout").select("image_id", "id", "format", "plane", "width", "height"), f"SELECT image_id, l.*, {W} AS width, {H} AS height FROM {IMAGES} e CROSS JOIN {values([(82, 'rgb', 0), (71, 'rgb', 1), (66, 'rgb', 2)], 'id, format, plane')} l", ("r_events",)),
     "metadata_roundtrip": (metadata_roundtrip, f"SELECT image_id, true AS keep, 'jfif' AS kind, 14 AS size, '4a46494600010200000100010000' AS hex FROM {IMAGES} e UNION ALL SELECT image_id, false, 'jfif', 14, '4a46494600010200000100010000' FROM {IMAGES} e UNION ALL SELECT image_id, true, 'comment', length('image ' || image_id), lower(hex('image ' || image_id)) FROM {IMAGES} e UNION ALL SELECT image_id, true, 'application', image_id % 50, coalesce((SELECT string_agg(lpad(lower(to_hex(i)), 2, '0'), '' ORDER BY i) FROM {Duck.seq(0, 50)} s WHERE i < image_id % 50), '') FROM {IMAGES} e", ("r_events",)),
     "progressive_previews": (progressive_previews, f"SELECT image_id, 5 AS scan, y, x, s FROM ({GRAY_DECODED}) a UNION ALL SELECT image_id, 0, brow * 8 + y, bcol * 8 + x, s FROM ({inverse_sql(LLM, 11, 18, f'(SELECT image_id, brow, bcol, l.v, l.u, CASE WHEN l.v + l.u = 0 THEN (level >> 1) * 2 * q ELSE 0 END AS d FROM levels l JOIN {LUMA_Q} q ON l.v = q.v AND l.u = q.u)', True)}) i", ("levels",)),
+    "decode_every_scale": (decode_every_scale, " UNION ALL ".join(f"SELECT image_id, {n} AS n, brow * {n} + y AS y, bcol * {n} + x AS x, s FROM ({inverse_sql(tables.basis(n), 8, 20, _lowest(n), False)}) i" for n in range(1, 8)), ("levels",)),
+    "jfif_thumbnail": (jfif_thumbnail, f"SELECT image_id, 3 AS width, CASE WHEN image_id % 2 = 1 THEN 1 ELSE 2 END AS height, repeat(lpad(upper(to_hex(image_id % 256)), 2, '0'), CASE WHEN image_id % 2 = 1 THEN 9 ELSE 18 END) AS rgb FROM {IMAGES} e", ("r_events",)),
+    "dc_diff_restarts": (dc_diff_restarts, "SELECT image_id, k, level - coalesce(lag(level) OVER (PARTITION BY image_id, k // 5 ORDER BY k), 0) AS diff FROM levels WHERE z = 0", ("levels",)),
+    "scan_planes": (lambda spark, sf: headers.relation(codec.encode(color(spark, sf), process="progressive"), "scan_planes"), f"SELECT image_id, s.* FROM {IMAGES} e CROSS JOIN {values([(n, k, c + 1, c) for n, (parts, *_) in enumerate(tables.SCRIPT) for k, c in enumerate(parts)], 'scan, place, id, plane')} s", ("r_events",)),
+    "transform_bufsize": (transform_bufsize, _bounds(), ()),
     "process_of": (process_of, f"SELECT image_id, p.* FROM {IMAGES} e CROSS JOIN {values(PROCESSES, 'asked, process, coding')} p", ("r_events",)),
     "reprocess": (reprocess, "SELECT image_id, brow, bcol, v, u, level, 'progressive' AS process FROM levels", ("levels",)),
     "compress12": (compress12, f"SELECT image_id, brow, bcol, c.v, c.u, CAST(sign(c) * ((abs(c) + q // 2) // q) AS BIGINT) AS level FROM ({forward_sql(LLM, 11, 18, '(SELECT image_id, y, x, c0 * 16 + c1 % 16 - 1920 AS c0 FROM r_events)')}) c JOIN {LUMA_Q} q ON c.v = q.v AND c.u = q.u", ("r_events",)),

@@ -114,6 +114,26 @@ def jfif(found):
             yield body[5], body[6], body[7], int.from_bytes(body[8:10], "big"), int.from_bytes(body[10:12], "big")
 
 
+def thumbnails(found):
+    """Size and RGB bytes of JFIF thumbnails, cut to the whole rows that are there."""
+    for _, code, body, _ in found:
+        if metadata.kind(code, body) == "jfif":
+            w, h = body[12], body[13]
+            rows = min(h, (len(body) - 14) // (3 * w)) if w else 0
+            yield w, rows, body[14 : 14 + 3 * w * rows]
+
+
+def scan_planes(found):
+    """The plane that every component of a scan belongs to; null where the frame has no such component."""
+    ids, n = [], 0
+    for _, code, body, _ in found:
+        if seg.marker_process(code):
+            ids = [c[0] for c in seg.frame(code, body)["components"]]
+        elif code == 0xDA:
+            yield from ((n, k, c[0], ids.index(c[0]) if c[0] in ids else None) for k, c in enumerate(seg.scan(body)["components"]))
+            n += 1
+
+
 def restarts(found):
     """Restart markers inside scans, in order, with their numbers."""
     for n, ecs in enumerate(ecs for _, code, _, ecs in found if code == 0xDA):
@@ -130,6 +150,7 @@ RELATIONS = {
     "restarts": (restarts, "scan int, k int, phase int"), "dnl": (dnl, "height int"), "dac": (dac, "class string, slot int, low int, high int, kx int"),
     "layout": (layout, "format string, place int, id int, plane int, width int, height int, bcols int, brows int"),
     "scan_kinds": (scan_kinds, "scan int, kind string, refining boolean"), "tables_in_force": (tables_in_force, "scan int, class string, slot int, seq int"),
+    "thumbnails": (thumbnails, "width int, height int, rgb binary"), "scan_planes": (scan_planes, "scan int, place int, id int, plane int"),
     "codes": (codes, "class string, slot int, symbol int, code int, length int"),
     "parameters": (parameters, "width int, height int, precision int, colorspace string, subsampling string, unit int, dx int, dy int, progressive boolean, lossless boolean"),
 }

@@ -12,8 +12,9 @@ chunk lies inside: nine in ten passages of eight lines, nearly all of twelve, fe
 each line but the last ends a chunk and is the next one's first line too, so that no repeated run of two
 lines is lost; that reads and moves about three times as much.
 
-Candidates are found by 64-bit hash counts; whether they are really equal is decided on their bytes,
-which are the grouping and join key (lines beside them: by 64-bit hashes). Copies of a frequent chunk are
+Candidates are found by counts of 64-bit hashes of their lines, and only they are made texts; whether
+they are really equal is decided on their bytes, which are the grouping and join key (lines beside them:
+by 64-bit hashes). Copies of a frequent chunk are
 dealt into parts of about PART rows before they meet its first place.
 
 Null texts stay null and have no lines; an empty text is one empty line and is kept; chunks of
@@ -32,31 +33,32 @@ MODULUS, FACTOR, LONG_WORDS, PART = 2147483647, 263, 50, 128
 
 
 def with_units(docs: DataFrame, every: bool) -> DataFrame:
-    """doc_id, __key and __units: the chunks of a text and its long lines, with what stands beside each chunk.
+    """Adds __lines and __units, the chunks of a text and its long lines but those of blanks only, with what stands beside each chunk.
 
-    A unit is k (its place, unique in the text), body, from (its first line, from 1), n (lines), left and
-    right (hashes of the lines of the two chunks on either side).
+    A unit is k (its place, unique in the text), from (its first line, from 1), n (lines), left and right
+    (hashes of the lines of the two chunks on either side).
     """
     # possessive and anchored, so that matching takes linear time
     long = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{LONG_WORDS - 1}}}[^\x20\x09-\x0D]"
     nothing = "cast(array() as array<bigint>)"
-    longs = F.transform(F.filter(F.sequence(F.lit(1), F.size("__lines")), lambda i: F.element_at("__lines", i).rlike(long)), lambda i: F.struct((2 * i).alias("k"), F.element_at("__lines", i).alias("body"), i.alias("from"), F.lit(1).alias("n"), F.expr(nothing).alias("left"), F.expr(nothing).alias("right")))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("__key"), F.split("text", "\n", -1).alias("__lines")).filter("__lines is not null")
+    numbers = F.sequence(F.lit(1), F.size("__lines"))
+    longs = F.transform(F.filter(numbers, lambda i: F.element_at("__lines", i).rlike(long)), lambda i: F.struct((2 * i).alias("k"), i.alias("from"), F.lit(1).alias("n"), F.expr(nothing).alias("left"), F.expr(nothing).alias("right")))
+    lines = docs.withColumn("__lines", F.split("text", "\n", -1)).filter("__lines is not null").withColumn("__full", F.transform("__lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     if every:
-        chunks = f"""transform(filter(sequence(1, size(__lines)), i -> i < size(__lines)), i -> named_struct('k', 2 * i + 1,
-            'body', concat(element_at(__lines, i), '\n', element_at(__lines, i + 1)), 'from', i, 'n', 2, 'left', {nothing}, 'right', {nothing}))"""
-        return lines.select("doc_id", "__key", F.concat(F.expr(chunks), longs).alias("__units"))
-    before, earlier = "(case when j = 0 then 0 else element_at(__ends, j) end)", "(case when j <= 2 then 0 else element_at(__ends, j - 2) end)"
-    return (
-        lines.withColumn("__h", F.transform("__lines", lambda x: hex_number(F.md5(x), 7)))
-        .withColumn("__x", F.transform("__lines", lambda x: F.xxhash64(x)))
-        .withColumn("__r", F.expr(f"transform(sequence(1, size(__lines)), i -> (element_at(__h, i) + case when i > 1 then {FACTOR} * element_at(__h, i - 1) else 0 end) % {MODULUS})"))
-        .withColumn("__ends", F.expr("""filter(sequence(1, size(__lines)), i -> i = size(__lines)
-            or (i > 1 and i < size(__lines) - 1 and element_at(__r, i) < element_at(__r, i - 1) and element_at(__r, i) <= element_at(__r, i + 1)))"""))
-        .withColumn("__chunks", F.expr(f"""filter(transform(__ends, (e, j) -> named_struct('k', 2 * {before} + 3, 'body', array_join(slice(__lines, {before} + 1, e - {before}), '\n'), 'from', {before} + 1, 'n', e - {before},
-            'left', slice(__x, {earlier} + 1, {before} - {earlier}), 'right', slice(__x, e + 1, element_at(__ends, least(j + 3, size(__ends))) - e))), u -> u.n > 1)"""))
-        .select("doc_id", "__key", F.concat(F.col("__chunks"), longs).alias("__units"))
-    )
+        chunks = F.expr(f"transform(filter(sequence(1, size(__lines)), i -> i < size(__lines)), i -> named_struct('k', 2 * i + 1, 'from', i, 'n', 2, 'left', {nothing}, 'right', {nothing}))")
+    else:
+        before, earlier = "(case when j = 0 then 0 else element_at(__ends, j) end)", "(case when j <= 2 then 0 else element_at(__ends, j - 2) end)"
+        lines = (
+            lines.withColumn("__h", F.transform("__lines", lambda x: hex_number(F.md5(x), 7)))
+            .withColumn("__x", F.transform("__lines", lambda x: F.xxhash64(x)))
+            .withColumn("__r", F.expr(f"transform(sequence(1, size(__lines)), i -> (element_at(__h, i) + case when i > 1 then {FACTOR} * element_at(__h, i - 1) else 0 end) % {MODULUS})"))
+            .withColumn("__ends", F.expr("""filter(sequence(1, size(__lines)), i -> i = size(__lines)
+                or (i > 1 and i < size(__lines) - 1 and element_at(__r, i) < element_at(__r, i - 1) and element_at(__r, i) <= element_at(__r, i + 1)))"""))
+        )
+        chunks = F.expr(f"""filter(transform(__ends, (e, j) -> named_struct('k', 2 * {before} + 3, 'from', {before} + 1, 'n', e - {before},
+            'left', slice(__x, {earlier} + 1, {before} - {earlier}), 'right', slice(__x, e + 1, element_at(__ends, least(j + 3, size(__ends))) - e))), u -> u.n > 1)""")
+    units = lines.withColumn("__units", F.concat(chunks, longs)).withColumn("__units", F.expr("filter(__units, u -> exists(slice(__full, u.from, u.n), x -> x))"))
+    return units.drop("__full", "__h", "__x", "__r", "__ends")
 
 
 def shared_lines(a: str, b: str) -> str:
@@ -66,12 +68,20 @@ def shared_lines(a: str, b: str) -> str:
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, every: bool) -> DataFrame:
     """__id, __key and __gone, the ranges of lines (from, to) to remove, for documents that lose any."""
+    keyed = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("__key"))
     # outer, as an inner explode makes Spark push a copy of all these nested expressions down as a filter
-    units = with_units(docs.filter(F.col("text").isNotNull()), every).select("doc_id", "__key", F.explode_outer("__units").alias("u"))
-    units = units.select("doc_id", "__key", *(F.col("u")[c].alias(f"__{c}") for c in ("k", "body", "from", "n", "left", "right"))).filter(F.col("__body").rlike(r"[^\x20\x09-\x0D]"))
-    units = units.withColumn("__hash", F.xxhash64("__body"))
-    often = scratch.put(units.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash", F.ceil(F.col("n") / PART).alias("__parts")))
-    again = scratch.put(join_sized(units, often, "__hash", "inner").withColumn("__part", F.pmod(F.xxhash64("doc_id", "__key", "__k"), "__parts")))
+    hashes = with_units(keyed, every).select("doc_id", "__key", F.posexplode_outer(F.expr("transform(__units, u -> xxhash64(slice(__lines, u.from, u.n)))")).alias("__pos", "__hash"))
+    hashes = scratch.put(hashes.filter("__hash is not null"))
+    often = scratch.put(hashes.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash", F.ceil(F.col("n") / PART).alias("__parts")))
+    # only units whose hash occurs again are made texts
+    wanted = join_sized(hashes, often, "__hash", "inner").groupBy("doc_id", "__key").agg(F.collect_set(F.struct("__pos", "__hash", "__parts")).alias("__wanted"))
+    wanted = scratch.put(wanted.withColumnRenamed("doc_id", "__id").withColumnRenamed("__key", "__key2"))
+    some = join_sized(keyed, wanted, keyed["doc_id"].eqNullSafe(wanted["__id"]) & (keyed["__key"] == wanted["__key2"]), "inner", items="__wanted")
+    bodies = F.expr("transform(__wanted, w -> named_struct('u', get(__units, w.__pos), 'body', array_join(slice(__lines, get(__units, w.__pos).from, get(__units, w.__pos).n), '\n'), 'hash', w.__hash, 'parts', w.__parts))")
+    again = with_units(some, every).select("doc_id", "__key", F.explode_outer(bodies).alias("w"))
+    again = again.select("doc_id", "__key", *(F.col(f"w.u.{c}").alias(f"__{c}") for c in ("k", "from", "n", "left", "right")), *(F.col(f"w.{c}").alias(f"__{c}") for c in ("body", "hash", "parts")))
+    again = scratch.put(again.withColumn("__part", F.pmod(F.xxhash64("doc_id", "__key", "__k"), "__parts")))
+    scratch.drop(hashes, often)
     place = F.struct("doc_id", "__key", "__k", "__left", "__right")
     first = again.groupBy("__hash", "__body").agg(F.min(place).alias("f"), F.max("__parts").alias("__parts"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = first.select("__hash", "__body", "f", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("__part"))
@@ -81,7 +91,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, every: bool) -> DataFrame:
     high = F.col("__from") + F.col("__n") - 1 + F.expr(shared_lines("__right", "f.__right"))
     out = later.groupBy("doc_id", "__key").agg(F.collect_set(F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))).alias("__gone"))
     out = scratch.put(out.withColumnRenamed("doc_id", "__id"))
-    scratch.drop(often, again)
+    scratch.drop(wanted, again)
     return out
 
 

@@ -507,9 +507,12 @@ def raster_of(width: int, height: int, values: bytes, bits: int = 8) -> np.ndarr
     return samples.reshape(height, width, -1)
 
 
-def encode(rasters: DataFrame, quality: int = 85, subsampling: str = "420", restart: int = 0, process: str = "baseline", bits: int = 8, precision: int | None = None, predictor: int = 1, shift: int = 0, restart_rows: int = 0, density: tuple[int, int, int] = (0, 1, 1), pixel_format: str | None = None, bottom_up: bool = False, mode: str = faults.FAILFAST) -> DataFrame:
+def encode(rasters: DataFrame, quality: int = 85, subsampling: str = "420", restart: int = 0, process: str = "baseline", bits: int = 8, precision: int | None = None, predictor: int = 1, shift: int = 0, restart_rows: int = 0, density: tuple[int, int, int] = (0, 1, 1), pixel_format: str | None = None, bottom_up: bool = False, metadata: str | None = None, mode: str = faults.FAILFAST) -> DataFrame:
     """image_id, content.
 
+    metadata: a column of arrays of (code, body), the segments that a stream is to carry behind its JFIF header;
+    one that is a JFIF header itself takes its place. Nulls carry none.
+
     bits: 8, or 12 or 16 for samples of two bytes; 16 is lossless always. precision: of the samples, bits if not
     given. predictor and shift serve the lossless process, which refuses restart intervals in MCUs, as its own are rows.
     """
@@ -520,14 +523,18 @@ def encode(rasters: DataFrame, quality: int = 85, subsampling: str = "420", rest
     if plain and restart:
         raise ValueError("encoding: invalidRestartInterval")
 
-    def make(w, h, values):
+    def make(w, h, values, carried=None):
         raster = unpacked_pixels(raster_of(w, h, values, bits), pixel_format)
         raster = raster[::-1] if bottom_up else raster
+        kept = b"".join(segment(s["code"], s["body"]) for s in carried or ())
         if plain:
-            return (lossless.encode(raster, depth, predictor, shift, restart_rows),)
-        return (encode_raster(raster, quality, subsampling, restart, process, depth, restart_rows, density),)
+            data = lossless.encode(raster, depth, predictor, shift, restart_rows)
+            return (data[:2] + kept + data[2:],)
+        if kept and not any(s["code"] == 0xE0 and s["body"].startswith(b"JFIF\0") for s in carried):
+            kept = jfif_segment(density) + kept
+        return (encode_raster(raster, quality, subsampling, restart, process, depth, restart_rows, density, kept),)
 
-    return faults.per_row(rasters, ["width", "height", "values"], "content binary", make, mode)
+    return faults.per_row(rasters, ["width", "height", "values", *([metadata] if metadata else ())], "content binary", make, mode)
 
 
 def raster_row(raster: np.ndarray, bits: int) -> tuple:

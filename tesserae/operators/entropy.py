@@ -14,28 +14,6 @@ from tesserae import tables
 ZIGZAG = np.array(tables.zigzag())
 
 
-class Bits:
-    """Most significant bit first, with stuffing and padding by ones."""
-
-    def __init__(self):
-        self.out, self.word, self.count = bytearray(), 0, 0
-
-    def put(self, value: int, length: int) -> None:
-        self.word = self.word << length | value & ((1 << length) - 1)
-        self.count += length
-        while self.count >= 8:
-            self.count -= 8
-            byte = self.word >> self.count & 255
-            self.out.append(byte)
-            if byte == 255:
-                self.out.append(0)
-        self.word &= (1 << self.count) - 1
-
-    def flush(self) -> None:
-        if self.count:
-            self.put((1 << (8 - self.count)) - 1, 8 - self.count)
-
-
 class Reader:
     """Bits of one interval, unstuffed, followed by zeros."""
 
@@ -85,10 +63,6 @@ def extend(raw: int, n: int) -> int:
     return raw if not n or raw >> (n - 1) else raw - (1 << n) + 1
 
 
-def amplitude(bits: Bits, value: int, n: int) -> None:
-    bits.put(value if value >= 0 else value + (1 << n) - 1, n)
-
-
 @lru_cache(64)
 def steps(table) -> "Steps":
     return Steps(table)

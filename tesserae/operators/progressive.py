@@ -8,8 +8,10 @@ tokens into bits, so that its tables can be made from the symbols that it really
 import heapq
 from collections import Counter
 
+import numpy as np
+
 from tesserae import tables
-from tesserae.operators.entropy import Bits, Reader, extend, symbol
+from tesserae.operators.entropy import Reader, extend, packed, symbol
 
 LONGEST_RUN, MOST_PENDING = 0x7FFF, 900
 
@@ -213,10 +215,7 @@ def optimal_tables(found: list[tuple]) -> dict[tuple[int, int], tuple]:
 def write(found: list[tuple], books: dict[tuple[int, int], tuple]) -> bytes:
     """The bits of one interval."""
     codes = {(t, s): (c, n) for t, book in books.items() for s, c, n in tables.codes(book)}
-    bits = Bits()
-    for table, s, value, length in found:
-        if s is not None:
-            bits.put(*codes[table, s])
-        bits.put(value, length)
-    bits.flush()
-    return bytes(bits.out)
+    coded = [codes[t, s] if s is not None else (0, 0) for t, s, _, _ in found]
+    values, lengths = (np.array([f[k] for f in found], np.int64) for k in (2, 3))
+    code, size = (np.array([c[k] for c in coded], np.int64) for k in (0, 1))
+    return packed(code << lengths | values & (1 << lengths) - 1, size + lengths)

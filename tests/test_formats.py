@@ -6,7 +6,7 @@ import pytest
 from tesserae import tables
 from tesserae.operators import codec, entropy, faults, lossless, yuv
 from tesserae.plans import streams
-from tesserae.sources import files, images, segments
+from tesserae.sources import files, images, metadata, segments
 
 Y, X = np.mgrid[:24, :32]
 COLOR = np.stack([X * 8, Y * 10, (X + Y) * 4], -1)
@@ -235,3 +235,14 @@ def test_load_and_save(spark):
     assert len(files.load(one(spark, files.pnm(gray)), align=8).first()["values"]) == 16
     with pytest.raises(ValueError, match="unsupportedPixelFormat"):
         codec.packed_pixels(gray, "CMYK")
+
+
+def test_segments_of_the_callers(spark):
+    values = COLOR.astype(np.uint8).tobytes()
+    some = [(0xFE, b"note"), (0xE5, b"\x01\x02")]
+    own = [(0xE0, codec.jfif_segment((1, 72, 72), np.zeros((2, 2, 3)))[4:])]
+    rows = spark.createDataFrame([(1, 32, 24, values, some), (2, 32, 24, values, None), (3, 32, 24, values, own), (4, 32, 24, values, [(0xFE, bytes(70_000))])], "image_id long, width int, height int, values binary, own array<struct<code: int, body: binary>>")
+    for process, head in (("baseline", ["jfif"]), ("lossless", [])):
+        got = {r["image_id"]: r for r in codec.encode(rows, process=process, metadata="own", mode=faults.PERMISSIVE).collect()}
+        kinds = {i: [k for _, c, b, _ in segments.segments(bytes(r["content"])) if (k := metadata.kind(c, b))] for i, r in got.items() if r["content"]}
+        assert kinds == {1: [*head, "comment", "application"], 2: head, 3: ["jfif"]} and got[4]["error"]["code"] == "segmentTooLong"

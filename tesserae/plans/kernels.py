@@ -132,7 +132,9 @@ STATED_ROWS = {
 }
 RELATION_KEYS = {n: {"jfif": "jfif", "restarts": "restart_phase"}.get(n, f"parse_{n}") for n in STATED_ROWS}
 
-CHROMA_SQL = " UNION ALL ".join(f"SELECT image_id, {k} AS plane, oy AS y, ox AS x, s AS v FROM ({subsample(2, 2)(Duck).format(ycc_part='ycc_part').replace('c1', f'c{k}')}) s WHERE oy < 6 AND ox < 7" for k in (1, 2))
+CHROMA_SQL = " UNION ALL ".join(
+    f"SELECT image_id, {k} AS plane, oy AS y, ox AS x, s AS v"
+    f" FROM ({subsample(2, 2)(Duck).format(ycc_part='ycc_part').replace('c1', f'c{k}')}) s WHERE oy < 6 AND ox < 7" for k in (1, 2))
 
 QUERIES = {
     "yuv_unpack": lambda spark, sf: yuv.with_planes(codec.pack(rasters.r_part(spark, sf), 13, 11)),
@@ -149,8 +151,12 @@ QUERIES = {
 }
 
 SQL = {
-    "yuv_unpack": duck(f"SELECT image_id, 0 AS plane, a.i AS y, b.i AS x, c0::BIGINT AS v FROM {Duck.seq(0, 12)} a CROSS JOIN {Duck.seq(0, 14)} b JOIN ycc_part p ON p.y = least(a.i, 10) AND p.x = least(b.i, 12) UNION ALL {CHROMA_SQL}", "ycc_part"),
-    **{RELATION_KEYS[n]: duck(f"SELECT * FROM ({EACH}) e CROSS JOIN {values(rows, ', '.join(c.split()[0] for c in headers.RELATIONS[n][1].split(', ')))} v", "r_events") for n, (_, rows) in STATED_ROWS.items()},
+    "yuv_unpack": duck(
+        f"SELECT image_id, 0 AS plane, a.i AS y, b.i AS x, c0::BIGINT AS v FROM {Duck.seq(0, 12)} a CROSS"
+        f" JOIN {Duck.seq(0, 14)} b JOIN ycc_part p ON p.y = least(a.i, 10) AND p.x = least(b.i, 12) UNION ALL {CHROMA_SQL}", "ycc_part"),
+    **{RELATION_KEYS[n]: duck(
+        f"SELECT * FROM ({EACH}) e CROSS"
+        f" JOIN {values(rows, ', '.join(c.split()[0] for c in headers.RELATIONS[n][1].split(', ')))} v", "r_events") for n, (_, rows) in STATED_ROWS.items()},
     "strip_metadata": duck(f"SELECT image_id, 1 AS seq, 'jfif' AS kind FROM ({EACH}) e", "r_events"),
     "write_pnm": duck(f"SELECT image_id, '{PNM_HEAD}' || {HEX('y, x', 'c0', 'c1', 'c2')} AS content FROM r_events GROUP BY image_id", "r_events"),
     "write_bmp": duck(f"SELECT image_id, '{BMP_HEAD}' || {HEX('y DESC, x', 'c2', 'c1', 'c0')} AS content FROM r_events GROUP BY image_id", "r_events"),
@@ -169,6 +175,11 @@ SQL = {
     "encode_baseline": duck("SELECT image_id, brow, bcol, v, u, level FROM levels", "levels"), "decode_baseline": duck(DECODED, "levels"), "decode_restarts": duck(DECODED, "levels"), "decode_progressive": duck(DECODED, "levels"), "decode_arithmetic": duck(DECODED, "levels"),
     **{f"encode_{p}": duck("SELECT image_id, brow, bcol, v, u, level FROM levels", "levels") for p in ("progressive", "optimal", "arithmetic")},
     "decode_scaled": duck(f"SELECT image_id, brow * 4 + y AS y, bcol * 4 + x AS x, s FROM ({inverse_sql(tables.basis(4), 8, 20, f'({HALF})', False)}) i", "levels"),
-    "header_scan": duck(f"SELECT DISTINCT image_id, 'baseline' AS process, 'huffman' AS coding, 8 AS precision, {rasters.W} AS width, {rasters.H} AS height, 3 AS n_components FROM r_events", "r_events"),
-    "psnr_metrics": duck(f"SELECT r.image_id, max(abs(c0 - s)) AS worst, CAST(sum(abs(c0 - s)) AS BIGINT) AS total, CAST(sum((c0 - s) * (c0 - s)) AS BIGINT) AS squares FROM r_events r JOIN ({DECODED}) d ON r.image_id = d.image_id AND r.y = d.y AND r.x = d.x GROUP BY r.image_id", "levels"),
+    "header_scan": duck(
+        f"SELECT DISTINCT image_id, 'baseline' AS process, 'huffman' AS coding, 8 AS precision, {rasters.W} AS width, "
+        f"{rasters.H} AS height, 3 AS n_components FROM r_events", "r_events"),
+    "psnr_metrics": duck(
+        f"SELECT r.image_id, max(abs(c0 - s)) AS worst, CAST(sum(abs(c0 - s)) AS BIGINT) AS total, "
+        f"CAST(sum((c0 - s) * (c0 - s)) AS BIGINT) AS squares FROM r_events r"
+        f" JOIN ({DECODED}) d ON r.image_id = d.image_id AND r.y = d.y AND r.x = d.x GROUP BY r.image_id", "levels"),
 }

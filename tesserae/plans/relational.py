@@ -62,7 +62,11 @@ def transform(op):
     brow, bcol, v, u = ("bcol", "brow", "u", "v") if swap else ("brow", "bcol", "v", "u")
     mirror_x, mirror_y = op in ("hflip", "rot180", "rot90", "transverse"), op in ("vflip", "rot180", "rot270", "transverse")
     sign = " + ".join(x for x, m in ((u, mirror_x), (v, mirror_y)) if m) or "0"
-    return lambda d: f"SELECT image_id, {f'{h - 1} - {brow}' if mirror_y else brow} AS brow, {f'{w - 1} - {bcol}' if mirror_x else bcol} AS bcol, {v} AS v, {u} AS u, CASE WHEN ({sign}) % 2 = 1 THEN -level ELSE level END AS level FROM {{levels}} l"
+    return lambda d: (
+        f"SELECT image_id, {f'{h - 1} - {brow}' if mirror_y else brow} AS brow, "
+        f"{f'{w - 1} - {bcol}' if mirror_x else bcol} AS bcol, {v} AS v, {u} AS u, CASE WHEN ({sign}) % 2 = 1 THEN -level"
+        f" ELSE level END AS level FROM {{levels}} l"
+    )
 
 
 def subsample(fx, fy):
@@ -81,7 +85,11 @@ def upsample(fx, fy):
 
     def axis(d, f, n, limit, name):
         at = f"{d.div(f'(2 * i + 1) * 65536', 2 * f)} - 32768"
-        return f"(SELECT i AS {name}, greatest(least({d.shr(at, 16)}, {limit - 1}), 0) AS {name}0, greatest(least({d.shr(at, 16)} + 1, {limit - 1}), 0) AS {name}1, {d.shr(f'(({at}) & 65535)', 8)} AS w{name} FROM {d.seq(0, n)} s)"
+        return (
+            f"(SELECT i AS {name}, greatest(least({d.shr(at, 16)}, {limit - 1}), 0) AS {name}0, "
+            f"greatest(least({d.shr(at, 16)} + 1, {limit - 1}), 0) AS {name}1, {d.shr(f'(({at}) & 65535)', 8)} AS w{name}"
+            f" FROM {d.seq(0, n)} s)"
+        )
 
     def text(d):
         s = f"({subsample(fx, fy)(d)})"
@@ -110,7 +118,10 @@ def zigzag(d):
 
 def sof_grid(d):
     name = "CASE i % 4 WHEN 0 THEN 'baseline' WHEN 1 THEN 'extended' WHEN 2 THEN 'progressive' ELSE 'lossless' END"
-    return f"SELECT i AS code, {name} AS process, CASE WHEN (i & 8) = 8 THEN 'arithmetic' ELSE 'huffman' END AS coding, (i & 4) = 4 AS differential FROM {d.seq(192, 208)} s WHERE i NOT IN (196, 200, 204)"
+    return (
+        f"SELECT i AS code, {name} AS process, CASE WHEN (i & 8) = 8 THEN 'arithmetic' ELSE 'huffman' END AS coding, "
+        f"(i & 4) = 4 AS differential FROM {d.seq(192, 208)} s WHERE i NOT IN (196, 200, 204)"
+    )
 
 
 def perfect(d):
@@ -141,7 +152,11 @@ def size(d):
     pad = lambda x, n: f"{d.div(f'{x} + {n} - 1', n)} * {n}"
     subs = values(tables.SUBSAMPLINGS, "name, fx, fy")
     chroma = f"CASE WHEN name = 'gray' THEN 0 ELSE {d.div(256, '64 * fx * fy')} END"
-    return f"SELECT name, w.i AS width, h.i AS height, {pad('w.i', '(8 * fx)')} * {pad('h.i', '(8 * fy)')} * (2 + {chroma}) + 2048 AS bytes FROM {subs} s CROSS JOIN {d.seq(125, 135)} w CROSS JOIN {d.seq(99, 103)} h"
+    return (
+        f"SELECT name, w.i AS width, h.i AS height, "
+        f"{pad('w.i', '(8 * fx)')} * {pad('h.i', '(8 * fy)')} * (2 + {chroma}) + 2048 AS bytes FROM {subs} s CROSS"
+        f" JOIN {d.seq(125, 135)} w CROSS JOIN {d.seq(99, 103)} h"
+    )
 
 
 def yuv_size(d):
@@ -153,7 +168,11 @@ def yuv_size(d):
 
 
 def quant_values(d):
-    return f"SELECT a.i - 2048 AS c, b.q AS q, CASE WHEN a.i < 2048 THEN -1 ELSE 1 END * {d.div(f'abs(a.i - 2048) + {d.div("b.q", 2)}', 'b.q')} AS level FROM {d.seq(0, 4096)} a CROSS JOIN {values([(q,) for q in sorted(set(Q))], 'q')} b"
+    return (
+        f"SELECT a.i - 2048 AS c, b.q AS q, CASE WHEN a.i < 2048 THEN -1"
+        f" ELSE 1 END * {d.div(f'abs(a.i - 2048) + {d.div("b.q", 2)}', 'b.q')} AS level FROM {d.seq(0, 4096)} a CROSS"
+        f" JOIN {values([(q,) for q in sorted(set(Q))], 'q')} b"
+    )
 
 
 def recip(d):
@@ -173,7 +192,11 @@ def magnitude(d):
 
 
 def extended(d):
-    return f"SELECT category, bits, CASE WHEN category = 0 THEN 0 WHEN {d.shr('bits * 2', 1)} * 2 >= two THEN bits ELSE bits - two + 1 END AS value FROM ({magnitude(d)}) m JOIN {values([(k, 1 << k) for k in range(12)], 'k2, two')} t ON k2 = category"
+    return (
+        f"SELECT category, bits, CASE WHEN category = 0 THEN 0 WHEN {d.shr('bits * 2', 1)} * 2 >= two THEN bits"
+        f" ELSE bits - two + 1 END AS value FROM ({magnitude(d)}) m"
+        f" JOIN {values([(k, 1 << k) for k in range(12)], 'k2, two')} t ON k2 = category"
+    )
 
 
 def crop(d):
@@ -190,7 +213,11 @@ IMAGES = "(SELECT DISTINCT image_id FROM {r_events} e)"
 def flags(d):
     """Every set of the eight flags."""
     bits = values([("bottomup", 0, 2), ("fastupsample", 1, 256), ("norealloc", 2, 1024), ("fastdct", 3, 2048), ("accuratedct", 4, 4096), ("stoponwarning", 5, 8192), ("progressive", 6, 16384), ("limitscans", 7, 32768)], "name, place, bit")
-    return f"SELECT flags, name, (flags & bit) > 0 AS is_set FROM (SELECT i, CAST(sum(CASE WHEN ({d.shr('i', 'place')}) % 2 = 1 THEN bit ELSE 0 END) AS BIGINT) AS flags FROM {d.seq(0, 256)} s CROSS JOIN {bits} b GROUP BY i) f CROSS JOIN {bits} c"
+    return (
+        f"SELECT flags, name, (flags & bit) > 0 AS is_set FROM (SELECT i, CAST(sum(CASE"
+        f" WHEN ({d.shr('i', 'place')}) % 2 = 1 THEN bit ELSE 0 END) AS BIGINT) AS flags FROM {d.seq(0, 256)} s CROSS"
+        f" JOIN {bits} b GROUP BY i) f CROSS JOIN {bits} c"
+    )
 
 
 def ids(*cases):
@@ -215,7 +242,10 @@ def decoded_formats(d):
     clamp = lambda e: f"least(greatest({d.shr(e, 16)}, 0), 255)"
     made = (clamp("y * 65536 + 32768 + 91881 * (cr - 128)"), clamp("y * 65536 + 32768 - 22554 * (cb - 128) - 46802 * (cr - 128)"), clamp("y * 65536 + 32768 + 116130 * (cb - 128)"))
     out = ", ".join(f"CAST(CASE image_id % 4 WHEN 1 THEN c{k} WHEN 2 THEN c{2 - k} ELSE {e} END AS BIGINT) AS c{k}" for k, e in enumerate(made))
-    return f"SELECT image_id, {out} FROM (SELECT image_id, c0, c1, c2, CAST({y} AS BIGINT) AS y, CAST({cb} AS BIGINT) AS cb, CAST({cr} AS BIGINT) AS cr FROM {{r_events}} r WHERE r.x = 0 AND r.y = 0) p"
+    return (
+        f"SELECT image_id, {out} FROM (SELECT image_id, c0, c1, c2, CAST({y} AS BIGINT) AS y, CAST({cb} AS BIGINT) AS cb, "
+        f"CAST({cr} AS BIGINT) AS cr FROM {{r_events}} r WHERE r.x = 0 AND r.y = 0) p"
+    )
 
 
 SCANS = values([(i, len(c), ss, se, ah, al) for i, (c, ss, se, ah, al) in enumerate(tables.SCRIPT)], "seq, components, ss, se, ah, al")
@@ -246,7 +276,11 @@ def _defined():
 def as_of(d):
     """A scan sees the latest table of its slot that precedes it."""
     defined, scans = _defined()
-    return f"SELECT image_id, s.scan, s.class, s.slot, max(d.seq) AS seq FROM {IMAGES} e CROSS JOIN {scans} s LEFT JOIN {defined} d ON d.class = s.class AND d.slot = s.slot AND d.seq < s.spot GROUP BY image_id, s.scan, s.k, s.class, s.slot"
+    return (
+        f"SELECT image_id, s.scan, s.class, s.slot, max(d.seq) AS seq FROM {IMAGES} e CROSS JOIN {scans} s LEFT"
+        f" JOIN {defined} d ON d.class = s.class AND d.slot = s.slot AND d.seq < s.spot GROUP BY image_id, s.scan, s.k, "
+        f"s.class, s.slot"
+    )
 
 
 PROFILE = "repeat('profile of an image ', 150001)"
@@ -256,23 +290,37 @@ def icc(d):
     size = "(1 + image_id % 100 * 30000)"
     n = d.div(f"{size} + 65518", 65519)
     part = "substring(whole, CAST((i - 1) * 65519 + 1 AS INT), CAST(least(65519, size - (i - 1) * 65519) AS INT))"
-    return f"SELECT image_id, i AS chunk, chunks, length({part}) AS bytes, md5({part}) AS md5 FROM (SELECT image_id, {size} AS size, {n} AS chunks, {PROFILE} AS whole FROM {IMAGES} e) p JOIN {d.seq(1, 99)} s ON i <= chunks"
+    return (
+        f"SELECT image_id, i AS chunk, chunks, length({part}) AS bytes, md5({part}) AS md5 FROM (SELECT image_id, "
+        f"{size} AS size, {n} AS chunks, {PROFILE} AS whole FROM {IMAGES} e) p JOIN {d.seq(1, 99)} s ON i <= chunks"
+    )
 
 
 def icc_join(d):
     """Whole profiles; of images that three divides the last of several chunks is missing."""
     size = "(1 + image_id % 100 * 30000)"
     lost = f"(image_id % 3 = 0 AND {size} > 65519)"
-    return f"SELECT image_id, CASE WHEN {lost} THEN NULL ELSE {size} END AS bytes, CASE WHEN {lost} THEN NULL ELSE md5(substring({PROFILE}, 1, CAST({size} AS INT))) END AS md5, CASE WHEN {lost} THEN 'missingChunk' END AS error FROM {IMAGES} e"
+    return (
+        f"SELECT image_id, CASE WHEN {lost} THEN NULL ELSE {size} END AS bytes, CASE WHEN {lost} THEN NULL"
+        f" ELSE md5(substring({PROFILE}, 1, CAST({size} AS INT))) END AS md5, CASE WHEN {lost} THEN 'missingChunk' END AS error"
+        f" FROM {IMAGES} e"
+    )
 
 
 def sampled(d):
-    return f"SELECT image_id, name AS asked, 13 AS width, 11 AS height, CASE WHEN name = 'gray' THEN 'gray' ELSE 'ycc' END AS colorspace, name AS subsampling, 1 AS unit, 300 AS dx, 72 AS dy FROM (SELECT DISTINCT image_id FROM {{ycc_part}} p) e CROSS JOIN {values([(s[0],) for s in tables.SUBSAMPLINGS], 'name')} s"
+    return (
+        f"SELECT image_id, name AS asked, 13 AS width, 11 AS height, CASE WHEN name = 'gray' THEN 'gray'"
+        f" ELSE 'ycc' END AS colorspace, name AS subsampling, 1 AS unit, 300 AS dx, 72 AS dy FROM (SELECT DISTINCT image_id"
+        f" FROM {{ycc_part}} p) e CROSS JOIN {values([(s[0],) for s in tables.SUBSAMPLINGS], 'name')} s"
+    )
 
 
 def oriented(d):
     """Upright: sides change places where the orientation asked for a quarter turn."""
-    return f"SELECT image_id, CASE WHEN image_id % 9 >= 5 THEN {rasters.H} ELSE {rasters.W} END AS width, CASE WHEN image_id % 9 >= 5 THEN {rasters.W} ELSE {rasters.H} END AS height, 1 AS orientation FROM {IMAGES} e"
+    return (
+        f"SELECT image_id, CASE WHEN image_id % 9 >= 5 THEN {rasters.H} ELSE {rasters.W} END AS width, CASE"
+        f" WHEN image_id % 9 >= 5 THEN {rasters.W} ELSE {rasters.H} END AS height, 1 AS orientation FROM {IMAGES} e"
+    )
 
 
 ALL_BOOKS = values([(c, slot, i, n, s) for c, slot, t in (("dc", 0, tables.DC_LUMA), ("dc", 1, tables.DC_CHROMA), ("ac", 0, tables.AC_LUMA), ("ac", 1, tables.AC_CHROMA)) for i, (s, n) in enumerate(zip(t[1], [k for k, m in enumerate(t[0], 1) for _ in range(m)], strict=True))], "class, slot, place, length, symbol")
@@ -319,9 +367,13 @@ PLANS = {
     "ac_rle": (nonzero, ("levels",)), "huff_hist": (lambda d: f"SELECT class, symbol, count(*) AS n FROM ({coded(d)}) s GROUP BY class, symbol", ("levels",)),
     "coded_bits": (lambda d: f"SELECT image_id, CAST(sum(n) AS BIGINT) AS bits, CAST({d.div('sum(n) + 7', 8)} AS BIGINT) AS bytes FROM ({lengths(d)}) s GROUP BY image_id", ("levels",)),
     "bit_offsets": (bit_offsets, ("levels",)),
-    "needs_optimal": (lambda d: f"SELECT c.class, c.symbol, count(*) AS n, b.code IS NULL AS missing FROM ({coded(d)}) c LEFT JOIN {BOOK} b ON c.class = b.class AND c.symbol = b.symbol GROUP BY c.class, c.symbol, b.code", ("levels",)),
+    "needs_optimal": (lambda d:
+        f"SELECT c.class, c.symbol, count(*) AS n, b.code IS NULL AS missing FROM ({coded(d)}) c LEFT"
+        f" JOIN {BOOK} b ON c.class = b.class AND c.symbol = b.symbol GROUP BY c.class, c.symbol, b.code", ("levels",)),
     "canonical_codes": (assigned, ("r_events",)), "dht_valid": (validity, ("r_events",)),
-    "restart_intervals": (lambda d: f"SELECT image_id, {d.div('k', 5)} AS interval_, count(*) AS blocks, ({d.div('k', 5)}) % 8 AS phase FROM {{levels}} l WHERE z = 0 GROUP BY image_id, {d.div('k', 5)}", ("levels",)),
+    "restart_intervals": (lambda d:
+        f"SELECT image_id, {d.div('k', 5)} AS interval_, count(*) AS blocks, ({d.div('k', 5)}) % 8 AS phase FROM {{levels}} l"
+        f" WHERE z = 0 GROUP BY image_id, {d.div('k', 5)}", ("levels",)),
     "eob_runs": (eob, ("levels",)), "block_at": (blocks_at, ("levels",)), "coef_filter": (lambda d: "SELECT image_id, brow, bcol, v, u, CASE WHEN u + v > 4 THEN 0 ELSE level END AS level FROM {levels} l", ("levels",)),
     **{f"transform_{op}": (transform(op), ("levels",)) for op in tables.TRANSFORMS},
     **{f"subsample_{n}": (subsample(fx, fy), ("ycc_part",)) for n, fx, fy in tables.SUBSAMPLINGS if n not in ("444", "gray")},

@@ -42,7 +42,10 @@ def boxes(k: int, f: int, columns: int, rows: int) -> str:
 
 
 def levels_of(source: str, table: str) -> str:
-    return f"SELECT image_id, brow, bcol, c.v, c.u, CAST(sign(c) * ((abs(c) + q // 2) // q) AS BIGINT) AS level, q FROM ({forward_sql(LLM, 11, 18, source)}) c JOIN {table} q ON c.v = q.v AND c.u = q.u"
+    return (
+        f"SELECT image_id, brow, bcol, c.v, c.u, CAST(sign(c) * ((abs(c) + q // 2) // q) AS BIGINT) AS level, q"
+        f" FROM ({forward_sql(LLM, 11, 18, source)}) c JOIN {table} q ON c.v = q.v AND c.u = q.u"
+    )
 
 
 def padded(k: int) -> str:
@@ -65,7 +68,10 @@ def samples(k: int) -> str:
 def axis(name: str, n: int, limit: int) -> str:
     """Positions of n samples in a plane of half their number: both neighbours and the weight of the farther."""
     at = "((2 * i + 1) * 65536) // 4 - 32768"
-    return f"(SELECT i AS {name}, greatest(least(({at}) >> 16, {limit - 1}), 0) AS {name}0, greatest(least((({at}) >> 16) + 1, {limit - 1}), 0) AS {name}1, (({at}) & 65535) >> 8 AS w{name} FROM {Duck.seq(0, n)} s)"
+    return (
+        f"(SELECT i AS {name}, greatest(least(({at}) >> 16, {limit - 1}), 0) AS {name}0, greatest(least((({at}) >> 16) + 1, "
+        f"{limit - 1}), 0) AS {name}1, (({at}) & 65535) >> 8 AS w{name} FROM {Duck.seq(0, n)} s)"
+    )
 
 
 def doubled(k: int) -> str:
@@ -228,11 +234,17 @@ def segment_hex() -> str:
     order = values([(z, p) for z, p in enumerate(tables.zigzag())], "z, p")
     for slot, t in enumerate((tables.LUMA, tables.CHROMA)):
         base = values([(p, b) for p, b in enumerate(t)], "p, base")
-        parts.append(f"SELECT {2 + slot} AS seq, 'FFDB0043' || '{slot:02X}' || string_agg({two('greatest(1, least(255, (base * 30 + 50) // 100))')}, '' ORDER BY z) AS hex FROM {order} o JOIN {base} b ON o.p = b.p")
+        parts.append(
+            f"SELECT {2 + slot} AS seq, "
+            f"'FFDB0043' || '{slot:02X}' || string_agg({two('greatest(1, least(255, (base * 30 + 50) // 100))')}, ''"
+            f" ORDER BY z) AS hex FROM {order} o JOIN {base} b ON o.p = b.p")
     parts.append(f"SELECT 4 AS seq, 'FFC0' || {four('8 + 3 * 3')} || '08' || {four(H)} || {four(W)} || '03' || '012200' || '021101' || '031101' AS hex")
     for k, (c, slot, t) in enumerate((c, s, t) for c, ts in (("0", (tables.DC_LUMA, tables.DC_CHROMA)), ("1", (tables.AC_LUMA, tables.AC_CHROMA))) for s, t in enumerate(ts)):
         counts, symbols = values(list(enumerate(t[0])), "i, n"), values(list(enumerate(t[1])), "i, s")
-        parts.append(f"SELECT {5 + k} AS seq, 'FFC4' || {four(f'19 + (SELECT sum(n)::INT FROM {counts} a)')} || '{c}{slot}' || (SELECT string_agg({two('n')}, '' ORDER BY i) FROM {counts} b) || (SELECT string_agg({two('s')}, '' ORDER BY i) FROM {symbols} c) AS hex")
+        parts.append(
+            f"SELECT {5 + k} AS seq, "
+            f"'FFC4' || {four(f'19 + (SELECT sum(n)::INT FROM {counts} a)')} || '{c}{slot}' || (SELECT string_agg({two('n')}, ''"
+            f" ORDER BY i) FROM {counts} b) || (SELECT string_agg({two('s')}, '' ORDER BY i) FROM {symbols} c) AS hex")
     parts += [literal(9, "FFDA000C03" + "0100" + "0211" + "0311" + "003F00"), literal(10, "FFD9")]
     return f"SELECT image_id, seq, hex FROM {IMAGES} e CROSS JOIN ({' UNION ALL '.join(parts)}) s"
 
@@ -325,7 +337,10 @@ def _points() -> str:
         if name != "gray":
             for k in range(3):
                 sx, sy = (1, 1) if k == 0 else (fx, fy)
-                parts.append(f"SELECT image_id, '{name}' AS name, {k} AS plane, a.i AS y, b.i AS x, c{k} AS v FROM {Duck.seq(0, -(-11 // sy))} a CROSS JOIN {Duck.seq(0, -(-13 // sx))} b JOIN ycc_part p ON p.y = least(a.i * {sy}, 10) AND p.x = least(b.i * {sx}, 12)")
+                parts.append(
+                    f"SELECT image_id, '{name}' AS name, {k} AS plane, a.i AS y, b.i AS x, c{k} AS v FROM {Duck.seq(0, -(-11 // sy))} a"
+                    f" CROSS JOIN {Duck.seq(0, -(-13 // sx))} b JOIN ycc_part p ON p.y = least(a.i * {sy}, 10) AND p.x = least(b.i * {sx}, "
+                    f"12)")
     return " UNION ALL ".join(parts)
 
 
@@ -487,17 +502,29 @@ def transform_bufsize(spark, sf):
 def _bounds() -> str:
     subs, ops = values(tables.SUBSAMPLINGS, "name, fx, fy"), values([(op, int(op in transforms.SWAPS)) for op in tables.TRANSFORMS], "op, swaps")
     crops = values([(k, *(c or (0, 0, 0, 0))) for k, c in enumerate(CROPS)], "crop, cx, cy, cw, ch")
-    trimmed = "SELECT *, CASE WHEN op IN ('none', 'vflip') THEN width ELSE width // (8 * fx) * 8 * fx END AS tw, CASE WHEN op IN ('none', 'hflip') THEN height ELSE height // (8 * fy) * 8 * fy END AS th"
+    trimmed = (
+        "SELECT *, CASE WHEN op IN ('none', 'vflip') THEN width ELSE width // (8 * fx) * 8 * fx END AS tw, CASE"
+        " WHEN op IN ('none', 'hflip') THEN height ELSE height // (8 * fy) * 8 * fy END AS th"
+    )
     sized = f"{trimmed} FROM {subs} s CROSS JOIN {ops} o CROSS JOIN {values([(133, 101), (128, 96), (65, 130)], 'width, height')} d CROSS JOIN {crops} c"
-    turned = f"SELECT *, CASE WHEN swaps = 1 THEN th ELSE tw END AS w, CASE WHEN swaps = 1 THEN tw ELSE th END AS h, CASE WHEN swaps = 1 THEN fy ELSE fx END AS x, CASE WHEN swaps = 1 THEN fx ELSE fy END AS y FROM ({sized}) t"
+    turned = (
+        f"SELECT *, CASE WHEN swaps = 1 THEN th ELSE tw END AS w, CASE WHEN swaps = 1 THEN tw ELSE th END AS h, CASE"
+        f" WHEN swaps = 1 THEN fy ELSE fx END AS x, CASE WHEN swaps = 1 THEN fx ELSE fy END AS y FROM ({sized}) t"
+    )
     cut = f"SELECT *, CASE WHEN cw > 0 THEN cw ELSE w - cx END AS ow, CASE WHEN ch > 0 THEN ch ELSE h - cy END AS oh FROM ({turned}) u"
     pad = lambda v, n: f"(({v} + 8 * {n} - 1) // (8 * {n}) * 8 * {n})"
     return f"SELECT name, op, width, height, crop, {pad('ow', 'x')} * {pad('oh', 'y')} * (2 + CASE WHEN name = 'gray' THEN 0 ELSE 256 // (64 * x * y) END) + 2048 AS bytes FROM ({cut}) k"
 
 
-LATE_SQL = "SELECT image_id, CASE WHEN image_id % 3 > 0 THEN {w} END AS width, CASE WHEN image_id % 3 > 0 THEN {h} END AS height, CASE WHEN image_id % 3 = 0 THEN 'missingFrame' END AS error FROM " + IMAGES + " e"
+LATE_SQL = (
+    "SELECT image_id, CASE WHEN image_id % 3 > 0 THEN {w} END AS width, CASE WHEN image_id % 3 > 0 THEN {h} END AS height,"
+    " CASE WHEN image_id % 3 = 0 THEN 'missingFrame' END AS error FROM "
+) + IMAGES + " e"
 LEVELS = "SELECT image_id, brow, bcol, v, u, level FROM levels"
-GRAY_DECODED = f"SELECT image_id, brow * 8 + y AS y, bcol * 8 + x AS x, s FROM ({inverse_sql(LLM, 11, 18, f'(SELECT image_id, brow, bcol, l.v, l.u, level * q AS d FROM levels l JOIN {LUMA_Q} q ON l.v = q.v AND l.u = q.u)', True)}) i"
+GRAY_DECODED = (
+    f"SELECT image_id, brow * 8 + y AS y, bcol * 8 + x AS x, s"
+    f" FROM ({inverse_sql(LLM, 11, 18, f'(SELECT image_id, brow, bcol, l.v, l.u, level * q AS d FROM levels l JOIN {LUMA_Q} q ON l.v = q.v AND l.u = q.u)', True)}) i"
+)
 HALF = f"(SELECT image_id, brow, bcol, l.v, l.u, level * q AS d FROM levels l JOIN {LUMA_Q} q ON l.v = q.v AND l.u = q.u WHERE l.v < 4 AND l.u < 4)"
 HEX = "lpad(upper(to_hex({})), 2, '0')"
 
@@ -508,38 +535,77 @@ STREAMS = {
     "encode_yuv": (encode_yuv, PACKED, ("r_events",)),
     "decode_tiers": (decode_tiers, f"WITH {PLANES} " + " UNION ALL ".join(f"SELECT image_id, {k} AS plane, y, x, s AS v FROM ({samples(k)}) s WHERE y < {H // (1 if k == 0 else 2)}" for k in range(3)), ("r_events",)),
     "luma_only": (luma_only, f"WITH {PLANES} SELECT image_id, brow, bcol, v, u, level FROM l0 WHERE brow < {H // 8}", ("r_events",)),
-    "error_catalog": (error_catalog, f"SELECT image_id, c.*, true AS empty FROM {IMAGES} e CROSS JOIN {values([(n, s, c) for n, (_, s, c) in DAMAGES.items()], 'case_, stage, code')} c".replace("case_", '"case"'), ("r_events",)),
-    "bad_magic": (bad_magic, f"SELECT image_id, CASE WHEN image_id % 2 = 0 THEN 'missingStartOfImage' END AS error, CASE WHEN image_id % 2 = 0 THEN 0 ELSE 8 END AS segments FROM {IMAGES} e", ("r_events",)),
+    "error_catalog": (error_catalog,
+        f"SELECT image_id, c.*, true AS empty FROM {IMAGES} e CROSS"
+        f" JOIN {values([(n, s, c) for n, (_, s, c) in DAMAGES.items()], 'case_, stage, code')} c".replace("case_", '"case"'), ("r_events",)),
+    "bad_magic": (bad_magic,
+        f"SELECT image_id, CASE WHEN image_id % 2 = 0 THEN 'missingStartOfImage' END AS error, CASE"
+        f" WHEN image_id % 2 = 0 THEN 0 ELSE 8 END AS segments FROM {IMAGES} e", ("r_events",)),
     "header_errors": (header_errors, LATE_SQL.format(w=W, h=H), ("r_events",)),
     "parse_dnl": (lambda spark, sf: headers.relation(_late(spark, sf), "dnl"), f"SELECT image_id, {H} AS height FROM {IMAGES} e", ("r_events",)),
     "decode_late_height": (lambda spark, sf: codec.unpack(codec.decode(_late(spark, sf))).select("image_id", "y", "x", F.col("c0").alias("s")), GRAY_DECODED, ("levels",)),
     "write_segment": (segment_bytes, segment_hex(), ("r_events",)),
     "segments": (
         lambda spark, sf: seg.with_segments(codec.encode(color(spark, sf), rasters.QUALITY, "420")).select("image_id", "seq", "marker", "name", "length", F.when(F.col("seq") < 10, F.col("offset")).alias("offset")),
-        f"SELECT image_id, seq, marker, name, length, CASE WHEN seq < 10 THEN CAST(sum(2 + CASE WHEN length > 0 THEN length + 2 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY seq) - (2 + CASE WHEN length > 0 THEN length + 2 ELSE 0 END) AS BIGINT) END AS offset FROM {IMAGES} e CROSS JOIN "
+        f"SELECT image_id, seq, marker, name, length, CASE WHEN seq < 10 THEN CAST(sum(2 + CASE"
+            f" WHEN length > 0 THEN length + 2 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY seq) - (2 + CASE"
+            f" WHEN length > 0 THEN length + 2 ELSE 0 END) AS BIGINT) END AS offset FROM {IMAGES} e CROSS JOIN "
         + values([(0, 0xD8, "SOI", 0), (1, 0xE0, "APP0", 14), (2, 0xDB, "DQT", 65), (3, 0xDB, "DQT", 65), (4, 0xC0, "SOF0", 15), (5, 0xC4, "DHT", 29), (6, 0xC4, "DHT", 29), (7, 0xC4, "DHT", 179), (8, 0xC4, "DHT", 179), (9, 0xDA, "SOS", 10), (10, 0xD9, "EOI", 0)], "seq, marker, name, length") + " s", ("r_events",)),
-    "parse_dac": (parse_dac, f"SELECT image_id, 'dc' AS class, 0 AS slot, image_id % 2 AS low, image_id % 5 + 1 AS high, NULL AS kx FROM {IMAGES} e UNION ALL SELECT image_id, 'ac', 1, NULL, NULL, image_id % 63 + 1 FROM {IMAGES} e", ("r_events",)),
-    "layout": (lambda spark, sf: headers.relation(codec.encode(color(spark, sf), rasters.QUALITY, "420"), "layout"), f"SELECT image_id, 'ycc' AS format, l.* FROM {IMAGES} e CROSS JOIN {values([(0, 1, 0, W, H, W // 8, 4), (1, 2, 1, W // 2, H // 2, W // 16, 2), (2, 3, 2, W // 2, H // 2, W // 16, 2)], 'place, id, plane, width, height, bcols, brows')} l", ("r_events",)),
-    "lossless_rgb": (lambda spark, sf: headers.relation(codec.encode(color(spark, sf), process="lossless"), "layout").select("image_id", "id", "format", "plane", "width", "height"), f"SELECT image_id, l.*, {W} AS width, {H} AS height FROM {IMAGES} e CROSS JOIN {values([(82, 'rgb', 0), (71, 'rgb', 1), (66, 'rgb', 2)], 'id, format, plane')} l", ("r_events",)),
-    "metadata_roundtrip": (metadata_roundtrip, f"SELECT image_id, true AS keep, 'jfif' AS kind, 14 AS size, '4a46494600010200000100010000' AS hex FROM {IMAGES} e UNION ALL SELECT image_id, false, 'jfif', 14, '4a46494600010200000100010000' FROM {IMAGES} e UNION ALL SELECT image_id, true, 'comment', length('image ' || image_id), lower(hex('image ' || image_id)) FROM {IMAGES} e UNION ALL SELECT image_id, true, 'application', image_id % 50, coalesce((SELECT string_agg(lpad(lower(to_hex(i)), 2, '0'), '' ORDER BY i) FROM {Duck.seq(0, 50)} s WHERE i < image_id % 50), '') FROM {IMAGES} e", ("r_events",)),
-    "progressive_previews": (progressive_previews, f"SELECT image_id, 5 AS scan, y, x, s FROM ({GRAY_DECODED}) a UNION ALL SELECT image_id, 0, brow * 8 + y, bcol * 8 + x, s FROM ({inverse_sql(LLM, 11, 18, f'(SELECT image_id, brow, bcol, l.v, l.u, CASE WHEN l.v + l.u = 0 THEN (level >> 1) * 2 * q ELSE 0 END AS d FROM levels l JOIN {LUMA_Q} q ON l.v = q.v AND l.u = q.u)', True)}) i", ("levels",)),
-    "decode_every_scale": (decode_every_scale, " UNION ALL ".join(f"SELECT image_id, {n} AS n, brow * {n} + y AS y, bcol * {n} + x AS x, s FROM ({inverse_sql(tables.basis(n), 8, 20, _lowest(n), False)}) i" for n in range(1, 8)), ("levels",)),
-    "jfif_thumbnail": (jfif_thumbnail, f"SELECT image_id, 3 AS width, CASE WHEN image_id % 2 = 1 THEN 1 ELSE 2 END AS height, repeat(lpad(upper(to_hex(image_id % 256)), 2, '0'), CASE WHEN image_id % 2 = 1 THEN 9 ELSE 18 END) AS rgb FROM {IMAGES} e", ("r_events",)),
+    "parse_dac": (parse_dac,
+        f"SELECT image_id, 'dc' AS class, 0 AS slot, image_id % 2 AS low, image_id % 5 + 1 AS high, NULL AS kx FROM {IMAGES} e"
+        f" UNION ALL SELECT image_id, 'ac', 1, NULL, NULL, image_id % 63 + 1 FROM {IMAGES} e", ("r_events",)),
+    "layout": (lambda spark, sf: headers.relation(codec.encode(color(spark, sf), rasters.QUALITY, "420"), "layout"),
+        f"SELECT image_id, 'ycc' AS format, l.* FROM {IMAGES} e CROSS"
+        f" JOIN {values([(0, 1, 0, W, H, W // 8, 4), (1, 2, 1, W // 2, H // 2, W // 16, 2), (2, 3, 2, W // 2, H // 2, W // 16, 2)], 'place, id, plane, width, height, bcols, brows')} l", ("r_events",)),
+    "lossless_rgb": (lambda spark, sf: headers.relation(codec.encode(color(spark, sf), process="lossless"), "layout").select("image_id", "id", "format", "plane", "width", "height"),
+        f"SELECT image_id, l.*, {W} AS width, {H} AS height FROM {IMAGES} e CROSS"
+        f" JOIN {values([(82, 'rgb', 0), (71, 'rgb', 1), (66, 'rgb', 2)], 'id, format, plane')} l", ("r_events",)),
+    "metadata_roundtrip": (metadata_roundtrip,
+        f"SELECT image_id, true AS keep, 'jfif' AS kind, 14 AS size, '4a46494600010200000100010000' AS hex FROM {IMAGES} e"
+        f" UNION ALL SELECT image_id, false, 'jfif', 14, '4a46494600010200000100010000' FROM {IMAGES} e UNION ALL"
+        f" SELECT image_id, true, 'comment', length('image ' || image_id), lower(hex('image ' || image_id)) FROM {IMAGES} e"
+        f" UNION ALL SELECT image_id, true, 'application', image_id % 50, coalesce((SELECT string_agg(lpad(lower(to_hex(i)), 2, "
+        f"'0'), '' ORDER BY i) FROM {Duck.seq(0, 50)} s WHERE i < image_id % 50), '') FROM {IMAGES} e", ("r_events",)),
+    "progressive_previews": (progressive_previews,
+        f"SELECT image_id, 5 AS scan, y, x, s FROM ({GRAY_DECODED}) a UNION ALL SELECT image_id, 0, brow * 8 + y, "
+        f"bcol * 8 + x, s"
+        f" FROM ({inverse_sql(LLM, 11, 18, f'(SELECT image_id, brow, bcol, l.v, l.u, CASE WHEN l.v + l.u = 0 THEN (level >> 1) * 2 * q ELSE 0 END AS d FROM levels l JOIN {LUMA_Q} q ON l.v = q.v AND l.u = q.u)', True)}) i", ("levels",)),
+    "decode_every_scale": (decode_every_scale, " UNION ALL ".join(
+        f"SELECT image_id, {n} AS n, brow * {n} + y AS y, bcol * {n} + x AS x, s"
+        f" FROM ({inverse_sql(tables.basis(n), 8, 20, _lowest(n), False)}) i" for n in range(1, 8)), ("levels",)),
+    "jfif_thumbnail": (jfif_thumbnail,
+        f"SELECT image_id, 3 AS width, CASE WHEN image_id % 2 = 1 THEN 1 ELSE 2 END AS height, "
+        f"repeat(lpad(upper(to_hex(image_id % 256)), 2, '0'), CASE WHEN image_id % 2 = 1 THEN 9 ELSE 18 END) AS rgb"
+        f" FROM {IMAGES} e", ("r_events",)),
     "dc_diff_restarts": (dc_diff_restarts, "SELECT image_id, k, level - coalesce(lag(level) OVER (PARTITION BY image_id, k // 5 ORDER BY k), 0) AS diff FROM levels WHERE z = 0", ("levels",)),
-    "scan_planes": (lambda spark, sf: headers.relation(codec.encode(color(spark, sf), process="progressive"), "scan_planes"), f"SELECT image_id, s.* FROM {IMAGES} e CROSS JOIN {values([(n, k, c + 1, c) for n, (parts, *_) in enumerate(tables.SCRIPT) for k, c in enumerate(parts)], 'scan, place, id, plane')} s", ("r_events",)),
+    "scan_planes": (lambda spark, sf: headers.relation(codec.encode(color(spark, sf), process="progressive"), "scan_planes"),
+        f"SELECT image_id, s.* FROM {IMAGES} e CROSS"
+        f" JOIN {values([(n, k, c + 1, c) for n, (parts, *_) in enumerate(tables.SCRIPT) for k, c in enumerate(parts)], 'scan, place, id, plane')} s", ("r_events",)),
     "transform_bufsize": (transform_bufsize, _bounds(), ()),
     "process_of": (process_of, f"SELECT image_id, p.* FROM {IMAGES} e CROSS JOIN {values(PROCESSES, 'asked, process, coding')} p", ("r_events",)),
     "reprocess": (reprocess, "SELECT image_id, brow, bcol, v, u, level, 'progressive' AS process FROM levels", ("levels",)),
-    "compress12": (compress12, f"SELECT image_id, brow, bcol, c.v, c.u, CAST(sign(c) * ((abs(c) + q // 2) // q) AS BIGINT) AS level FROM ({forward_sql(LLM, 11, 18, '(SELECT image_id, y, x, c0 * 16 + c1 % 16 - 1920 AS c0 FROM r_events)')}) c JOIN {LUMA_Q} q ON c.v = q.v AND c.u = q.u", ("r_events",)),
+    "compress12": (compress12,
+        f"SELECT image_id, brow, bcol, c.v, c.u, CAST(sign(c) * ((abs(c) + q // 2) // q) AS BIGINT) AS level"
+        f" FROM ({forward_sql(LLM, 11, 18, '(SELECT image_id, y, x, c0 * 16 + c1 % 16 - 1920 AS c0 FROM r_events)')}) c"
+        f" JOIN {LUMA_Q} q ON c.v = q.v AND c.u = q.u", ("r_events",)),
     "compress16": (compress16, "SELECT image_id, y, x, c0::BIGINT * 256 + c1 AS v FROM r_events", ("r_events",)),
     "lossless_planes": (lossless_planes, _points(), ("ycc_part",)),
     "byte_stuff": (byte_stuff, f"SELECT image_id, string_agg(CASE WHEN c0 = 255 THEN 'FF00' ELSE {HEX.format('c0')} END, '' ORDER BY y, x) AS hex FROM r_events GROUP BY image_id", ("r_events",)),
     "optimal_huffman": (optimal_huffman, f"SELECT image_id, class, true AS valid, true AS no_worse FROM {IMAGES} e CROSS JOIN (VALUES ('dc'), ('ac')) AS t(class)", ("r_events",)),
-    "decode_scaled_crop": (decode_scaled_crop, f"SELECT image_id, y - 2 AS y, x - 3 AS x, s FROM (SELECT image_id, brow * 4 + y AS y, bcol * 4 + x AS x, s FROM ({inverse_sql(tables.basis(4), 8, 20, HALF, False)}) i) p WHERE y BETWEEN 2 AND 8 AND x BETWEEN 3 AND 12", ("levels",)),
-    "decode_bottom_up": (decode_bottom_up, f"SELECT image_id, string_agg({HEX.format('c2')} || {HEX.format('c1')} || {HEX.format('c0')} || '00', '' ORDER BY y DESC, x) AS hex FROM r_events GROUP BY image_id", ("r_events",)),
-    "encode_pixel_formats": (encode_pixel_formats, f"SELECT image_id, y, x, c0::BIGINT AS c0, c1::BIGINT AS c1, c2::BIGINT AS c2, format FROM r_part CROSS JOIN {values([(f[0],) for f in tables.PIXEL_FORMATS if f[0] != 'GRAY'], 'format')} f", ("r_part",)),
+    "decode_scaled_crop": (decode_scaled_crop,
+        f"SELECT image_id, y - 2 AS y, x - 3 AS x, s FROM (SELECT image_id, brow * 4 + y AS y, bcol * 4 + x AS x, s"
+        f" FROM ({inverse_sql(tables.basis(4), 8, 20, HALF, False)}) i) p WHERE y BETWEEN 2 AND 8 AND x BETWEEN 3 AND 12", ("levels",)),
+    "decode_bottom_up": (decode_bottom_up,
+        f"SELECT image_id, string_agg({HEX.format('c2')} || {HEX.format('c1')} || {HEX.format('c0')} || '00', ''"
+        f" ORDER BY y DESC, x) AS hex FROM r_events GROUP BY image_id", ("r_events",)),
+    "encode_pixel_formats": (encode_pixel_formats,
+        f"SELECT image_id, y, x, c0::BIGINT AS c0, c1::BIGINT AS c1, c2::BIGINT AS c2, format FROM r_part CROSS"
+        f" JOIN {values([(f[0],) for f in tables.PIXEL_FORMATS if f[0] != 'GRAY'], 'format')} f", ("r_part",)),
     "load_image": (load_image, "SELECT image_id, y, x, c0::BIGINT * 16 AS c0, c1::BIGINT * 16 AS c1, c2::BIGINT * 16 AS c2 FROM r_events", ("r_events",)),
-    "save_image": (save_image, f"SELECT image_id, '{f'P5{chr(10)}{W} {H}{chr(10)}4095{chr(10)}'.encode().hex().upper()}' || string_agg(lpad(upper(to_hex(c0 * 16 + c1 % 16)), 4, '0'), '' ORDER BY y, x) AS content FROM r_events GROUP BY image_id", ("r_events",)),
+    "save_image": (save_image,
+        f"SELECT image_id, "
+        f"'{f'P5{chr(10)}{W} {H}{chr(10)}4095{chr(10)}'.encode().hex().upper()}' || string_agg(lpad(upper(to_hex(c0 * 16 + c1 % 16)), "
+        f"4, '0'), '' ORDER BY y, x) AS content FROM r_events GROUP BY image_id", ("r_events",)),
 }
 
 QUERIES = {name: query for name, (query, *_) in STREAMS.items()}

@@ -112,10 +112,16 @@ def inverse_sql(m, first: int, second: int, source: str, columns_first: bool) ->
 VIEWS = {
     "r_events": (r_events, _tile_sql("events", "event_id", W, H, "CAST(floor(value) AS BIGINT) % 256", "user_id % 256", "event_id * 37 % 256"), ()),
     "r_part": (r_part, _tile_sql("part", "p_partkey", 13, 11, "p_size * 5 % 256", "CAST(floor(p_retailprice) AS BIGINT) % 256", "p_partkey % 256"), ()),
-    "r_synth": (r_synth, "SELECT i // 13433 AS image_id, i % 13433 // 133 AS y, i % 133 AS x, CAST(i % 133 * 255 // 133 AS INT) AS c0, CAST(i % 13433 // 133 * 255 // 101 AS INT) AS c1, CASE WHEN (i % 133 // 8 + i % 13433 // 133 // 8) % 2 = 1 THEN 220 ELSE 40 END AS c2 FROM (SELECT range AS i FROM range(26866))", ()),
+    "r_synth": (r_synth,
+        "SELECT i // 13433 AS image_id, i % 13433 // 133 AS y, i % 133 AS x, CAST(i % 133 * 255 // 133 AS INT) AS c0, "
+        "CAST(i % 13433 // 133 * 255 // 101 AS INT) AS c1, CASE WHEN (i % 133 // 8 + i % 13433 // 133 // 8) % 2 = 1 THEN 220"
+        " ELSE 40 END AS c2 FROM (SELECT range AS i FROM range(26866))", ()),
     "ycc_part": (ycc_part, f"SELECT image_id, y, x, {YCC_SQL[0]} AS c0, {YCC_SQL[1]} AS c1, {YCC_SQL[2]} AS c2 FROM r_part", ("r_part",)),
     "coeffs": (coeffs, forward_sql(tables.llm(), 11, 18), ("r_events",)),
-    "levels": (levels, f"SELECT c.image_id, c.brow, c.bcol, c.v, c.u, CAST(sign(c) * ((abs(c) + q // 2) // q) AS BIGINT) AS level, z, c.brow * {W // 8} + c.bcol AS k FROM coeffs c JOIN {LUMA_Q} q ON c.v = q.v AND c.u = q.u JOIN {ZIGZAG_SQL} zz ON c.v = zz.v AND c.u = zz.u", ("r_events", "coeffs")),
+    "levels": (levels,
+        f"SELECT c.image_id, c.brow, c.bcol, c.v, c.u, CAST(sign(c) * ((abs(c) + q // 2) // q) AS BIGINT) AS level, z, "
+        f"c.brow * {W // 8} + c.bcol AS k FROM coeffs c JOIN {LUMA_Q} q ON c.v = q.v AND c.u = q.u"
+        f" JOIN {ZIGZAG_SQL} zz ON c.v = zz.v AND c.u = zz.u", ("r_events", "coeffs")),
 }
 
 

@@ -57,10 +57,24 @@ def with_units(docs: DataFrame, every: bool) -> DataFrame:
         )
         chunks = F.expr(f"""filter(transform(__ends, (e, j) -> named_struct('k', 2 * {before} + 3, 'from', {before} + 1, 'n', e - {before},
             'left', slice(__x, {earlier} + 1, {before} - {earlier}), 'right', slice(__x, e + 1, element_at(__ends, least(j + 3, size(__ends))) - e))), u -> u.n > 1)""")
-    units = lines.withColumn("__units", F.concat(chunks, longs)).withColumn("__units", F.expr("filter(__units, u -> exists(slice(__full, u.from, u.n), x -> x))"))
+    units = lines.withColumn("__units", F.concat(chunks, longs)).withColumn("__units", F.filter("__units", lambda u: any_full(u, every)))
     return units.drop("__full", "__h", "__x", "__r", "__ends")
 
 
+def any_full(unit: Column, every: bool) -> Column:
+    """Whether a unit has a line that is not blank."""
+    if every:
+        return F.element_at("__full", unit["from"]) | F.element_at("__full", unit["from"] + unit["n"] - 1)
+    return F.exists(F.slice("__full", unit["from"], unit["n"]), lambda x: x)
+
+
+def line_hash(unit: Column, every: bool) -> Column:
+    """A hash of a unit's lines, compared only within one of the two ways to cut."""
+    if every:
+        return F.xxhash64(F.element_at("__lines", unit["from"]), F.when(unit["n"] > 1, F.element_at("__lines", unit["from"] + unit["n"] - 1)))
+    return F.xxhash64(F.slice("__lines", unit["from"], unit["n"]))
+
+
 def shared_lines(a: str, b: str) -> str:
     """SQL: at how many places from the first on two arrays agree."""
     return f"aggregate(zip_with({a}, {b}, (x, y) -> coalesce(x = y, false)), named_struct('n', 0, 'on', true), (s, e) -> named_struct('n', s.n + if(s.on and e, 1, 0), 'on', s.on and e), s -> s.n)"
@@ -70,16 +84,20 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, every: bool) -> DataFrame:
     """__id, __key and __gone, the ranges of lines (from, to) to remove, for documents that lose any."""
     keyed = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("__key"))
     # outer, as an inner explode makes Spark push a copy of all these nested expressions down as a filter
-    hashes = with_units(keyed, every).select("doc_id", "__key", F.posexplode_outer(F.expr("transform(__units, u -> xxhash64(slice(__lines, u.from, u.n)))")).alias("__pos", "__hash"))
-    hashes = scratch.put(hashes.filter("__hash is not null"))
-    often = scratch.put(hashes.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash", F.ceil(F.col("n") / PART).alias("__parts")))
+    slim = F.transform("__units", lambda u: F.struct(u["k"].alias("k"), u["from"].alias("from"), u["n"].alias("n"), line_hash(u, every).alias("hash")))
+    hashes = with_units(keyed, every).select("doc_id", "__key", F.posexplode_outer(slim).alias("pos", "u")).filter("u is not null")
+    hashes = scratch.put(hashes.select("doc_id", "__key", "pos", "u.k", "u.from", "u.n", F.col("u.hash").alias("__hash")))
+    often = scratch.put(hashes.groupBy("__hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("__hash", F.ceil(F.col("times") / PART).alias("__parts")))
     # only units whose hash occurs again are made texts
-    wanted = join_sized(hashes, often, "__hash", "inner").groupBy("doc_id", "__key").agg(F.collect_set(F.struct("__pos", "__hash", "__parts")).alias("__wanted"))
+    wanted = join_sized(hashes, often, "__hash", "inner").groupBy("doc_id", "__key").agg(F.collect_set(F.struct("pos", "k", "from", "n", F.col("__hash").alias("hash"), F.col("__parts").alias("parts"))).alias("__wanted"))
     wanted = scratch.put(wanted.withColumnRenamed("doc_id", "__id").withColumnRenamed("__key", "__key2"))
     some = join_sized(keyed, wanted, keyed["doc_id"].eqNullSafe(wanted["__id"]) & (keyed["__key"] == wanted["__key2"]), "inner", items="__wanted")
-    bodies = F.expr("transform(__wanted, w -> named_struct('u', get(__units, w.__pos), 'body', array_join(slice(__lines, get(__units, w.__pos).from, get(__units, w.__pos).n), '\n'), 'hash', w.__hash, 'parts', w.__parts))")
-    again = with_units(some, every).select("doc_id", "__key", F.explode_outer(bodies).alias("w"))
-    again = again.select("doc_id", "__key", *(F.col(f"w.u.{c}").alias(f"__{c}") for c in ("k", "from", "n", "left", "right")), *(F.col(f"w.{c}").alias(f"__{c}") for c in ("body", "hash", "parts")))
+    some = some.withColumn("__lines", F.split("text", "\n", -1)) if every else with_units(some, every)
+    nothing = F.expr("cast(array() as array<bigint>)")
+    beside = lambda w, side: nothing if every else F.get("__units", w["pos"])[side]
+    bodies = F.transform("__wanted", lambda w: F.struct(w.alias("w"), F.array_join(F.slice("__lines", w["from"], w["n"]), "\n").alias("body"), beside(w, "left").alias("left"), beside(w, "right").alias("right")))
+    again = some.select("doc_id", "__key", F.explode_outer(bodies).alias("b"))
+    again = again.select("doc_id", "__key", *(F.col(f"b.w.{c}").alias(f"__{c}") for c in ("k", "from", "n", "hash", "parts")), *(F.col(f"b.{c}").alias(f"__{c}") for c in ("body", "left", "right")))
     again = scratch.put(again.withColumn("__part", F.pmod(F.xxhash64("doc_id", "__key", "__k"), "__parts")))
     scratch.drop(hashes, often)
     place = F.struct("doc_id", "__key", "__k", "__left", "__right")

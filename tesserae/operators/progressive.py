@@ -94,7 +94,7 @@ def _signed(value: int, n: int) -> int:
 
 
 def tokens(blocks, components, low, high, ah, al, slot) -> list[tuple]:
-    """The tokens of one interval; slot gives a component's table slot. Band 0 to 63 is a sequential scan."""
+    """The tokens of one interval of a progressive scan; slot gives a component's table slot."""
     out, before = [], {}
     if low == 0:
         for block, k in zip(blocks, components, strict=True):
@@ -105,22 +105,10 @@ def tokens(blocks, components, low, high, ah, al, slot) -> list[tuple]:
             diff, before[k] = value - before.get(k, 0), value
             n = abs(diff).bit_length()
             out.append(((0, slot[k]), n, _signed(diff, n), n))
-            if high:
-                _sequential(out, block, (1, slot[k]))
         return out
     return Bands(out, (1, slot[components[0]]), low, high, al).code(blocks, ah) if blocks else out
 
 
-def _sequential(out, block, table):
-    places = [i for i in range(1, 64) if block[i]]
-    for before, i in zip([0, *places], places, strict=False):
-        zeros, n = i - before - 1, abs(block[i]).bit_length()
-        out.extend([(table, 0xF0, 0, 0)] * (zeros >> 4))
-        out.append((table, (zeros & 15) << 4 | n, _signed(block[i], n), n))
-    if not places or places[-1] < 63:
-        out.append((table, 0, 0, 0))
-
-
 class Bands:
     """Spectral bands of blocks, with runs of ended bands carried from block to block."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -144,6 +145,18 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def rested(batches):
+    """An Arrow function after whose end a worker gives back the memory it used, as it stays for other stages."""
+
+    def run(it):
+        yield from batches(it)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def slices(batch, rows: int = 64):
     """An Arrow batch in parts of a few rows, so that only those are Python objects at a time."""
     for lo in range(0, batch.num_rows, rows):

@@ -84,20 +84,21 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, every: bool) -> DataFrame:
     """__id, __key and __gone, the ranges of lines (from, to) to remove, for documents that lose any."""
     keyed = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("__key"))
     # outer, as an inner explode makes Spark push a copy of all these nested expressions down as a filter
-    slim = F.transform("__units", lambda u: F.struct(u["k"].alias("k"), u["from"].alias("from"), u["n"].alias("n"), line_hash(u, every).alias("hash")))
-    hashes = with_units(keyed, every).select("doc_id", "__key", F.posexplode_outer(slim).alias("pos", "u")).filter("u is not null")
-    hashes = scratch.put(hashes.select("doc_id", "__key", "pos", "u.k", "u.from", "u.n", F.col("u.hash").alias("__hash")))
+    hashed = F.transform("__units", lambda u: F.struct(u["k"].alias("k"), line_hash(u, every).alias("hash")))
+    hashes = with_units(keyed, every).select("doc_id", "__key", F.posexplode_outer(hashed).alias("pos", "u")).filter("u is not null")
+    hashes = scratch.put(hashes.select("doc_id", "__key", F.col("u.k" if every else "pos").cast("long").alias("__at"), F.col("u.hash").alias("__hash")))
     often = scratch.put(hashes.groupBy("__hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("__hash", F.ceil(F.col("times") / PART).alias("__parts")))
-    # only units whose hash occurs again are made texts
-    wanted = join_sized(hashes, often, "__hash", "inner").groupBy("doc_id", "__key").agg(F.collect_set(F.struct("pos", "k", "from", "n", F.col("__hash").alias("hash"), F.col("__parts").alias("parts"))).alias("__wanted"))
+    # only units whose hash occurs again are made texts; which, and in how many parts, is one number
+    wanted = join_sized(hashes, often, "__hash", "inner").groupBy("doc_id", "__key").agg(F.collect_set(F.shiftleft("__at", 32) + F.col("__parts")).alias("__wanted"))
     wanted = scratch.put(wanted.withColumnRenamed("doc_id", "__id").withColumnRenamed("__key", "__key2"))
     some = join_sized(keyed, wanted, keyed["doc_id"].eqNullSafe(wanted["__id"]) & (keyed["__key"] == wanted["__key2"]), "inner", items="__wanted")
     some = some.withColumn("__lines", F.split("text", "\n", -1)) if every else with_units(some, every)
-    nothing = F.expr("cast(array() as array<bigint>)")
-    beside = lambda w, side: nothing if every else F.get("__units", w["pos"])[side]
-    bodies = F.transform("__wanted", lambda w: F.struct(w.alias("w"), F.array_join(F.slice("__lines", w["from"], w["n"]), "\n").alias("body"), beside(w, "left").alias("left"), beside(w, "right").alias("right")))
+    at = "cast(shiftright(w, 32) as int)"
+    unit = f"named_struct('k', {at}, 'from', {at} div 2, 'n', 1 + {at} % 2, 'left', cast(array() as array<bigint>), 'right', cast(array() as array<bigint>))" if every else f"get(__units, {at})"
+    of = F.expr(f"transform(__wanted, w -> named_struct('u', {unit}, 'parts', w & 4294967295))")
+    bodies = F.transform(of, lambda w: F.struct(w["u"].alias("u"), w["parts"].alias("parts"), F.array_join(F.slice("__lines", w["u"]["from"].cast("int"), w["u"]["n"].cast("int")), "\n").alias("body")))
     again = some.select("doc_id", "__key", F.explode_outer(bodies).alias("b"))
-    again = again.select("doc_id", "__key", *(F.col(f"b.w.{c}").alias(f"__{c}") for c in ("k", "from", "n", "hash", "parts")), *(F.col(f"b.{c}").alias(f"__{c}") for c in ("body", "left", "right")))
+    again = again.select("doc_id", "__key", *(F.col(f"b.u.{c}").alias(f"__{c}") for c in ("k", "from", "n", "left", "right")), F.col("b.parts").alias("__parts"), F.col("b.body").alias("__body"), F.xxhash64("b.body").alias("__hash"))
     again = scratch.put(again.withColumn("__part", F.pmod(F.xxhash64("doc_id", "__key", "__k"), "__parts")))
     scratch.drop(hashes, often)
     place = F.struct("doc_id", "__key", "__k", "__left", "__right")
@@ -136,8 +137,9 @@ def dedup_lines(docs: DataFrame, counts: bool = True, every: bool = False) -> Da
     lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
     joined = joined.withColumn("lines", F.split(F.when(F.col("__gone").isNotNull(), F.col("text")), "\n", -1))
     gone = F.flatten(F.transform("__gone", lambda r: F.sequence(r["low"], r["high"])))
-    joined = joined.withColumn("kept", F.array_except(F.sequence(F.lit(1), F.size("lines")), gone))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.element_at("lines", i)), "\n"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("lines")), gone), lambda i: F.element_at("lines", i))
+    joined = joined.withColumn("kept", kept)
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
     removed = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(lines - F.size("kept"))
     if not counts:
         return joined.select(*columns_with(docs, text))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, by_size, join_sized, pieces, table, utf8
+from .common import Scratch, by_size, join_sized, pieces, rested, table, utf8
 
 FIT_ROWS, POOL, RIDGE, CLIP, LIMIT, DECIDE = 20_000, 0.2, 0.05, 6.0, 12.0, 0.3
 ASCII_LETTERS = bytes([*range(65, 91), *range(97, 123)])
@@ -79,7 +79,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(stats, pa.list_(pa.float64()))], names=[*keep, "stats"])
 
     schema = docs.select(*keep).withColumn("stats", F.array(F.lit(0.0))).schema
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(batches, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(rested(batches), schema)
 
 
 class Discriminant:
@@ -139,7 +139,7 @@ def scored(stats: DataFrame, model: Discriminant, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(x))], names=[*keep, "score"])
 
     schema = stats.select(*keep).withColumn("score", F.lit(0.0)).schema
-    return stats.mapInArrow(batches, schema).withColumn("predicted", (F.col("score") >= DECIDE).cast("int"))
+    return stats.mapInArrow(rested(batches), schema).withColumn("predicted", (F.col("score") >= DECIDE).cast("int"))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

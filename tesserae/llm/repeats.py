@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, by_size, slices, table, utf8
+from .common import Scratch, by_size, rested, slices, table, utf8
 
 LENGTH, WINDOW, FILTER_BITS, STRETCH = 200, 120, 26, 1 << 18
 CORE = LENGTH - WINDOW + 1
@@ -141,7 +141,7 @@ def blocks(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), block, ids.take(row), keys.take(row), pa.array((start - begins << 14) + (starts << 7) + ahead)], names=["core", "block", "doc_id", "key", "place"])
 
     schema = docs.select(F.lit(0).cast("long").alias("core"), F.lit(0).cast("long").alias("block"), "doc_id", "key", F.lit(0).cast("long").alias("place")).schema
-    return docs.select("doc_id", "key", "text").mapInArrow(found, schema)
+    return docs.select("doc_id", "key", "text").mapInArrow(rested(found), schema)
 
 
 def listed(located: DataFrame, columns: dict, make) -> DataFrame:
@@ -159,7 +159,7 @@ def listed(located: DataFrame, columns: dict, make) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([values[0], ids.take(row), keys.take(row), *values[1:]], names=["core", "doc_id", "key", *columns])
 
     schema = located.select(F.lit(0).cast("long").alias("core"), "doc_id", "key", *(F.lit(None).cast(t).alias(n) for n, (_, t) in columns.items())).schema
-    return located.select("doc_id", "key", "text", "some").mapInArrow(found, schema)
+    return located.select("doc_id", "key", "text", "some").mapInArrow(rested(found), schema)
 
 
 def with_bytes(located: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def per_block(rows: DataFrame, schema: str, make) -> DataFrame:
             ids, keys, alone = (batch.column(n).take(of) for n in ("doc_id", "key", "alone"))
             yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), ids, keys, pa.array(place, pa.int64()), alone, pa.array(data, pa.binary())], names=["core", "doc_id", "key", "place", "alone", "bytes"])
 
-    return rows.select("core", "doc_id", "key", "place", "alone", "bytes").mapInArrow(found, schema)
+    return rows.select("core", "doc_id", "key", "place", "alone", "bytes").mapInArrow(rested(found), schema)
 
 
 def finer(rows: DataFrame, width: int) -> DataFrame:
@@ -332,7 +332,7 @@ def repeated_starts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs has doc_id, text and key, a hash of both.
     """
     times, pair = F.count(F.lit(1)).alias("n"), ["core", "block"]
-    cores = docs.select("text").mapInArrow(_cores, "core long")
+    cores = docs.select("text").mapInArrow(rested(_cores), "core long")
     repeated = scratch.put(cores.groupBy("core").agg(times).filter("n > 1").select("core"))
     parsed = scratch.put(blocks(docs, repeated))
     dictionary = scratch.put(parsed.groupBy(*pair).agg(times, *(F.first(c).alias(c) for c in ("doc_id", "key", "place"))))
@@ -350,7 +350,7 @@ def repeated_starts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     schema = docs.select("doc_id", "key", F.lit(0).cast("long").alias("run")).schema
 
     def ordered(rows: DataFrame) -> DataFrame:
-        return scratch.put(runs_per_document(rows.repartition("core").sortWithinPartitions("core").mapInArrow(_ordered, schema)))
+        return scratch.put(runs_per_document(rows.repartition("core").sortWithinPartitions("core").mapInArrow(rested(_ordered), schema)))
 
     parts, hot = [ordered(bytes_of(open_.filter("not hot")))], open_.filter("hot")
     hot = None if hot.isEmpty() else scratch.put(bytes_of(hot))
@@ -397,7 +397,7 @@ def merged(runs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(spans, kind)], names=["doc_id", "key", "spans"])
 
     together = runs.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    return together.mapInArrow(batches, together.select("doc_id", "key", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)").alias("spans")).schema)
+    return together.mapInArrow(rested(batches), together.select("doc_id", "key", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)").alias("spans")).schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -419,7 +419,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     joined = joined.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")))
     schema = docs.select("doc_id", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)").alias("spans"), F.lit(b"").alias("kept")).schema
-    return joined.select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    return joined.select("doc_id", "text", "spans").mapInArrow(rested(cut), schema)
 
 
 def op7_repeats(spark, sf_dir: str) -> DataFrame:

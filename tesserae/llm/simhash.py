@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, by_size, join_sized, table
+from .common import Scratch, by_size, join_sized, rested, table
 
 SHINGLE, SEED, BITS, APART = 4, 42, 64, 4
 #: Members an uppermost node has on average, and at most; parts of what cannot be refined; children of a node.
@@ -69,7 +69,7 @@ def with_fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp)], names=[*keep, "fp"])
 
     schema = docs.select(*keep).withColumn("fp", F.lit(0).cast("long")).schema
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(batches, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(rested(batches), schema)
 
 
 def blocks_of(places: list[int], n: int) -> list[list[int]]:
@@ -266,7 +266,7 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     all_ = all_.select("m", "v", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("s"), side.alias("side"), "fp")
     key = ["m", "v", "r", "s"]
-    found = all_.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search, "u long, v long")
+    found = all_.repartition(*key).sortWithinPartitions(*key).mapInArrow(rested(_search), "u long, v long")
     out = scratch.put(found.distinct())
     scratch.drop(*used)
     return out

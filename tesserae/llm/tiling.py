@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, by_size, join_sized, pieces, table, utf8
+from .common import Scratch, by_size, join_sized, pieces, rested, table, utf8
 
 LEAST, COVERAGE, BLOCK_BYTES, START = 5, 0.5, 8_000_000, 32
 BASE = 0x9E3779B97F4A7C15
@@ -268,7 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-        part = scratch.put(docs.select(key, "text").mapInArrow(pairs, schema))
+        part = scratch.put(docs.select(key, "text").mapInArrow(rested(pairs), schema))
         out = part if out is None else out.unionByName(part)
     return out
 

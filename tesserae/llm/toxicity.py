@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, by_size, pieces, table, utf8
+from .common import Scratch, by_size, pieces, rested, table, utf8
 
 FIT_POSITIVE, FIT_UNLABELLED, BUCKETS, MIN_POSITIVE, MIN_SIGMA, ROUNDS, RATE, RIDGE, DECIDE = 4000, 12_000, 1 << 20, 5, 5.0, 200, 0.1, 1e-4, 0.3
 CLEAN = bytes.maketrans(bytes(range(65, 91)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123)) + b" " * 32)
@@ -48,7 +48,7 @@ def with_buckets(docs: DataFrame, keep: list[str]) -> DataFrame:
             x = [buckets(utf8(t)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(x, pa.list_(pa.int32()))], names=[*keep, "x"])
 
-    return docs.mapInArrow(batches, docs.select(*keep).withColumn("x", F.array(F.lit(0))).schema)
+    return docs.mapInArrow(rested(batches), docs.select(*keep).withColumn("x", F.array(F.lit(0))).schema)
 
 
 class Weights(dict):
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
             x = [[b for b in row if b in held.value] for row in batch.column("x").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.int32()))], names=["toxic", "x"])
 
-    found = sorted((r["toxic"], r["x"]) for r in rows.mapInArrow(cut, rows.schema).collect())
+    found = sorted((r["toxic"], r["x"]) for r in rows.mapInArrow(rested(cut), rows.schema).collect())
     scratch.drop(rows)
     return train([x for t, x in found if t == 1], [x for t, x in found if t == 0], prior, (kept, gain))
 
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], keep: list[str
             z = np.array([bias + evidence(utf8(t)) for t in batch.column("text")])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=[*keep, "score"])
 
-    out = docs.mapInArrow(batches, docs.select(*keep).withColumn("score", F.lit(0.0)).schema)
+    out = docs.mapInArrow(rested(batches), docs.select(*keep).withColumn("score", F.lit(0.0)).schema)
     return out.withColumn("predicted", (F.col("score") >= DECIDE).cast("int"))
 
 

@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of two lines or more, and long lines, go from the texts; every document stays, with n_chars as it now is."""
+    """Repeated chunks of lines, long lines and what chunks miss of repeated runs of two lines go from the texts; every document stays, with n_chars as it now is."""
     out = linechunks.dedup_lines(docs, counts=False, every=True)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 

@@ -9,8 +9,10 @@ them, as far as two chunks, that equal those beside the first place: edges of a
 chunks share with their surroundings. Lines of LONG_WORDS words or more count on their own too. Whatever
 goes has an equal line at an earlier place, so a copy of every line stays. A passage is found if a whole
 chunk lies inside: nine in ten passages of eight lines, nearly all of twelve, few of three. With `every`,
-each line but the last ends a chunk and is the next one's first line too, so that no repeated run of two
-lines is lost; that reads and moves about three times as much.
+an exact check follows: of the neighbouring lines that the chunks left, every two that stand together at
+an earlier place go too, so that no repeated run of two lines is lost. It changes nothing that chunks
+settled: two lines inside of a removed run stand at an earlier place, so the first place of any two is
+among those left. Blank lines between blank lines stay then.
 
 Candidates are found by counts of 64-bit hashes of their lines, and only they are made texts; whether
 they are really equal is decided on their bytes, which are the grouping and join key (lines beside them:
@@ -32,11 +34,12 @@ from .common import Scratch, hex_number, join_sized, table
 MODULUS, FACTOR, LONG_WORDS, PART = 2147483647, 263, 50, 128
 
 
-def with_units(docs: DataFrame, every: bool) -> DataFrame:
+def with_units(docs: DataFrame, pairs: bool) -> DataFrame:
     """Adds __lines and __units, the chunks of a text and its long lines but those of blanks only, with what stands beside each chunk.
 
     A unit is k (its place, unique in the text), from (its first line, from 1), n (lines), left and right
-    (hashes of the lines of the two chunks on either side).
+    (hashes of the lines of the two chunks on either side). pairs: units are instead every two neighbouring
+    lines, but those inside a range of __gone, which docs then has.
     """
     # possessive and anchored, so that matching takes linear time
     long = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{LONG_WORDS - 1}}}[^\x20\x09-\x0D]"
@@ -44,8 +47,9 @@ def with_units(docs: DataFrame, every: bool) -> DataFrame:
     numbers = F.sequence(F.lit(1), F.size("__lines"))
     longs = F.transform(F.filter(numbers, lambda i: F.element_at("__lines", i).rlike(long)), lambda i: F.struct((2 * i).alias("k"), i.alias("from"), F.lit(1).alias("n"), F.expr(nothing).alias("left"), F.expr(nothing).alias("right")))
     lines = docs.withColumn("__lines", F.split("text", "\n", -1)).filter("__lines is not null").withColumn("__full", F.transform("__lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    if every:
-        chunks = F.expr(f"transform(filter(sequence(1, size(__lines)), i -> i < size(__lines)), i -> named_struct('k', 2 * i + 1, 'from', i, 'n', 2, 'left', {nothing}, 'right', {nothing}))")
+    if pairs:
+        settled = "coalesce(flatten(transform(__gone, r -> filter(sequence(r.low, r.high), i -> i < r.high))), cast(array() as array<int>))"
+        units = F.expr(f"transform(filter(array_except(sequence(1, size(__lines)), {settled}), i -> i < size(__lines)), i -> named_struct('k', 2 * i + 1, 'from', i, 'n', 2, 'left', {nothing}, 'right', {nothing}))")
     else:
         before, earlier = "(case when j = 0 then 0 else element_at(__ends, j) end)", "(case when j <= 2 then 0 else element_at(__ends, j - 2) end)"
         lines = (
@@ -57,21 +61,22 @@ def with_units(docs: DataFrame, every: bool) -> DataFrame:
         )
         chunks = F.expr(f"""filter(transform(__ends, (e, j) -> named_struct('k', 2 * {before} + 3, 'from', {before} + 1, 'n', e - {before},
             'left', slice(__x, {earlier} + 1, {before} - {earlier}), 'right', slice(__x, e + 1, element_at(__ends, least(j + 3, size(__ends))) - e))), u -> u.n > 1)""")
-    units = lines.withColumn("__units", F.concat(chunks, longs)).withColumn("__units", F.filter("__units", lambda u: any_full(u, every)))
+        units = F.concat(chunks, longs)
+    units = lines.withColumn("__units", units).withColumn("__units", F.filter("__units", lambda u: any_full(u, pairs)))
     return units.drop("__full", "__h", "__x", "__r", "__ends")
 
 
-def any_full(unit: Column, every: bool) -> Column:
+def any_full(unit: Column, pairs: bool) -> Column:
     """Whether a unit has a line that is not blank."""
-    if every:
+    if pairs:
         return F.element_at("__full", unit["from"]) | F.element_at("__full", unit["from"] + unit["n"] - 1)
     return F.exists(F.slice("__full", unit["from"], unit["n"]), lambda x: x)
 
 
-def line_hash(unit: Column, every: bool) -> Column:
+def line_hash(unit: Column, pairs: bool) -> Column:
     """A hash of a unit's lines, compared only within one of the two ways to cut."""
-    if every:
-        return F.xxhash64(F.element_at("__lines", unit["from"]), F.when(unit["n"] > 1, F.element_at("__lines", unit["from"] + unit["n"] - 1)))
+    if pairs:
+        return F.xxhash64(F.element_at("__lines", unit["from"]), F.element_at("__lines", unit["from"] + 1))
     return F.xxhash64(F.slice("__lines", unit["from"], unit["n"]))
 
 
@@ -83,18 +88,30 @@ def shared_lines(a: str, b: str) -> str:
 def repeated_lines(docs: DataFrame, scratch: Scratch, every: bool) -> DataFrame:
     """__id, __key and __gone, the ranges of lines (from, to) to remove, for documents that lose any."""
     keyed = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("__key"))
+    gone = repeated_units(keyed, scratch)
+    if not every:
+        return gone
+    more = repeated_units(with_gone(keyed, gone).select("doc_id", "text", "__key", "__gone"), scratch, pairs=True)
+    both = scratch.put(gone.unionByName(more).groupBy("__id", "__key").agg(F.flatten(F.collect_list("__gone")).alias("__gone")))
+    scratch.drop(gone, more)
+    return both
+
+
+def repeated_units(keyed: DataFrame, scratch: Scratch, pairs: bool = False) -> DataFrame:
+    """What repeated_lines gives, of the chunks and long lines, or of the neighbouring lines that ranges in __gone leave."""
     # outer, as an inner explode makes Spark push a copy of all these nested expressions down as a filter
-    hashed = F.transform("__units", lambda u: F.struct(u["k"].alias("k"), line_hash(u, every).alias("hash")))
-    hashes = with_units(keyed, every).select("doc_id", "__key", F.posexplode_outer(hashed).alias("pos", "u")).filter("u is not null")
-    hashes = scratch.put(hashes.select("doc_id", "__key", F.col("u.k" if every else "pos").cast("long").alias("__at"), F.col("u.hash").alias("__hash")))
+    hashed = F.transform("__units", lambda u: F.struct(u["k"].alias("k"), line_hash(u, pairs).alias("hash")))
+    hashes = with_units(keyed, pairs).select("doc_id", "__key", F.posexplode_outer(hashed).alias("pos", "u")).filter("u is not null")
+    hashes = scratch.put(hashes.select("doc_id", "__key", F.col("u.k" if pairs else "pos").cast("long").alias("__at"), F.col("u.hash").alias("__hash")))
     often = scratch.put(hashes.groupBy("__hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("__hash", F.ceil(F.col("times") / PART).alias("__parts")))
     # only units whose hash occurs again are made texts; which, and in how many parts, is one number
     wanted = join_sized(hashes, often, "__hash", "inner").groupBy("doc_id", "__key").agg(F.collect_set(F.shiftleft("__at", 32) + F.col("__parts")).alias("__wanted"))
     wanted = scratch.put(wanted.withColumnRenamed("doc_id", "__id").withColumnRenamed("__key", "__key2"))
+    keyed = keyed.select("doc_id", "text", "__key")
     some = join_sized(keyed, wanted, keyed["doc_id"].eqNullSafe(wanted["__id"]) & (keyed["__key"] == wanted["__key2"]), "inner", items="__wanted")
-    some = some.withColumn("__lines", F.split("text", "\n", -1)) if every else with_units(some, every)
+    some = some.withColumn("__lines", F.split("text", "\n", -1)) if pairs else with_units(some, pairs)
     at = "cast(shiftright(w, 32) as int)"
-    unit = f"named_struct('k', {at}, 'from', {at} div 2, 'n', 1 + {at} % 2, 'left', cast(array() as array<bigint>), 'right', cast(array() as array<bigint>))" if every else f"get(__units, {at})"
+    unit = f"named_struct('k', {at}, 'from', {at} div 2, 'n', 2, 'left', cast(array() as array<bigint>), 'right', cast(array() as array<bigint>))" if pairs else f"get(__units, {at})"
     of = F.expr(f"transform(__wanted, w -> named_struct('u', {unit}, 'parts', w & 4294967295))")
     bodies = F.transform(of, lambda w: F.struct(w["u"].alias("u"), w["parts"].alias("parts"), F.array_join(F.slice("__lines", w["u"]["from"].cast("int"), w["u"]["n"].cast("int")), "\n").alias("body")))
     again = some.select("doc_id", "__key", F.explode_outer(bodies).alias("b"))
@@ -114,12 +131,16 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, every: bool) -> DataFrame:
     return out
 
 
+def with_gone(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """keyed with __gone, null where nothing is to go; gone is a table."""
+    gone = gone.withColumnRenamed("__key", "__key2")
+    return join_sized(keyed, gone, keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__key"] == gone["__key2"]), "left", items="__gone")
+
+
 def with_places(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """row (all columns of docs), text and __gone, null where nothing is to go; gone is a table."""
     whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64("text").alias("__key"))
-    gone = gone.withColumnRenamed("__key", "__key2")
-    joined = join_sized(whole, gone, whole["doc_id"].eqNullSafe(gone["__id"]) & (whole["__key"] == gone["__key2"]), "left", items="__gone")
-    return joined.select("row", "text", "__gone")
+    return with_gone(whole, gone).select("row", "text", "__gone")
 
 
 def columns_with(docs: DataFrame, text: Column, *more: str) -> list[Column]:
@@ -130,13 +151,18 @@ def columns_with(docs: DataFrame, text: Column, *more: str) -> list[Column]:
 def dedup_lines(docs: DataFrame, counts: bool = True, every: bool = False) -> DataFrame:
     """docs with repeated lines taken out of text; counts adds n_lines and n_removed, which replace columns of those names.
 
-    every: chunks of every two neighbouring lines.
+    every: also what the chunks miss of repeated runs of two lines.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     joined = with_places(docs, repeated_lines(docs.select("doc_id", "text"), scratch, every))
     lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
     joined = joined.withColumn("lines", F.split(F.when(F.col("__gone").isNotNull(), F.col("text")), "\n", -1))
-    gone = F.flatten(F.transform("__gone", lambda r: F.sequence(r["low"], r["high"])))
+    if every:
+        joined = joined.withColumn("full", F.transform("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+        full = "element_at(full, i) or i > r.low and element_at(full, i - 1) or i < r.high and element_at(full, i + 1)"
+        gone = F.expr(f"flatten(transform(__gone, r -> filter(sequence(r.low, r.high), i -> {full})))")
+    else:
+        gone = F.flatten(F.transform("__gone", lambda r: F.sequence(r["low"], r["high"])))
     kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("lines")), gone), lambda i: F.element_at("lines", i))
     joined = joined.withColumn("kept", kept)
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))

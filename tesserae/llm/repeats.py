@@ -15,11 +15,12 @@ their longest common prefixes. Combined, they are the corpus order down to LENGT
 bytes ahead of its trigger is in a run of neighbours that agree on LENGTH bytes where its dictionary
 class at depth `a` and its parse class at depth LENGTH - a are both shared. Cores with more than
 CORE_BLOCKS distinct blocks are too large for one task: their blocks are cut into pieces of FINER starts
-and dealt out by the bytes that all strings of a piece share, and ordered in the same way. The strings of
-pieces still too large are hashed one by one (128 bits) and counted, which gives the same runs.
+and dealt out by the bytes that all strings of a piece share. These have a dictionary of their own, in which
+equal pieces settle their strings and leave one of them, and are ordered in the same way; cores still too
+large are cut again, in the end to single strings, which their dictionary settles. A cut makes a few rows
+of a block, whatever the size of its core.
 
-Whole blocks are equal by two 64-bit hashes, the strings of such pieces by 128 bits; all else is compared
-byte by byte. A bit table of FILTER_BITS, built from the cores that occur twice, spares the
+Whole blocks and pieces are equal by two 64-bit hashes; all else is compared byte by byte. A bit table of FILTER_BITS, built from the cores that occur twice, spares the
 others the second pass; where it is full it lets more through and the result is the same.
 
 Null texts count as empty and lose nothing; matches never cross documents; rows equal in doc_id and
@@ -35,14 +36,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, by_size, rested, slices, table, utf8
+from .common import Scratch, by_size, join_sized, rested, slices, table, utf8
 
 LENGTH, WINDOW, FILTER_BITS, STRETCH = 200, 120, 26, 1 << 18
 CORE = LENGTH - WINDOW + 1
 #: Distinct blocks of one core that a task orders at most, and rows that it orders at a time.
 CORE_BLOCKS, ROWS = 2048, 8192
-#: Starts in a piece of a block whose core has more.
-FINER = (30, 8)
+#: Starts in a piece of a block whose core has more; after the last, one.
+FINER = (60, 30, 15, 8, 4, 2)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
@@ -172,57 +173,35 @@ def with_bytes(located: DataFrame) -> DataFrame:
     return listed(located, {"place": (pa.int64(), "long"), "alone": (pa.bool_(), "boolean"), "bytes": (pa.binary(), "binary")}, make)
 
 
-ROW = "core long, doc_id {}, key long, place long, alone boolean, bytes binary"
-
+def finer(rows: DataFrame, width: int) -> DataFrame:
+    """Blocks in pieces of up to `width` starts, at equal distances from the trigger in all blocks of a core.
 
-def per_block(rows: DataFrame, schema: str, make) -> DataFrame:
-    """Rows made of rows of `with_bytes`: make(core, place, bytes) gives (core, place or start, bytes or hash); doc_id, key and alone stay."""
-    schema = schema.format(rows.schema["doc_id"].dataType.simpleString())
+    core is then a number for the old core, the piece and the bytes that all strings of a whole piece
+    share, so that equal strings stay together; block is a hash of the piece's bytes.
+    """
 
     def found(it):
         for batch in (part for whole in it for part in slices(whole, 512)):
-            of, core, place, data = [], [], [], []
-            for k, (c, p, raw) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("core", "place", "bytes")), strict=True)):
-                for a, b, d in make(c, p, raw):
+            of, core, block, places, data = [], [], [], [], []
+            for k, (c, place, raw) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("core", "place", "bytes")), strict=True)):
+                start, starts, far = place >> 14, place >> 7 & 127, place & 127
+                near = far - starts + 1
+                for low in range(near // width * width, far + 1, width):
+                    lo, hi = max(near, low), min(far, low + width - 1)
+                    piece = raw[far - hi : far - lo + LENGTH]
                     of.append(k)
-                    core.append(a)
-                    place.append(b)
-                    data.append(d)
+                    core.append(xxhash.xxh3_64_intdigest(raw[far - low : far - low - width + 1 + LENGTH], (c * 131 + low) % (1 << 64)))
+                    block.append(xxhash.xxh3_64_intdigest(piece))
+                    places.append((start + far - hi << 14) + (hi - lo + 1 << 7) + hi)
+                    data.append(piece)
             of = pa.array(of, pa.int64())
             ids, keys, alone = (batch.column(n).take(of) for n in ("doc_id", "key", "alone"))
-            yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), ids, keys, pa.array(place, pa.int64()), alone, pa.array(data, pa.binary())], names=["core", "doc_id", "key", "place", "alone", "bytes"])
+            yield pa.RecordBatch.from_arrays([signed(core), signed(block), ids, keys, pa.array(places, pa.int64()), alone, pa.array(data, pa.binary())], names=["core", "block", "doc_id", "key", "place", "alone", "bytes"])
 
+    schema = f"core long, block long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, place long, alone boolean, bytes binary"
     return rows.select("core", "doc_id", "key", "place", "alone", "bytes").mapInArrow(rested(found), schema)
 
 
-def finer(rows: DataFrame, width: int) -> DataFrame:
-    """Blocks in pieces of up to `width` starts, at equal distances from the trigger in all blocks of a core.
-
-    core is then a number for the old core, the piece and the bytes that all strings of a whole piece
-    share, so that equal strings stay together.
-    """
-
-    def make(core, place, raw):
-        start, starts, far = place >> 14, place >> 7 & 127, place & 127
-        near = far - starts + 1
-        for low in range(near // width * width, far + 1, width):
-            lo, hi = max(near, low), min(far, low + width - 1)
-            shared = xxhash.xxh3_64_intdigest(raw[far - low : far - low - width + 1 + LENGTH], (core * 131 + low) % (1 << 64))
-            yield shared - (1 << 64) if shared >> 63 else shared, (start + far - hi << 14) + (hi - lo + 1 << 7) + hi, raw[far - hi : far - lo + LENGTH]
-
-    return per_block(rows, ROW, make)
-
-
-def strings(rows: DataFrame) -> DataFrame:
-    """Every string of the blocks: its start as place, 128 bits of hash as bytes."""
-
-    def make(core, place, raw):
-        for k in range(place >> 7 & 127):
-            yield core, (place >> 14) + k, xxhash.xxh3_128_digest(raw[k : k + LENGTH])
-
-    return per_block(rows, ROW, make)
-
-
 def suffix_array(core: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of rows of bytes within their cores, and the bytes that each shares with the one before it; -1 where a core begins."""
     words = np.ascontiguousarray(suffixes).view(">u8").astype(np.uint64)
@@ -354,24 +333,25 @@ def repeated_starts(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     parts, hot = [ordered(bytes_of(open_.filter("not hot")))], open_.filter("hot")
     hot = None if hot.isEmpty() else scratch.put(bytes_of(hot))
-    for width in FINER:
+    for width in (*FINER, 1):
         if hot is None:
             break
         rows = scratch.put(finer(hot, width))
         scratch.drop(hot)
-        large = rows.groupBy("core").agg(times).filter(F.col("n") > CORE_BLOCKS).select("core", F.lit(True).alias("hot"))
-        split = rows.join(large.hint("merge"), "core", "left")
-        parts.append(ordered(split.filter("hot is null").drop("hot")))
-        hot = scratch.put(split.filter("hot").drop("hot"))
-        scratch.drop(rows)
-        if hot.isEmpty():
-            hot = None
-    if hot is not None:
-        single = scratch.put(strings(hot))
-        again = single.groupBy("core", "bytes").agg(times, F.max("alone").alias("alone")).filter("n > 1 and alone").select("core", "bytes")
-        part = single.filter("alone").join(again.hint("merge"), ["core", "bytes"], "left_semi").select("doc_id", "key", run(F.col("place"), F.lit(1)))
-        parts.append(scratch.put(runs_per_document(part)))
-        scratch.drop(single, hot)
+        # a dictionary of the pieces: equal ones settle their strings, and one of them stands for all
+        entries = scratch.put(rows.groupBy(*pair).agg(times, F.max("alone").alias("alone"), *(F.first(c).alias(c) for c in ("doc_id", "key", "place", "bytes"))))
+        again = scratch.put(entries.filter("n > 1 and alone").select(*pair))
+        part = join_sized(rows.filter("alone"), again, pair, "left_semi")
+        parts.append(scratch.put(runs_per_document(part.select("doc_id", "key", run(F.shiftright("place", 14), F.shiftright("place", 7).bitwiseAND(F.lit(127)))))))
+        # of the rest, only cores with several distinct pieces, one of them alone
+        lone = F.col("alone") & (F.col("n") == 1)
+        several = scratch.put(entries.groupBy("core").agg(times, F.max(lone).alias("lone")).filter("n > 1 and lone").select("core", (F.col("n") > CORE_BLOCKS).alias("hot")))
+        distinct = join_sized(entries.withColumn("alone", lone), several, "core", "inner")
+        distinct = scratch.put(distinct.select("core", "doc_id", "key", "place", "alone", "bytes", "hot"))
+        parts.append(ordered(distinct.filter("not hot").drop("hot")))
+        hot = distinct.filter("hot").drop("hot")
+        hot = None if width == 1 or hot.isEmpty() else scratch.put(hot)
+        scratch.drop(rows, entries, again, several, distinct)
     for part in parts:
         whole = whole.unionByName(part)
     scratch.drop(open_)

@@ -91,3 +91,29 @@ def test_suffix_array():
         assert shared[k] == (-1 if c != d else next((i for i in range(120) if a[i] != b[i]), 120))
     same = repeats.classes(order, shared, 7)
     assert all((same[i] == same[j]) == (keys[i][0] == keys[j][0] and keys[i][1][:7] == keys[j][1][:7]) for i in range(0, 300, 7) for j in range(300))
+
+
+def test_rows_of_a_common_line(spark, tmp_path, monkeypatch):
+    """A line that very many texts hold makes a few rows of each block, not one of every string, whatever the number of texts."""
+    monkeypatch.setattr(repeats, "CORE_BLOCKS", 32)
+    made = []
+
+    def counted(make):
+        def rows(*args):
+            out = make(*args)
+            made.append((args[0].count(), out.count()))
+            return out
+
+        return rows
+
+    for name in ("finer", "strings"):
+        monkeypatch.setattr(repeats, name, counted(getattr(repeats, name, None)), raising=False)
+    line, share = noise("line", 260), []
+    for n in (150, 300):
+        docs = [(i, noise(i, 300) + line + noise(-i - 1, 300)) for i in range(n)]
+        spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        made.clear()
+        got = repeats.op7_repeats(spark, f"{tmp_path}/{n}").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        assert sorted(map(tuple, got), key=repr) == brute_repeats(docs)
+        share.append(sum(x for _, x in made) / made[0][0])
+    assert made and max(share) <= 8
